@@ -55,3 +55,14 @@ def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int("".join(c for c in spark.conf.get(key) if c.isdigit()) or most + 1) > most:
         spark.conf.set(key, str(most))
+
+
+def learning_rows(labels: DataFrame, label: str, learn, per_class: int) -> DataFrame:
+    """(doc_id, y): at most ``per_class`` labelled ids of each class that ``learn`` admits, drawn by hash.
+
+    Ids labelled twice count once, with the greater label; null ids and labels other than 0 and 1 are left out.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
+    rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    drawn = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    return written(drawn[0].union(drawn[1]), "learning_rows")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from casegrain.llm.decontamination import op2_decontaminate
 from casegrain.llm.mixing import op1_mix_sources
+from casegrain.llm.quality import op4_quality
 from casegrain.llm.sharding import op7_shard
 from casegrain.llm.simhash import op9_simhash
+from casegrain.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op7_shard, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_quality, op5_toxicity, op7_shard, op9_simhash)}
 ORACLES: dict[str, str] = {}
