@@ -7,7 +7,9 @@ from casegrain.llm.mixing import op1_mix_sources
 from casegrain.llm.quality import op4_quality
 from casegrain.llm.sharding import op7_shard
 from casegrain.llm.simhash import op9_simhash
+from casegrain.llm.substring_dedup import op10_substring_dedup
 from casegrain.llm.toxicity import op5_toxicity
+from casegrain.llm.warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_quality, op5_toxicity, op7_shard, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_warc, op4_quality, op5_toxicity, op7_shard, op9_simhash, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
