@@ -29,6 +29,8 @@ OVERHEAD = 16
 RANGES_PER_SHARD, ROWS_PER_RANGE = 16, 1_000_000
 #: Sampled keys for each range; a range with more than OVERFULL times its share is subdivided.
 SAMPLES_PER_RANGE, OVERFULL = 8, 4
+#: Pieces of an overfull range at most.
+PIECES = 4096
 ADDED = ("size", "text_crc32", "shard", "slot")
 
 
@@ -79,7 +81,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     # Overfull ranges are subdivided by a finer hash; the pieces keep the order of the line.
     ranged = lambda df: df.withColumn("_range", _fold(splitters, F.col("_key")))
     full = ranged(slim).groupBy("_range").agg(F.sum("size").alias("b")).where(F.col("b") > OVERFULL * share)
-    parts = {r["_range"]: min(4096, int(r["b"] / share) + 1) for r in full.collect()}  # at most a range each
+    parts = {r["_range"]: min(PIECES, int(r["b"] / share) + 1) for r in full.collect()}  # at most a range each
     pieces = F.lit(1)
     for at, n in sorted(parts.items()):
         pieces = F.when(F.col("_range") == at, F.lit(n)).otherwise(pieces)
@@ -89,13 +91,14 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     # A row for each piece; the windows without a key see these rows only.
     sums = placed(slim).groupBy("_range", "_piece").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     line = Window.orderBy("_range", "_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(sums.select(F.col("_range").alias("_r"), F.col("_piece").alias("_p"), *[F.coalesce(F.sum(c).over(line), F.lit(0)).alias(f"_{c}0") for c in ("b", "n")]), "starts")
+    starts = written(sums.select((F.col("_range").cast("long") * PIECES + F.col("_piece")).alias("_spot"), *[F.coalesce(F.sum(c).over(line), F.lit(0)).alias(f"_{c}0") for c in ("b", "n")]), "starts")
 
     inside = Window.partitionBy("_range", "_piece").orderBy("_key", "doc_id", "size")
 
     def on_line(df: DataFrame) -> DataFrame:
         out = placed(df).withColumns({"_b": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "_n": F.row_number().over(inside) - 1})
-        out = out.join(starts, (F.col("_range") == F.col("_r")) & (F.col("_piece") == F.col("_p")))
+        # An expression, not a column, on the left: no filters are inferred from it for the other side.
+        out = out.join(starts, F.col("_range").cast("long") * PIECES + F.col("_piece") == F.col("_spot"))
         out = out.withColumn("_mid", F.col("_b0") + F.col("_b") + F.floor(F.col("size") / 2))
         shard = F.least(F.expr(f"{shards} * _mid div {max(total, 1)}"), F.lit(shards - 1)).cast("int")
         return out.withColumns({"shard": shard, "_at": F.col("_n0") + F.col("_n")})
