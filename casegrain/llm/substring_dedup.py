@@ -59,11 +59,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     out.append((place, a, b - a, norm.count(" ") + 1, d >> 64, d & 0xFFFFFFFF))
                 counts.append(len(out) - before)
                 if len(out) >= 50_000 or k == batch.num_rows - 1:
-                    at = np.repeat(np.arange(k + 1 - len(counts), k + 1), counts)
+                    at = pa.array(np.repeat(np.arange(k + 1 - len(counts), k + 1), counts), pa.int64())
                     cols = list(zip(*out, strict=True)) if out else [()] * 6
-                    ids = batch.slice(0).take(pa.array(at)) if len(at) else batch.slice(0, 0)
                     high, low = np.array(cols[4], np.uint64).view(np.int64), np.array(cols[5], np.uint32).view(np.int32)
-                    yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), *(pa.array(c, pa.int32()) for c in cols[:4]), pa.array(high), pa.array(low)], names=names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.int32()) for c in cols[:4]), pa.array(high), pa.array(low)], names=names)
                     counts, out = [], []
 
     return rows.mapInArrow(run, f"doc_id {id_type}, text_hash long, place int, start int, length int, words int, high long, low int")
