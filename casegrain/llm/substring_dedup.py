@@ -74,7 +74,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "place")
     # Two different ranks make a digest a repeated one; each task sends a row per digest.
     firsts = units.groupBy("high", "low").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
-    firsts = firsts.select(F.col("high").alias("_high"), F.col("low").alias("_low"), "first")
+    # A table of its own, so that the join's both sides come from exchanges and hot digests can be divided.
+    firsts = written(firsts.select(F.col("high").alias("_high"), F.col("low").alias("_low"), "first"), "firsts")
     later = units.join(firsts, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low"))).where(F.col("first") < rank)
     later = later.select("doc_id", "text_hash", "place", "start", "length", "words", F.col("first.doc_id").alias("kept")).distinct()
     own = Window.partitionBy("doc_id", "text_hash").orderBy("place")
