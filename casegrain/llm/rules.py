@@ -1,7 +1,7 @@
 """Quality rules, in DataFrame operations only.
 
-Fixed rules look at a text's length and repetition. For the others, hashed n-grams (words and pairs of words, GRAM_BUCKETS
-buckets each) are counted over a trusted target and over the raw corpus. A text's score is the log-likelihood ratio
+Fixed rules look at a text's length and repetition. For the others, hashed n-grams (words and pairs of words, in GRAM_BUCKETS
+buckets) are counted over a trusted target and over the raw corpus. A text's score is the log-likelihood ratio
 of the two multinomials, summed over its n-grams and divided by their number; it is kept at THRESHOLD or
 more. The ratio of a bucket is shrunk towards 1 as if SHRINK more of its n-grams had been seen at the usual rate, so that
 rare n-grams say little. Counts cover every text; the table of ratios has a fixed size and is broadcast.
@@ -20,24 +20,31 @@ from pyspark.sql import functions as F
 
 from casegrain.llm.common import SPACED, table, written
 
-GRAM_BUCKETS = 1 << 16
+GRAM_BUCKETS = 1 << 17
 SHRINK, THRESHOLD = 20.0, -0.15
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
 #: Ids that are broadcast at most (16 MB); beyond, the join shuffles.
 MOST_IDS = 2_000_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
-_WINDOWS = "transform(sequence(0, size(_wh) - 5), i -> xxhash64(_wh[i], _wh[i + 1], _wh[i + 2], _wh[i + 3], _wh[i + 4]))"
 #: Windows sorted by hash; those equal to a neighbour; their places in order; the words they cover.
 _SORTED = "sort_array(transform(_win, (h, i) -> struct(h, i)))"
 _AGAIN = "transform(filter(sequence(0, size(_sorted) - 1), j -> (j > 0 and _sorted[j].h = _sorted[greatest(j - 1, 0)].h) or (j < size(_sorted) - 1 and _sorted[j].h = _sorted[least(j + 1, size(_sorted) - 1)].h)), j -> _sorted[j].i)"
 _COVERED = "aggregate(sort_array(_again), named_struct('n', 0L, 'last', -5), (a, p) -> named_struct('n', a.n + least(5, p - a.last), 'last', p), a -> a.n)"
 
 
+def _hashed_with_later(a: str, b: str, places: int) -> Column:
+    """Hashes of each element of ``a`` with the element of ``b`` that is ``places`` further on; as many as there are such pairs."""
+    n = F.size(b) - places
+    pairs = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(places + 1), n), lambda x, y: F.xxhash64(x, y))
+    return F.when(n > 0, pairs).otherwise(F.array().cast("array<bigint>"))
+
+
 def worded(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_wh``, the hashes of its words in order."""
+    """``docs`` with ``_wh``, the hashes of its words in order, and ``_pairs``, those of its pairs of words."""
     words = F.regexp_extract_all("text", F.lit(SPACED), F.lit(0))
-    return docs.withColumn("_wh", F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>")))
+    out = docs.withColumn("_wh", F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>")))
+    return out.withColumn("_pairs", _hashed_with_later("_wh", "_wh", 1))
 
 
 def based(docs: DataFrame) -> DataFrame:
@@ -45,7 +52,8 @@ def based(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
     out = worded(docs)
-    out = out.withColumns({"n_words": F.size("_wh").cast("long"), "_lines": lines, "_win": F.expr(f"if(size(_wh) < 5, cast(array() as array<bigint>), {_WINDOWS})")})
+    out = out.withColumns({"n_words": F.size("_wh").cast("long"), "_lines": lines, "_fours": _hashed_with_later("_pairs", "_pairs", 2)})
+    out = out.withColumn("_win", _hashed_with_later("_fours", "_wh", 4))
     out = out.withColumn("_sorted", F.expr(f"if(size(array_distinct(_win)) = size(_win), null, {_SORTED})"))
     out = out.withColumn("_again", F.expr(f"if(_sorted is null, null, {_AGAIN})"))
     out = out.withColumns({
@@ -55,24 +63,30 @@ def based(docs: DataFrame) -> DataFrame:
         "n_repeat_words": F.expr(f"if(_again is null, 0L, {_COVERED})"),
     })
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_lines", "_win", "_sorted", "_again")
+    return out.withColumn("base_failed", failed).drop("_lines", "_fours", "_win", "_sorted", "_again")
 
 
-def grams() -> Column:
-    """Buckets of the words, then of the pairs of words."""
-    one = f"transform(_wh, h -> cast(pmod(h, {GRAM_BUCKETS}L) as int))"
-    two = f"if(size(_wh) < 2, cast(array() as array<int>), transform(sequence(0, size(_wh) - 2), i -> cast(pmod(xxhash64(_wh[i], _wh[i + 1]), {GRAM_BUCKETS}L) as int) + {GRAM_BUCKETS}))"
-    return F.expr(f"concat({one}, {two})")
+def exploded(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` with the bucket of each word and each pair of words; a row without words has one row, without a bucket."""
+    each = rows.select(*columns, F.explode_outer(F.concat("_wh", "_pairs")).alias("_h"))
+    return each.select(*columns, F.pmod("_h", F.lit(GRAM_BUCKETS)).cast("int").alias("bucket"))
 
 
-def _counted(docs: DataFrame, name: str) -> DataFrame:
-    return worded(docs.select("text")).select(F.explode(grams()).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+def flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text, trusted): whether a row's id is among the ids of ``trusted``."""
+    ids = written(trusted.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct(), "trusted_ids")
+    few = ids.count() <= MOST_IDS
+    out = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left")
+    return out.select("text", F.col("_id").isNotNull().cast("int").alias("trusted"))
 
 
 def gram_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, ratio): logarithms of target over raw probabilities; 2 * GRAM_BUCKETS rows at most."""
-    raw, target = _counted(docs, "raw"), _counted(trusted, "target")
-    both = written(raw.join(target, "bucket", "left").fillna(0, ["target"]), "grams")
+    """(bucket, ratio): logarithms of target over raw probabilities; GRAM_BUCKETS rows at most.
+
+    One pass counts both corpora.
+    """
+    each = exploded(worded(flagged(docs, trusted)), "trusted").where("bucket is not null")
+    both = written(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")), "grams")
     seen = both.agg(F.coalesce(F.sum("target") / F.sum("raw"), F.lit(0.0)).alias("rate")).first()["rate"]
     shrunk = (F.col("target") + SHRINK * seen) / (F.col("raw") + SHRINK) / (seen or 1.0)
     return written(both.select("bucket", (F.log(shrunk) if seen else F.lit(0.0)).alias("ratio")), "ratios")
@@ -85,13 +99,13 @@ def rated(docs: DataFrame, ratios: DataFrame) -> DataFrame:
     """
     rows = based(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")).withColumn("_row", F.monotonically_increasing_id())
     own = ["doc_id", "text_hash", *BASE]
-    each = rows.select("_row", *own, F.explode_outer(grams()).alias("bucket"))
-    each = each.join(F.broadcast(ratios), "bucket", "left")
+    each = exploded(rows, "_row", *own).join(F.broadcast(ratios), "bucket", "left")
     score = F.coalesce(F.sum("ratio") / F.count("bucket"), F.lit(0.0)).alias("score")
     return each.groupBy("_row").agg(*[F.max(c).alias(c) for c in own], score).drop("_row")
 
 
 def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``rated`` with ``kept``; the trusted target is the documents whose doc_id ``trusted`` has."""
     out = rated(docs, gram_ratios(docs, trusted))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
@@ -103,13 +117,7 @@ def filtered(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD)
     return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi").select("_row.*")
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The trusted target: the documents with label 1 of quality."""
-    ids = written(labels.where("quality = 1").select("doc_id").distinct(), "trusted_ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_semi")
-
-
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = verdicts(docs, labelled(docs, table(spark, sf_dir, "labels")))
+    out = verdicts(docs, table(spark, sf_dir, "labels").where("quality = 1"))
     return out.select("doc_id", *BASE, "kept", "score")

@@ -33,7 +33,7 @@ def signed(h):
 def buckets(text):
     own = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text or "")]
     n = rules.GRAM_BUCKETS
-    return [signed(h) % n for h in own] + [signed(hashed(p)) % n + n for p in zip(own, own[1:])]
+    return [signed(h) % n for h in own] + [signed(hashed(p)) % n for p in zip(own, own[1:])]
 
 
 def brute(docs, trusted):
