@@ -129,7 +129,7 @@ def viewing_cone(spark, d):
     own = e.withColumn("fov", geo.fields_of_view(focal))
     cone = geo.viewing_cone(F.col("lat"), F.col("lon"), (F.col("point_id") % 360).cast("double"), F.col("fov.hfov"))
     rows = own.select("point_id", "fov", F.posexplode(cone).alias("place", "p"))
-    return rows.select("point_id", F.col("place").cast("int").alias("place"), F.round("fov.hfov", 4).alias("hfov"), F.round("fov.vfov", 4).alias("vfov"), F.round("fov.dfov", 4).alias("dfov"), F.round("p.lat", 5).alias("lat"), F.round("p.lon", 5).alias("lon"))
+    return rows.select("point_id", F.col("place").cast("int").alias("place"), F.round("fov.hfov", 4).alias("hfov"), F.round("fov.vfov", 4).alias("vfov"), F.round("fov.dfov", 4).alias("dfov"), (F.round("p.lat", 5) + 0.0).alias("lat"), (F.round("p.lon", 5) + 0.0).alias("lon"))
 
 
 @query

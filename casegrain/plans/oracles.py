@@ -144,8 +144,8 @@ c AS (SELECT *, degrees(2.0*atan(36.0/(2.0*f))) AS hfov, degrees(2.0*atan(24.0/(
 d AS (SELECT c.*, i AS place, ({left}+(i-1)/16.0::DOUBLE*hfov)%360.0::DOUBLE AS br FROM c, range(0,19) AS t(i)),
 e AS (SELECT *, asin(sin(radians(lat))*cos(300.0/6371008.8)+cos(radians(lat))*sin(300.0/6371008.8)*cos(radians(br))) AS la FROM d)
 SELECT point_id, place::INT AS place, round(hfov,4) AS hfov, round(vfov,4) AS vfov, round(dfov,4) AS dfov,
- round(CASE WHEN place IN (0,18) THEN lat ELSE degrees(la) END,5) AS lat,
- round(CASE WHEN place IN (0,18) THEN lon ELSE degrees(radians(lon)+atan2(sin(radians(br))*sin(300.0/6371008.8)*cos(radians(lat)), cos(300.0/6371008.8)-sin(radians(lat))*sin(la))) END,5) AS lon FROM e"""
+ round(CASE WHEN place IN (0,18) THEN lat ELSE degrees(la) END,5)+0.0::DOUBLE AS lat,
+ round(CASE WHEN place IN (0,18) THEN lon ELSE degrees(radians(lon)+atan2(sin(radians(br))*sin(300.0/6371008.8)*cos(radians(lat)), cos(300.0/6371008.8)-sin(radians(lat))*sin(la))) END,5)+0.0::DOUBLE AS lon FROM e"""
 
 
 def _confidence() -> str:
