@@ -109,8 +109,7 @@ def fields(parsed_rows: DataFrame) -> DataFrame:
 
 
 def store(files: DataFrame, folder: str) -> DataFrame:
-    """Originals under their hash, each once; returns the custody table (sha256, path, length, stored)."""
+    """Originals under their hash, each once; returns the custody table (sha256, path, length) as it was stored."""
     new = files.select("sha256", "path", "length", "content").dropDuplicates(["sha256"])
-    out = new.withColumn("prefix", F.substring("sha256", 1, 2))
-    out.write.mode("append").partitionBy("prefix").parquet(folder)
-    return new.drop("content").withColumn("stored", F.lit(folder))
+    new.withColumn("prefix", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("prefix").parquet(folder)
+    return files.sparkSession.read.parquet(folder).select("sha256", "path", "length")

@@ -16,15 +16,15 @@ def seg(code, body):
 
 
 def exif_block(order="<"):
-    """Make, a date in a sub-directory, a latitude."""
+    """Make, a date in a sub-directory, a place."""
     p = lambda f, *a: struct.pack(order + f, *a)
     entries = [(0x010F, 2, 6, 200), (0x8769, 4, 1, 80), (0x8825, 4, 1, 120)]
     head = (b"II" if order == "<" else b"MM") + p("HI", 42, 8)
     ifd0 = p("H", len(entries)) + b"".join(p("HHII", *e) for e in entries) + p("I", 0)
     sub = p("H", 1) + p("HHII", 0x9003, 2, 20, 210) + p("I", 0)
-    gps = p("H", 2) + p("HHI", 1, 2, 2) + b"S\0\0\0" + p("HHII", 2, 5, 3, 240) + p("I", 0)
+    gps = p("H", 4) + p("HHI", 1, 2, 2) + b"S\0\0\0" + p("HHII", 2, 5, 3, 240) + p("HHI", 3, 2, 2) + b"E\0\0\0" + p("HHII", 4, 5, 3, 264) + p("I", 0)
     out = bytearray(300)
-    for at, part in ((0, head), (8, ifd0), (80, sub), (120, gps), (200, b"Canon\0"), (210, b"2024:05:06 07:08:09\0"), (240, p("IIIIII", 48, 1, 30, 1, 0, 1))):
+    for at, part in ((0, head), (8, ifd0), (80, sub), (120, gps), (200, b"Canon\0"), (210, b"2024:05:06 07:08:09\0"), (240, p("IIIIII", 48, 1, 30, 1, 0, 1)), (264, p("IIIIII", 2, 1, 0, 1, 36, 1))):
         out[at : at + len(part)] = part
     return bytes(out)
 
