@@ -61,18 +61,21 @@ def _grams(text: bytes) -> np.ndarray:
 
 def _contrast(texts: list[list[bytes]], toxic: np.ndarray) -> np.ndarray:
     """Letter sequences (word ends count as letters) that toxic texts have far more often, for their length."""
-    counted, length = [], {}
-    for y in (True, False):
-        own = [np.unique(_grams(b" " + b" ".join(t) + b" "), return_counts=True) for t, label in zip(texts, toxic, strict=True) if label == y]
-        length[y] = 1 + sum(int(n.sum()) for _, n in own)
-        seq, at = np.unique(np.concatenate([g for g, _ in own]), return_inverse=True)
-        times = np.minimum(np.concatenate([n for _, n in own]), MOST_TIMES)
-        counted.append((seq, np.bincount(at, weights=times, minlength=len(seq)), np.bincount(at, minlength=len(seq))))
-    (seq, n, texts_with), (other, m, _) = counted
-    at = np.minimum(np.searchsorted(other, seq), max(0, len(other) - 1))
-    ordinary = np.where(other[at] == seq, m[at], 0) if len(other) else np.zeros(len(seq))
-    odds = n / length[True] / ((ordinary + 0.5) / length[False])
-    return seq[(texts_with >= LEAST_TEXTS) & (odds > ODDS)]
+    lines = [b" " + b" ".join(t) + b" " for t in texts]
+    length = {y: 1 + sum(max(0, len(t) - GRAM + 1) for t, label in zip(lines, toxic, strict=True) if label == y) for y in (True, False)}
+    own = [np.unique(_grams(t), return_counts=True) for t, label in zip(lines, toxic, strict=True) if label]
+    seq, at, texts_with = np.unique(np.concatenate([g for g, _ in own]), return_inverse=True, return_counts=True)
+    times = np.bincount(at, weights=np.minimum(np.concatenate([n for _, n in own]), MOST_TIMES), minlength=len(seq))
+    seq, times = seq[texts_with >= LEAST_TEXTS], times[texts_with >= LEAST_TEXTS]
+    if not len(seq):
+        return seq
+    ordinary = np.zeros(len(seq))
+    for t, label in zip(lines, toxic, strict=True):
+        if not label:
+            grams = _grams(t)
+            at = np.minimum(np.searchsorted(seq, grams), len(seq) - 1)
+            ordinary += np.minimum(np.bincount(at[seq[at] == grams], minlength=len(seq)), MOST_TIMES)
+    return seq[times / length[True] / ((ordinary + 0.5) / length[False]) > ODDS]
 
 
 def _dictionary(words: list[bytes], size: int) -> bytes:
