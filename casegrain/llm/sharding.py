@@ -3,12 +3,13 @@
 Records are laid out on a line by a 64-bit key: 40 bits of the text's hash, so equal texts are neighbours,
 then 24 bits of the id's hash, so a group of copies can be cut anywhere. A sample weighted by size gives
 splitters at its quantiles; records fall into the ranges between them; ranges that turn out overfull are
-subdivided by a further hash. Exact bytes and rows of each range, summed along the line, place every range, a
+subdivided by samples of their own. Exact bytes and rows of each range, summed along the line, place every range, a
 window inside each range places every record, and the line is cut into shards of equal bytes. Splitters
 decide how the work is spread, never the result.
 
-Law: ``bytes``. A record goes where the middle of its bytes falls, so shards differ by at most one record.
-Equal texts share a shard, or neighbouring ones if a cut falls among them.
+Law: ``bytes``. A group of equal texts goes as one where the middle of its bytes falls, if it has at most
+WHOLE_GROUP of a shard's bytes; records of larger groups go each where their own middle falls. So shards differ
+by no more than a group or a record of that size, and a large group is spread over neighbouring shards.
 
 Defined results: a null text has 0 bytes (size 16, CRC of nothing); null ids hash as empty text; rows equal
 in id and text may change places among themselves; an empty table gives an empty result; of extra columns
@@ -17,6 +18,9 @@ all stay, except those named like the added ones (shard, slot, size, text_crc32)
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +33,10 @@ OVERHEAD = 16
 RANGES_PER_SHARD, ROWS_PER_RANGE = 16, 1_000_000
 #: Sampled keys for each range; a range with more than OVERFULL times its share is subdivided.
 SAMPLES_PER_RANGE, OVERFULL = 8, 4
-#: Pieces of an overfull range at most.
-PIECES = 4096
+#: Rounds of sampling at most; share of a shard up to which a group stays whole.
+ROUNDS, WHOLE_GROUP = 4, 0.02
+#: The key's bits that tell texts apart.
+GROUP = ~0xFFFFFF
 ADDED = ("size", "text_crc32", "shard", "slot")
 
 
@@ -39,7 +45,7 @@ def _text() -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    high = F.xxhash64(_text()).bitwiseAND(F.lit(~0xFFFFFF))
+    high = F.xxhash64(_text()).bitwiseAND(F.lit(GROUP))
     key = high.bitwiseOR(F.xxhash64(id_text("doc_id")).bitwiseAND(F.lit(0xFFFFFF)))
     return docs.withColumns({"size": F.octet_length(_text()).cast("long") + OVERHEAD, "_key": key})
 
@@ -58,17 +64,46 @@ def _fold(splitters: list[int], key: Column) -> Column:
     return F.aggregate(steps, F.lit(0), step)
 
 
+def _quantiles(sample: list[int], pieces: int) -> set[int]:
+    """Keys that cut a sorted sample into equal pieces; only groups that several quantiles fall into are cut inside."""
+    chosen = {sample[len(sample) * i // pieces] for i in range(1, pieces)} if sample else set()
+    within = Counter(x & GROUP for x in chosen)
+    return {x if within[x & GROUP] > 1 else x & GROUP for x in chosen}
+
+
+def _sampled(slim: DataFrame, keys_per_byte: float, seed: int) -> list[int]:
+    """Keys, each drawn with a chance in proportion to its bytes."""
+    draw = F.xxhash64("_key", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    return sorted(r[0] for r in slim.where(draw < F.col("size") * F.lit(keys_per_byte)).select("_key").collect())
+
+
+def ranged(df: DataFrame, splitters: list[int]) -> DataFrame:
+    return df.withColumn("_range", _fold(splitters, F.col("_key")))
+
+
 def sampled_splitters(slim: DataFrame, shards: int) -> tuple[list[int], int]:
-    """Quantiles of a sample of keys, each drawn with a chance in proportion to its bytes, and all bytes.
+    """Splitters at the quantiles of a sample, with overfull ranges subdivided by samples of their own; and all bytes.
 
-    The sample comes to the driver: SAMPLES_PER_RANGE keys for each range on average, a few MB at 100 TB.
+    The samples come to the driver: SAMPLES_PER_RANGE keys for each range on average, a few MB at 100 TB. A range that
+    is one key can't be subdivided; its rows are alike.
     """
     rows, total = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(shards * RANGES_PER_SHARD, -(-rows // ROWS_PER_RANGE))
-    chance = F.col("size") * F.lit(SAMPLES_PER_RANGE * ranges / max(total, 1))
-    draw = F.xxhash64("_key", F.lit(7)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    sample = sorted(r[0] for r in slim.where(draw < chance).select("_key").collect())
-    return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)} if sample else ()), int(total)
+    density = SAMPLES_PER_RANGE * ranges / max(total, 1)
+    splitters = sorted(_quantiles(_sampled(slim, density, 7), ranges))
+    for round_ in range(1, ROUNDS):
+        sums = ranged(slim, splitters).groupBy("_range").agg(F.sum("size").alias("b"), F.min("_key").alias("low"), F.max("_key").alias("high"))
+        full = sums.where((F.col("b") > OVERFULL * total / ranges) & (F.col("low") < F.col("high"))).collect()
+        if not full:
+            break
+        among = ranged(slim, splitters).where(F.col("_range").isin([r["_range"] for r in full]))
+        sample = _sampled(among, 4 * density, 7 + round_)
+        new = set()
+        for r in full:
+            own = sample[bisect_left(sample, r["low"]) : bisect_right(sample, r["high"])]
+            new |= {x for x in _quantiles(own, int(r["b"] * ranges / total) + 1) if x > r["low"]}
+        splitters = sorted({*splitters, *new})
+    return splitters, int(total)
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -76,30 +111,22 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = keyed(docs.drop(*ADDED))
     slim = written(rows.select("doc_id", "size", "_key"), "keys")
     splitters, total = sampled_splitters(slim, shards)
-    share = total / (len(splitters) + 1)
-
-    # Overfull ranges are subdivided by a finer hash; the pieces keep the order of the line.
-    ranged = lambda df: df.withColumn("_range", _fold(splitters, F.col("_key")))
-    full = ranged(slim).groupBy("_range").agg(F.sum("size").alias("b")).where(F.col("b") > OVERFULL * share)
-    parts = {r["_range"]: min(PIECES, int(r["b"] / share) + 1) for r in full.collect()}  # at most a range each
-    pieces = F.lit(1)
-    for at, n in sorted(parts.items()):
-        pieces = F.when(F.col("_range") == at, F.lit(n)).otherwise(pieces)
-    fine = F.xxhash64("_key", id_text("doc_id"), F.lit(11))
-    placed = lambda df: ranged(df).withColumn("_piece", F.pmod(fine, pieces).cast("int"))
-
-    # A row for each piece; the windows without a key see these rows only.
-    sums = placed(slim).groupBy("_range", "_piece").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    line = Window.orderBy("_range", "_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(sums.select((F.col("_range").cast("long") * PIECES + F.col("_piece")).alias("_spot"), *[F.coalesce(F.sum(c).over(line), F.lit(0)).alias(f"_{c}0") for c in ("b", "n")]), "starts")
 
-    inside = Window.partitionBy("_range", "_piece").orderBy("_key", "doc_id", "size")
+    # A row for each range; the window without a key sees these rows only.
+    sums = ranged(slim, splitters).groupBy("_range").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    line = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(sums.select((F.col("_range") + 1).alias("_next"), *[F.coalesce(F.sum(c).over(line), F.lit(0)).alias(f"_{c}0") for c in ("b", "n")]), "starts")
+    inside = Window.partitionBy("_range").orderBy("_key", "doc_id", "size")
+    group = Window.partitionBy("_range", F.col("_key").bitwiseAND(F.lit(GROUP)))
 
     def on_line(df: DataFrame) -> DataFrame:
-        out = placed(df).withColumns({"_b": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "_n": F.row_number().over(inside) - 1})
+        out = ranged(df, splitters).withColumns({"_b": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "_n": F.row_number().over(inside) - 1})
+        out = out.withColumns({"_g": F.min("_b").over(group), "_gs": F.sum("size").over(group)})
         # An expression, not a column, on the left: no filters are inferred from it for the other side.
-        out = out.join(starts, F.col("_range").cast("long") * PIECES + F.col("_piece") == F.col("_spot"))
-        out = out.withColumn("_mid", F.col("_b0") + F.col("_b") + F.floor(F.col("size") / 2))
+        out = out.join(starts, F.col("_range") + 1 == F.col("_next"))
+        whole = F.col("_gs") <= F.lit(WHOLE_GROUP * total / shards)
+        middle = F.when(whole, F.col("_g") + F.floor(F.col("_gs") / 2)).otherwise(F.col("_b") + F.floor(F.col("size") / 2))
+        out = out.withColumn("_mid", F.col("_b0") + middle)
         shard = F.least(F.expr(f"{shards} * _mid div {max(total, 1)}"), F.lit(shards - 1)).cast("int")
         return out.withColumns({"shard": shard, "_at": F.col("_n0") + F.col("_n")})
 

@@ -5,7 +5,7 @@ import numpy as np
 from casegrain.llm import sharding
 
 
-def check(rows, docs, shards):
+def check(rows, docs, shards, slack=0.0):
     want = sorted((d["doc_id"] is None, d["doc_id"] or 0, len((d["text"] or "").encode()) + 16, zlib.crc32((d["text"] or "").encode())) for d in docs)
     assert want == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in rows)
     by = {}
@@ -16,27 +16,31 @@ def check(rows, docs, shards):
         assert sorted(s for s, _ in own) == list(range(len(own)))
     total, most = sum(r["size"] for r in rows), max(r["size"] for r in rows)
     for k in range(shards):
-        assert abs(sum(s for _, s in by.get(k, [])) - total / shards) <= most
+        assert abs(sum(s for _, s in by.get(k, [])) - total / shards) <= most + slack * total / shards
 
 
 def test_query(spark, sf):
     rows = sharding.op7_shard(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    check(rows, docs, 40)
+    check(rows, docs, 40, 0.02)
+    texts = {}
+    for d, r in zip(sorted(docs), sorted(rows), strict=True):
+        texts.setdefault(d["text"], set()).add(r["shard"])
+    assert max(map(len, texts.values())) <= 2
     assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
     assert sorted(rows) == sorted(sharding.op7_shard(spark, sf).collect())
 
 
 def test_hot_text_is_cut_and_others_stay_together(docs_of, monkeypatch):
     monkeypatch.setattr(sharding, "SAMPLES_PER_RANGE", 1)  # poor splitters: ranges are subdivided
-    docs = docs_of([(k, "hot " * 30 if k % 3 == 0 else f"text {k // 6} " * 20) for k in range(900)])
+    docs = docs_of([(k, "hot " * 30 if k % 3 == 0 else f"text {k // 20} " * 2) for k in range(1800)])
     rows = sharding.sharded(docs, 4).collect()
-    check(rows, docs.collect(), 4)
+    check(rows, docs.collect(), 4, 0.02)
     groups = {}
     for r in rows:
         groups.setdefault(r["text"], set()).add(r["shard"])
     assert len(groups["hot " * 30]) > 1
-    assert sum(len(s) > 1 for t, s in groups.items() if t[0] != "h") <= 3
+    assert len(groups) == 91 and sum(len(s) > 1 for t, s in groups.items() if t[0] != "h") == 0
 
 
 def test_odd_rows(odd, docs_of):
