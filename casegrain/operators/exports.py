@@ -30,22 +30,41 @@ def stix_objects(records: DataFrame) -> DataFrame:
     risky = F.col("risk_level").isin("HIGH", "CRITICAL") | F.coalesce("trailing", F.lit(False))
     kinds = F.when(risky, F.array(F.lit("file"), F.lit("indicator"), F.lit("relationship"))).otherwise(F.array(F.lit("file")))
     rows = records.select("sha256", F.explode(kinds).alias("type"))
-    h = F.sha2(F.concat_ws(":", "type", "sha256"), 256)
+    return rows.withColumn("id", stix_id("", F.col("sha256"), F.col("type")))
+
+
+def stix_id(kind: str, sha256, column=None):
+    """An id that follows from the hash and the object's type."""
+    named = F.lit(kind) if column is None else column
+    h = F.sha2(F.concat_ws(":", named, sha256), 256)
     uid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4))], F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
-    return rows.withColumn("id", F.concat_ws("--", "type", uid))
+    return F.concat_ws("--", named, uid)
+
+
+def stix_json(records: DataFrame, created: str) -> DataFrame:
+    """(sha256, type, id, object) as STIX 2.1; ``created`` stands in all objects' times, so reruns are equal."""
+    rows = stix_objects(records).join(records.select("sha256", "file_name", "mime_type"), "sha256")
+    uid = lambda kind: stix_id(kind, F.col("sha256"))
+    common = [F.lit("2.1").alias("spec_version"), F.col("id")]
+    times = [F.lit(created).alias("created"), F.lit(created).alias("modified")]
+    file = F.struct(F.col("type"), *common, F.col("file_name").alias("name"), F.create_map(F.lit("SHA-256"), F.col("sha256")).alias("hashes"), "mime_type")
+    pattern = F.concat(F.lit("[file:hashes.'SHA-256' = '"), F.col("sha256"), F.lit("']"))
+    indicator = F.struct(F.col("type"), *common, *times, F.concat(F.lit("Forensic anomaly: "), F.col("file_name")).alias("name"), F.array(F.lit("anomalous-activity")).alias("indicator_types"), pattern.alias("pattern"), F.lit("stix").alias("pattern_type"), F.lit(created).alias("valid_from"))
+    relation = F.struct(F.col("type"), *common, *times, F.lit("indicates").alias("relationship_type"), uid("indicator").alias("source_ref"), uid("file").alias("target_ref"))
+    text = F.when(F.col("type") == "file", F.to_json(file)).when(F.col("type") == "indicator", F.to_json(indicator)).otherwise(F.to_json(relation))
+    return rows.select("sha256", "type", "id", text.alias("object"))
 
 
 def timeline_rows(events: DataFrame) -> DataFrame:
-    """The eight columns of super-timelines (Plaso, Timesketch)."""
-    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    """The eight columns of super-timelines (Plaso, Timesketch); events have ts (in a UTC session), source, file_name, message, anomalous."""
     return events.select(
-        F.col("message").alias("message"),
-        F.unix_micros("ts").alias("timestamp"),
-        F.concat(stamp, F.lit("+00:00")).alias("datetime"),
-        F.col("source_label").alias("timestamp_desc"),
-        F.lit("IMAGE").alias("source_short"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("datetime"),
+        F.col("source").alias("timestamp_desc"),
+        F.lit("IMAGE").alias("source"),
         F.lit("Image metadata").alias("source_long"),
-        F.col("file_name").alias("filename"),
+        F.col("message"),
+        F.lit("timeline").alias("parser"),
+        F.col("file_name").alias("display_name"),
         F.when(F.col("anomalous"), "anomaly").otherwise("evidence_capture").alias("tag"),
     )
 

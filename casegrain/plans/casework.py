@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,15 +220,26 @@ def tier7(case: dict[str, DataFrame]) -> DataFrame:
 BUILT_IN = {1: tier1, 2: tier2, 3: tier3, 4: tier4, 5: tier5, 6: tier6, 7: tier7}
 
 
-def opened(files: DataFrame, **more: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a case of identified files; ``more`` may have corpus, places and images (sha256, image)."""
-    walked = sources.events(files)
+def opened(files: DataFrame, folder: str | None = None, **more: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a case of identified files; ``more`` may have corpus, places and images (sha256, image).
+
+    The walk and the parse, which all tiers read, are done once: written to ``folder`` and reread, or else
+    kept by Spark, which computes lost parts again from the files.
+    """
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        if folder is None:
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    walked = once(sources.events(files), "events")
     case = {"files": files, "units": sources.units(walked), "blocks": sources.blocks(walked)}
-    parsed = sources.parsed(case["blocks"])
+    parsed = once(sources.parsed(case["blocks"]), "parsed")
     case |= {"fields": sources.fields(parsed), "diagnostics": sources.diagnostics(walked, parsed)} | more
-    case["facts"] = facts(case["fields"])
+    case["facts"] = once(facts(case["fields"]), "facts")
     if "images" in more:
-        case["pixels"] = pixels(more["images"])
+        case["pixels"] = once(pixels(more["images"]), "pixels")
     return case
 
 

@@ -456,7 +456,7 @@ def stix_objects(spark, d):
 
 @query
 def timeline_export(spark, d):
-    rows = timeline.kinematics(derive.fixes(spark, d)).select("ts", F.col("kinematic_anomaly").alias("anomalous"), F.col("event_type").alias("message"), F.lit("DateTimeOriginal").alias("source_label"), F.col("ordinal").cast("string").alias("file_name"))
+    rows = timeline.kinematics(derive.fixes(spark, d)).select("ts", F.col("kinematic_anomaly").alias("anomalous"), F.col("event_type").alias("message"), F.lit("DateTimeOriginal").alias("source"), F.col("ordinal").cast("string").alias("file_name"))
     return exports.timeline_rows(rows)
 
 

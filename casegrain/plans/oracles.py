@@ -264,7 +264,7 @@ ORACLES: dict[str, str] = {
     "relational_gps": "SELECT doc_id AS sha256, (doc_id%90)::DOUBLE AS latitude, (doc_id%180)::DOUBLE AS longitude FROM documents WHERE doc_id%4=0",
     "stix_objects": f"""WITH {_signals()}, a AS (SELECT sha256(sha256::VARCHAR) AS sha256, unnest(CASE WHEN risk_level IN ('HIGH','CRITICAL') OR trl THEN ['file','indicator','relationship'] ELSE ['file'] END) AS type FROM vd), b AS (SELECT *, sha256(type||':'||sha256) AS h FROM a)
  SELECT sha256, type, type||'--'||substr(h,1,8)||'-'||substr(h,9,4)||'-5'||substr(h,14,3)||'-8'||substr(h,18,3)||'-'||substr(h,21,12) AS id FROM b""",
-    "timeline_export": f"WITH {_KIN} SELECT event_type AS message, epoch_us(ts) AS timestamp, strftime(ts,'%Y-%m-%dT%H:%M:%S')||'+00:00' AS datetime, 'DateTimeOriginal' AS timestamp_desc, 'IMAGE' AS source_short, 'Image metadata' AS source_long, ordinal::VARCHAR AS filename, CASE WHEN coalesce(kmh>1000,false) THEN 'anomaly' ELSE 'evidence_capture' END AS tag FROM kin",
+    "timeline_export": f"WITH {_KIN} SELECT strftime(ts,'%Y-%m-%dT%H:%M:%S')||'+00:00' AS datetime, 'DateTimeOriginal' AS timestamp_desc, 'IMAGE' AS source, 'Image metadata' AS source_long, event_type AS message, 'timeline' AS parser, ordinal::VARCHAR AS display_name, CASE WHEN coalesce(kmh>1000,false) THEN 'anomaly' ELSE 'evidence_capture' END AS tag FROM kin",
     "bounding_box": f"WITH {FIX} SELECT case_id, min(lon) AS min_lon, min(lat) AS min_lat, max(lon) AS max_lon, max(lat) AS max_lat FROM fix WHERE {_usable('lat', 'lon')} GROUP BY case_id",
     "geojson_features": f"WITH {FIX} SELECT case_id, count(*) AS n_points, CASE WHEN count(*)>1 THEN 1 ELSE 0 END::BIGINT AS n_lines FROM fix WHERE {_usable('lat', 'lon')} GROUP BY case_id",
 }
