@@ -39,8 +39,9 @@ def grouped(items: DataFrame, key: Column, prefix: str) -> DataFrame:
 
 def outliers(clusters: DataFrame) -> DataFrame:
     """Clusters of one item, where there are several clusters and the largest has three items or more."""
-    every = clusters.agg(F.max("item_count").alias("_most"), F.count("*").alias("_n"))
-    return clusters.where("item_count = 1").join(F.broadcast(every)).where(f"_most >= {OUTLIER_LEAST} and _n > 1").drop("_most", "_n")  # one row
+    every = Window.partitionBy()  # over one row per cluster
+    out = clusters.withColumns({"_most": F.max("item_count").over(every), "_n": F.count("*").over(every)})
+    return out.where(f"item_count = 1 and _most >= {OUTLIER_LEAST} and _n > 1").drop("_most", "_n")
 
 
 def _leaders(items: DataFrame, columns: list[str], near: Callable[[np.ndarray, np.ndarray], np.ndarray], prefix: str) -> DataFrame:

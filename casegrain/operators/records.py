@@ -97,11 +97,10 @@ _BUCKETS = {"authentic": ("AUTHENTIC",), "tampered": ("TAMPERED", "MODIFIED", "T
 def triage(verdicts: DataFrame) -> DataFrame:
     """(bucket, n, percent): a label counts in each bucket whose words it holds; a trailing payload is also "AI"."""
     label = F.col("verdict_label")
+    labels = verdicts.groupBy("verdict_label").agg(F.count("*").alias("c")).withColumn("_total", F.sum("c").over(Window.partitionBy()))  # a row per label
     hits = F.filter(F.array(*[F.when(_holds(label, *w), b) for b, w in _BUCKETS.items()]), lambda b: b.isNotNull())
-    rows = verdicts.select(F.explode(F.when(F.size(hits) == 0, F.array(F.lit("inconclusive"))).otherwise(hits)).alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    every = verdicts.agg(F.count("*").alias("_total"))
-    return counts.join(F.broadcast(every)).select("bucket", "n", F.round(100.0 * F.col("n") / F.col("_total"), 1).alias("percent"))  # one row
+    rows = labels.select("c", "_total", F.explode(F.when(F.coalesce(F.size(hits), F.lit(0)) <= 0, F.array(F.lit("inconclusive"))).otherwise(hits)).alias("bucket"))
+    return rows.groupBy("bucket").agg(F.sum("c").alias("n"), F.max("_total").alias("_total")).select("bucket", "n", F.round(100.0 * F.col("n") / F.col("_total"), 1).alias("percent"))
 
 
 def dossier(verdicts: DataFrame) -> DataFrame:

@@ -29,6 +29,16 @@ GPS_TAGS = dict(enumerate("GPSVersionID GPSLatitudeRef GPSLatitude GPSLongitudeR
 INTEROP_TAGS = {0x0001: "InteroperabilityIndex", 0x0002: "InteroperabilityVersion", 0x1000: "RelatedImageFileFormat", 0x1001: "RelatedImageWidth", 0x1002: "RelatedImageLength"}
 IPTC_TAGS = {5: "ObjectName", 25: "Keywords", 55: "DateCreated", 60: "TimeCreated", 80: "Byline (Author)", 85: "BylineTitle", 90: "City", 95: "Province/State", 101: "CountryName", 105: "Headline", 110: "Credit", 115: "Source", 116: "CopyrightNotice", 120: "Caption/Abstract"}
 ACTIONS = "c2pa.created c2pa.edited c2pa.opened c2pa.placed c2pa.published c2pa.transcoded c2pa.converted c2pa.resized".split()
+# makers' blobs: leading bytes, length of the header, names of entries.
+MAKERS = (
+    (b"Nikon\0\x02", 10, "Nikon", {0x0001: "NikonMakerNoteVersion", 0x0002: "NikonISOSetting", 0x001D: "NikonSerialNumber", 0x0084: "NikonLensInfo", 0x00A7: "NikonShutterCount"}),
+    (b"Nikon\0\x01", 8, "Nikon", {0x0001: "NikonMakerNoteVersion", 0x0002: "NikonISOSetting", 0x001D: "NikonSerialNumber", 0x0084: "NikonLensInfo", 0x00A7: "NikonShutterCount"}),
+    (b"Apple iOS\0", 14, "Apple", {0x0001: "AppleMakerNoteVersion", 0x0003: "AppleRunTime", 0x000E: "AppleHDRImageType", 0x0017: "AppleSceneFlags"}),
+    (b"SONY DSC \0", 12, "Sony", {0x2001: "SonyModelID", 0x2010: "SonySequenceNumber"}),
+    (b"SONY MOBILE\0", 12, "Sony", {0x2001: "SonyModelID", 0x2010: "SonySequenceNumber"}),
+    (b"", 0, "Canon", {0x0001: "CanonCameraSettings", 0x0004: "CanonShotInfo", 0x0006: "CanonImageType", 0x0007: "CanonFirmwareVersion", 0x000C: "CanonSerialNumber", 0x0095: "CanonLensModel"}),
+)
+MOST_MAKER_ENTRIES = 256
 SUBDIRECTORIES = {0x8769: ("ExifSubIFD", IMAGE_TAGS), 0x8825: ("GPS", GPS_TAGS), 0xA005: ("Interop", INTEROP_TAGS)}
 TYPES = {1: ("BYTE", 1, "B"), 2: ("ASCII", 1, "s"), 3: ("SHORT", 2, "H"), 4: ("LONG", 4, "I"), 5: ("RATIONAL", 8, "II"), 7: ("UNDEFINED", 1, "s"), 9: ("SLONG", 4, "i"), 10: ("SRATIONAL", 8, "ii")}
 
@@ -52,6 +62,26 @@ def _value(raw: bytes, kind: int, order: str) -> tuple[str, str]:
     return ", ".join(map(str, flat)), name
 
 
+def maker_note(blob: bytes, order: str, offset: int = 0) -> Iterator[Row]:
+    """Entries of a maker's directory, where the blob is one of a known maker's; places are the blob's own."""
+    _, skip, maker, names = next(m for m in MAKERS if blob.startswith(m[0]))
+    own, at = blob[skip:], 0
+    if maker == "Nikon" and own[:2] in (b"II", b"MM") and len(own) >= 8:
+        order = "<" if own[:2] == b"II" else ">"
+        at = struct.unpack(order + "I", own[4:8])[0]
+    count = struct.unpack(order + "H", own[at : at + 2])[0] if at + 2 <= len(own) else 0
+    if not 0 < count <= MOST_MAKER_ENTRIES or at + 2 + 12 * count > len(own):
+        return
+    for k in range(count):
+        entry = at + 2 + 12 * k
+        tag, kind, n = struct.unpack(order + "HHI", own[entry : entry + 8])
+        size = n * TYPES.get(kind, ("", 1, ""))[1]
+        place = entry + 8 if size <= 4 else struct.unpack(order + "I", own[entry + 8 : entry + 12])[0]
+        if place + size <= len(own):
+            text, name = _value(own[place : place + size], kind, order)
+            yield ("EXIF", f"MakerNote:{names.get(tag, f'{maker}Tag_0x{tag:04X}')}", text, name, f"0x{tag:04x}", offset + skip + place)
+
+
 def exif(data: bytes, offset: int = 0) -> Iterator[Row]:
     """The directories of an EXIF block, the main one's names bare, others' with the directory's name before them."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -86,6 +116,7 @@ def exif(data: bytes, offset: int = 0) -> Iterator[Row]:
             text, kind_name = _value(data[place : place + size], kind, order)
             if label == "MakerNote":
                 text = f"{size} bytes"
+                yield from maker_note(data[place : place + size], order, offset + place)
             yield ("EXIF", label if name == "IFD0" else f"{name}:{label}", text, kind_name, f"0x{tag:04x}", offset + place)
         end = at + 2 + 12 * count
         if name == "IFD0" and end + 4 <= len(data):
