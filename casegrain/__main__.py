@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain import governance
-from casegrain.functions import bits
-from casegrain.operators import artefacts, audit, clusters, encoders, exports, places, records, timeline
+from casegrain.functions import bits, cipher
+from casegrain.operators import artefacts, audit, bytestats, clusters, encoders, exports, places, records, timeline
 from casegrain.plans import casework
-from casegrain.sources import files
+from casegrain.sources import files, pictures
 
 EXIT_USAGE, EXIT_FAILED, EXIT_SCOPE = 2, 4, 6
 
@@ -29,8 +29,7 @@ def _case(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]
         more["places"] = found.withColumn("place_id", F.xxhash64("name", "lat", "lon"))
     own = files.evidence(spark, args.targets)
     if args.pixels:
-        images = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(args.targets)
-        more["images"] = images.withColumn("path", F.col("image.origin")).join(own.select("path", "sha256"), "path").select("sha256", "image")
+        more["images"] = pictures.decoded(spark, args.targets).join(own.select("path", "sha256"), "path").select("sha256", "image")
     return casework.opened(own, **more)
 
 
@@ -118,7 +117,39 @@ def audit_log(spark, args):
     return {"faults": audit.chain_faults(audit.hashed_entries(rows))}
 
 
-COMMANDS = {"analyze": analyze, "audit": audit_log, "clean": clean, "cluster": cluster, "diff": diff, "export": export, "extract": extract, "locate": locate, "probe": probe, "scan": scan, "timeline": timeline_of}
+def encrypt(spark, args):
+    rows = files.evidence(spark, args.targets).select("path", "content")
+    salt, iv = F.expr("substring(unhex(sha2(uuid(), 256)), 1, 16)"), F.expr("substring(unhex(sha2(uuid(), 256)), 1, 12)")
+    rows = rows.withColumns({"salt": salt, "iv": iv}).persist()  # drawn once
+    return {"sealed": rows.select("path", cipher.sealed(F.col("content"), cipher.key_column(args.password, F.col("salt")), F.col("salt"), F.col("iv")).alias("content"))}
+
+
+def decrypt(spark, args):
+    rows = spark.read.parquet(*args.targets)
+    return {"opened": rows.select("path", cipher.opened(F.col("content"), args.password).alias("content"))}
+
+
+def stego(spark, args):
+    found = casework.pixels(pictures.decoded(spark, args.targets).select(F.col("path").alias("sha256"), "image"))
+    return {"stego": found.select(F.col("sha256").alias("path"), "lsb_density", "lsb_anomaly", "covert", bytestats.covert_verdict(F.round("covert", 2)).alias("verdict"))}
+
+
+def geo_ingest(spark, args):
+    new = places.parse_places(spark.read.text(args.targets)).withColumn("ordinal", F.monotonically_increasing_id())
+    known = spark.read.parquet(args.places) if args.places else new.drop("ordinal").limit(0)
+    return {"places": places.merged(known, new)}
+
+
+def corpus(spark, args):
+    return {"corpus": encoders.read_corpus(spark, args.targets[0])}
+
+
+def doctor(spark, args):
+    parts = [("spark", spark.version), ("analysers", ", ".join(sorted(casework.ANALYSERS)) or "built in only"), ("refused", ", ".join(governance.REFUSED))]
+    return {"doctor": spark.createDataFrame(parts, "part string, state string")}
+
+
+COMMANDS = {"analyze": analyze, "audit": audit_log, "clean": clean, "cluster": cluster, "corpus": corpus, "decrypt": decrypt, "diff": diff, "doctor": doctor, "encrypt": encrypt, "export": export, "extract": extract, "geo": geo_ingest, "locate": locate, "probe": probe, "scan": scan, "stego": stego, "timeline": timeline_of}
 
 
 def main(argv: list[str]) -> int:
@@ -126,8 +157,8 @@ def main(argv: list[str]) -> int:
         argv = ["analyze", *argv]
     parser = argparse.ArgumentParser("casegrain", description=__doc__)
     parser.add_argument("command", choices=sorted(COMMANDS))
-    parser.add_argument("targets", nargs="+")
-    for name, text in (("out", "folder for the tables"), ("tiers", "such as 1,3,5"), ("filter", "has_gps, payload, authentic, modified, tier=N"), ("fields", "names or tag ids"), ("corpus", "encoder corpus in JSON"), ("places", "places in NDJSON"), ("scope", "authorisation scope in JSON"), ("secret", "the scope's secret"), ("ip", "LAT,LON of an address")):
+    parser.add_argument("targets", nargs="*", default=["."])
+    for name, text in (("out", "folder for the tables"), ("tiers", "such as 1,3,5"), ("filter", "has_gps, payload, authentic, modified, tier=N"), ("fields", "names or tag ids"), ("corpus", "encoder corpus in JSON"), ("places", "places in NDJSON"), ("scope", "authorisation scope in JSON"), ("secret", "the scope's secret"), ("ip", "LAT,LON of an address"), ("password", "for encrypt and decrypt")):
         parser.add_argument(f"--{name}", help=text)
     parser.add_argument("--strategy", choices=("camera", "dqt", "geo", "visual"), default="camera")
     parser.add_argument("--radius", type=float, default=clusters.RADIUS_KM)
