@@ -69,7 +69,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each span to remove: doc_id, text_hash, start, end, n_words, n_units, kept_doc_ids (documents that keep its units)."""
+    """A row for each span to remove: doc_id, text_hash, start, end, n_words, n_units, kept_doc_ids (the documents that keep its
+    units) and kept_doc_id (that which keeps most of its words, the least on ties).
+    """
     units = written(occurrences(docs), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "place")
     # Two different ranks make a digest a repeated one; each task sends a row per digest.
@@ -80,11 +82,14 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     later = later.select("doc_id", "text_hash", "place", "start", "length", "words", F.col("first.doc_id").alias("kept")).distinct()
     own = Window.partitionBy("doc_id", "text_hash").orderBy("place")
     runs = later.withColumn("run", F.col("place") - F.row_number().over(own))
-    spans = runs.groupBy("doc_id", "text_hash", "run").agg(
+    parts = runs.groupBy("doc_id", "text_hash", "run", "kept").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("words").alias("words"), F.count("*").alias("units"))
+    most = F.struct(F.col("kept").isNotNull(), "words", -F.col("kept"))
+    spans = parts.groupBy("doc_id", "text_hash", "run").agg(
         F.min("start").alias("start"),
-        F.max(F.col("start") + F.col("length")).alias("end"),
+        F.max("end").alias("end"),
         F.sum("words").alias("n_words"),
-        F.count("*").alias("n_units"),
+        F.sum("units").alias("n_units"),
+        F.max_by("kept", most).alias("kept_doc_id"),
         F.sort_array(F.collect_set("kept")).alias("kept_doc_ids"),
     )
     return spans.where(F.col("n_words") >= min_words).drop("run")
@@ -106,4 +111,5 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return removals(docs).select("doc_id", "start", "end", "n_words", "n_units", "kept_doc_ids")
+    ids = F.array_join(F.transform("kept_doc_ids", lambda i: i.cast("string")), ",")
+    return removals(docs).select("doc_id", "start", "end", "n_words", "n_units", "kept_doc_id", ids.alias("kept_doc_ids"))

@@ -26,8 +26,13 @@ def brute(docs, min_words=20):
     return out
 
 
+def ids(value):
+    return tuple(int(x) for x in value.split(",")) if isinstance(value, str) else tuple(value)
+
+
 def plain(rows):
-    return {(r["doc_id"], r["start"], r["end"], r["n_words"], r["n_units"], tuple(r["kept_doc_ids"])) for r in rows}
+    assert all(r["kept_doc_id"] in ids(r["kept_doc_ids"]) or r["kept_doc_id"] is None for r in rows)
+    return {(r["doc_id"], r["start"], r["end"], r["n_words"], r["n_units"], ids(r["kept_doc_ids"])) for r in rows}
 
 
 def test_query_equals_brute_force(spark, sf):
