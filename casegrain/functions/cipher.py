@@ -155,6 +155,20 @@ def candidates(sources: list[DataFrame]) -> DataFrame:
     return first.withColumn("ordinal", F.row_number().over(Window.orderBy("at")) - 1).select("candidate", "ordinal").where(F.col("ordinal") < MOST_CANDIDATES)
 
 
+# Words that are tried before a list of one's own.
+COMMON = "password 123456 12345678 1234 12345 qwerty admin secret test pass key abc123 root master default welcome login image photo picture private hidden camera phone".split()
+
+
+def usual_sources(spark, name: str, extra: list[str] | None = None, wordlist: DataFrame | None = None) -> list[DataFrame]:
+    """Tables for ``candidates``: forms of a file's name, extras, common words, a list's lines (value), 0000 to 0999."""
+    stem = name.rpartition("/")[2].rpartition(".")[0]
+    table = lambda words: spark.createDataFrame(list(zip(words, range(len(words)), strict=True)), "candidate string, place int")
+    out = [table([stem.replace("encrypted-", "").replace("scrambled-", ""), name.rpartition("/")[2], stem]), table(extra or []), table(COMMON)]
+    if wordlist is not None:
+        out.append(wordlist.select(F.trim("value").alias("candidate"), F.monotonically_increasing_id().alias("place")))
+    return [*out, spark.range(1000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("candidate"), F.col("id").alias("place"))]
+
+
 def gradient(patch: np.ndarray, key: str) -> float:
     """Mean difference of neighbours in a patch decrypted with a key: low for pictures, near 85 for noise."""
     own = streamed(patch, key)[:, :, :3].astype(int)

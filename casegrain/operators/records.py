@@ -121,6 +121,20 @@ def page(records: DataFrame, offset: int, limit: int) -> DataFrame:
     return records.orderBy("sha256").offset(offset).limit(limit)
 
 
+def get(records: DataFrame, sha256: str) -> DataFrame:
+    return records.where(F.col("sha256") == sha256)
+
+
+def without(records: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Records but those whose hashes are listed."""
+    return records.join(hashes.select("sha256").distinct(), "sha256", "left_anti")
+
+
+def saved(records: DataFrame, new: DataFrame) -> DataFrame:
+    """Records with new ones in place of those that share their hashes."""
+    return without(records, new).unionByName(new, allowMissingColumns=True)
+
+
 def capped(rows: DataFrame, by: str, most: int) -> DataFrame:
     """The first ``most`` rows of each group by ordinal, as displays show them."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("ordinal"))).where(F.col("_n") <= most).drop("_n")
