@@ -120,9 +120,9 @@ def _score(kind: str, x: Column) -> Column:
 
 def with_spans(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` with ``spans``: by kind as listed, then start."""
-    out = docs.drop("spans").withColumns({f"_{k}": located(F.col("text"), k) for k in PATTERNS})
-    kept = [F.filter(f"_{k}", lambda s: s["score"] >= min_score) if k in ADDED_KINDS else F.col(f"_{k}") for k in PATTERNS]
-    return out.withColumn("spans", F.coalesce(F.concat(*kept), F.array().cast(SPANS))).drop(*[f"_{k}" for k in PATTERNS])
+    out = docs.drop("spans").withColumns({f"_pii_{k}": located(F.col("text"), k) for k in PATTERNS})
+    kept = [F.filter(f"_pii_{k}", lambda s: s["score"] >= min_score) if k in ADDED_KINDS else F.col(f"_pii_{k}") for k in PATTERNS]
+    return out.withColumn("spans", F.coalesce(F.concat(*kept), F.array().cast(SPANS))).drop(*[f"_pii_{k}" for k in PATTERNS])
 
 
 def redacted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

@@ -13,7 +13,8 @@ by no more than a group or a record of that size, and a large group is spread ov
 
 Defined results: a null text has 0 bytes (size 16, CRC of nothing); null ids hash as empty text; rows equal
 in id and text may change places among themselves; an empty table gives an empty result; of extra columns
-all stay, except those named like the added ones (shard, slot, size, text_crc32), which are replaced.
+all stay, except those named like the added ones (shard, slot, size, text_crc32), which are replaced. Names that begin with _shard_ are
+the operator's own.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def _text() -> Column:
 def keyed(docs: DataFrame) -> DataFrame:
     high = F.xxhash64(_text()).bitwiseAND(F.lit(GROUP))
     key = high.bitwiseOR(F.xxhash64(id_text("doc_id")).bitwiseAND(F.lit(0xFFFFFF)))
-    return docs.withColumns({"size": F.octet_length(_text()).cast("long") + OVERHEAD, "_key": key})
+    return docs.withColumns({"size": F.octet_length(_text()).cast("long") + OVERHEAD, "_shard_key": key})
 
 
 def _fold(splitters: list[int], key: Column) -> Column:
@@ -73,12 +74,12 @@ def _quantiles(sample: list[int], pieces: int) -> set[int]:
 
 def _sampled(slim: DataFrame, keys_per_byte: float, seed: int) -> list[int]:
     """Keys, each drawn with a chance in proportion to its bytes."""
-    draw = F.xxhash64("_key", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    return sorted(r[0] for r in slim.where(draw < F.col("size") * F.lit(keys_per_byte)).select("_key").collect())
+    draw = F.xxhash64("_shard_key", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    return sorted(r[0] for r in slim.where(draw < F.col("size") * F.lit(keys_per_byte)).select("_shard_key").collect())
 
 
 def ranged(df: DataFrame, splitters: list[int]) -> DataFrame:
-    return df.withColumn("_range", _fold(splitters, F.col("_key")))
+    return df.withColumn("_shard_range", _fold(splitters, F.col("_shard_key")))
 
 
 def sampled_splitters(slim: DataFrame, shards: int) -> tuple[list[int], int]:
@@ -92,11 +93,11 @@ def sampled_splitters(slim: DataFrame, shards: int) -> tuple[list[int], int]:
     density = SAMPLES_PER_RANGE * ranges / max(total, 1)
     splitters = sorted(_quantiles(_sampled(slim, density, 7), ranges))
     for round_ in range(1, ROUNDS):
-        sums = ranged(slim, splitters).groupBy("_range").agg(F.sum("size").alias("b"), F.min("_key").alias("low"), F.max("_key").alias("high"))
+        sums = ranged(slim, splitters).groupBy("_shard_range").agg(F.sum("size").alias("b"), F.min("_shard_key").alias("low"), F.max("_shard_key").alias("high"))
         full = sums.where((F.col("b") > OVERFULL * total / ranges) & (F.col("low") < F.col("high"))).collect()
         if not full:
             break
-        among = ranged(slim, splitters).where(F.col("_range").isin([r["_range"] for r in full]))
+        among = ranged(slim, splitters).where(F.col("_shard_range").isin([r["_shard_range"] for r in full]))
         sample = _sampled(among, 4 * density, 7 + round_)
         new = set()
         for r in full:
@@ -109,31 +110,31 @@ def sampled_splitters(slim: DataFrame, shards: int) -> tuple[list[int], int]:
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with size, text_crc32, shard (0 to shards - 1) and slot (0, 1, ... in its shard)."""
     rows = keyed(docs.drop(*ADDED))
-    slim = written(rows.select("doc_id", "size", "_key"), "keys")
+    slim = written(rows.select("doc_id", "size", "_shard_key"), "keys")
     splitters, total = sampled_splitters(slim, shards)
 
     # A row for each range; the window without a key sees these rows only.
-    sums = ranged(slim, splitters).groupBy("_range").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    line = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(sums.select((F.col("_range") + 1).alias("_next"), *[F.coalesce(F.sum(c).over(line), F.lit(0)).alias(f"_{c}0") for c in ("b", "n")]), "starts")
-    inside = Window.partitionBy("_range").orderBy("_key", "doc_id", "size")
-    group = Window.partitionBy("_range", F.col("_key").bitwiseAND(F.lit(GROUP)))
+    sums = ranged(slim, splitters).groupBy("_shard_range").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    line = Window.orderBy("_shard_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(sums.select((F.col("_shard_range") + 1).alias("_shard_next"), *[F.coalesce(F.sum(c).over(line), F.lit(0)).alias(f"_shard_{c}0") for c in ("b", "n")]), "starts")
+    inside = Window.partitionBy("_shard_range").orderBy("_shard_key", "doc_id", "size")
+    group = Window.partitionBy("_shard_range", F.col("_shard_key").bitwiseAND(F.lit(GROUP)))
 
     def on_line(df: DataFrame) -> DataFrame:
-        out = ranged(df, splitters).withColumns({"_b": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "_n": F.row_number().over(inside) - 1})
-        out = out.withColumns({"_g": F.min("_b").over(group), "_gs": F.sum("size").over(group)})
+        out = ranged(df, splitters).withColumns({"_shard_b": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "_shard_n": F.row_number().over(inside) - 1})
+        out = out.withColumns({"_shard_g": F.min("_shard_b").over(group), "_shard_gs": F.sum("size").over(group)})
         # An expression, not a column, on the left: no filters are inferred from it for the other side.
-        out = out.join(starts, F.col("_range") + 1 == F.col("_next"))
-        whole = F.col("_gs") <= F.lit(WHOLE_GROUP * total / shards)
-        middle = F.when(whole, F.col("_g") + F.floor(F.col("_gs") / 2)).otherwise(F.col("_b") + F.floor(F.col("size") / 2))
-        out = out.withColumn("_mid", F.col("_b0") + middle)
-        shard = F.least(F.expr(f"{shards} * _mid div {max(total, 1)}"), F.lit(shards - 1)).cast("int")
-        return out.withColumns({"shard": shard, "_at": F.col("_n0") + F.col("_n")})
+        out = out.join(starts, F.col("_shard_range") + 1 == F.col("_shard_next"))
+        whole = F.col("_shard_gs") <= F.lit(WHOLE_GROUP * total / shards)
+        middle = F.when(whole, F.col("_shard_g") + F.floor(F.col("_shard_gs") / 2)).otherwise(F.col("_shard_b") + F.floor(F.col("size") / 2))
+        out = out.withColumn("_shard_mid", F.col("_shard_b0") + middle)
+        shard = F.least(F.expr(f"{shards} * _shard_mid div {max(total, 1)}"), F.lit(shards - 1)).cast("int")
+        return out.withColumns({"shard": shard, "_shard_at": F.col("_shard_n0") + F.col("_shard_n")})
 
     # The first place of each shard turns places on the line into slots: a row for each shard.
-    first = written(on_line(slim).groupBy(F.col("shard").alias("_s")).agg(F.min("_at").alias("_first")), "first")
-    done = on_line(rows.withColumn("text_crc32", F.crc32(F.encode(_text(), "UTF-8")))).join(F.broadcast(first), F.col("shard") == F.col("_s"))
-    return done.withColumn("slot", F.col("_at") - F.col("_first")).select(*docs.drop(*ADDED).columns, *ADDED)
+    first = written(on_line(slim).groupBy(F.col("shard").alias("_shard_s")).agg(F.min("_shard_at").alias("_shard_first")), "first")
+    done = on_line(rows.withColumn("text_crc32", F.crc32(F.encode(_text(), "UTF-8")))).join(F.broadcast(first), F.col("shard") == F.col("_shard_s"))
+    return done.withColumn("slot", F.col("_shard_at") - F.col("_shard_first")).select(*docs.drop(*ADDED).columns, *ADDED)
 
 
 def op7_shard(spark, sf_dir: str) -> DataFrame:

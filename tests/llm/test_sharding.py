@@ -44,10 +44,10 @@ def test_hot_text_is_cut_and_others_stay_together(docs_of, monkeypatch):
 
 
 def test_odd_rows(odd, docs_of):
-    clash = odd.selectExpr("*", "'x' as shard", "1 as _n", "2 as extra")
-    out = sharding.sharded(clash.drop("_n"), 3)
+    clash = odd.selectExpr("*", "'x' as shard", "1 as _n", "2 as extra", "3 as _key")
+    out = sharding.sharded(clash, 3)
     rows = out.collect()
-    assert {"extra", "lang"} <= set(out.columns)
+    assert {"extra", "lang"} <= set(out.columns) and {(r["_n"], r["_key"], r["extra"]) for r in rows} == {(1, 3, 2)}
     assert len(rows) == odd.count() and {r["shard"] for r in rows} <= {0, 1, 2}
     assert sharding.sharded(docs_of([]), 5).count() == 0
 
