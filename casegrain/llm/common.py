@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     checkpoint folder is set to ``/tmp/checkpoints``.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         sc.setCheckpointDir("/tmp/checkpoints")
         root = sc.getCheckpointDir()
