@@ -151,8 +151,8 @@ def candidates(sources: list[DataFrame]) -> DataFrame:
     for n, source in enumerate(sources):
         own = source.select("candidate", F.struct(F.lit(n).alias("n"), F.col("place").cast("long").alias("place")).alias("at"))
         rows = own if rows is None else rows.unionByName(own)
-    first = rows.where("candidate <> ''").groupBy("candidate").agg(F.min("at").alias("at"))
-    return first.withColumn("ordinal", F.row_number().over(Window.orderBy("at")) - 1).select("candidate", "ordinal").where(F.col("ordinal") < MOST_CANDIDATES)
+    first = rows.where("candidate <> ''").groupBy("candidate").agg(F.min("at").alias("at")).orderBy("at").limit(MOST_CANDIDATES)
+    return first.select("candidate", (F.row_number().over(Window.orderBy("at")) - 1).alias("ordinal"))
 
 
 # Words that are tried before a list of one's own.
