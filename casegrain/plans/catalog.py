@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain.functions import bits, geo, solar, timeparse
-from casegrain.operators import audit, bytestats, clusters, encoders, exports, places, records, timeline, verdict
-from casegrain.plans import derive
+from casegrain.operators import artefacts, audit, bytestats, clusters, encoders, exports, places, records, timeline, verdict
+from casegrain.plans import casework, derive
+from casegrain.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -432,6 +433,48 @@ def covert_risk(spark, d):
     return derive.table(spark, d, "documents").select("doc_id", F.round(score, 2).alias("score"), bytestats.covert_verdict(F.round(score, 2)).alias("verdict"))
 
 
+# Files
+
+
+@query
+def identified_files(spark, d):
+    return derive.pictures(spark, d).select("path", "length", "sha256", "format", "mime_type", "extension_mismatch")
+
+
+@query
+def walk_units(spark, d):
+    return files.units(files.events(derive.pictures(spark, d))).select("sha256", "name", "offset", "length")
+
+
+@query
+def exif_fields(spark, d):
+    walked = files.events(derive.pictures(spark, d))
+    return files.fields(files.parsed(files.blocks(walked))).select("sha256", "standard", "name", "value_str", "value_type", "tag_id")
+
+
+@query
+def clean_metadata(spark, d):
+    return artefacts.clean(derive.pictures(spark, d)).select("sha256", "cleaned_sha256", F.length("cleaned").cast("long").alias("length"))
+
+
+@query
+def extract_artefacts(spark, d):
+    return artefacts.extract(derive.pictures(spark, d)).select("sha256", "kind", "offset", "length", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query
+def data_stream_hashes(spark, d):
+    found = casework.findings(casework.opened(derive.pictures(spark, d)), (4,))
+    return found.where("name = 'image_data_stream_sha256'").select("sha256", "value")
+
+
+@query
+def file_verdicts(spark, d):
+    """From bytes to verdicts: walk, parse, findings of three tiers, fold."""
+    case = casework.opened(derive.pictures(spark, d))
+    return casework.verdicts(case, casework.findings(case, (1, 3, 6)))
+
+
 # Exports
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casegrain.functions import bits
 from casegrain.operators.encoders import CORPUS_SCHEMA, scaled_table
+from casegrain.sources import files
 
 HEADS = ("FFD8FFE0", "89504E470D0A1A0A", "49492A00", "474946383961", "424D", "504B0304", "38425053", "")
 LABELS = ("AUTHENTIC_CAMERA_CAPTURE", "TAMPERED_TRAILING_PAYLOAD", "AI_SYNTHETIC_GENERATION", "ENCRYPTED_OR_SCRAMBLED_CARRIER", "UNVERIFIED_METADATA_STRIPPED", "MODIFIED_METADATA_INCONSISTENT", "INCONCLUSIVE_SIGNALS")
@@ -139,3 +140,19 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("vec_id") % 2 == 0, F.array(F.lit("SOI"), F.lit("APP0"), F.lit("DQT"))).otherwise(F.array(F.lit("SOI"), F.lit("APP1"))).alias("segments"),
         F.when(F.col("vec_id") % 3 == 0, "4:4:4").otherwise("4:2:0").alias("subsampling"), (F.col("vec_id") % 5 == 0).alias("optimized"), F.lit("SOF0").alias("sof"),
     )
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JPEG files around documents: a camera's name in EXIF, a table, the whole text and the id as scan data, the language after the end of every third."""
+    d = table(spark, sf_dir, "documents")
+    hexed = lambda c: F.hex(F.encode(c, "UTF-8"))
+    make = hexed(F.concat(F.lit("Camera-"), "source"))
+    size = (F.length(make) / 2 + 1).cast("int")
+    word = F.lpad(F.hex(size), 2, "0")
+    exif = F.concat(F.lit("457869660000" "49492A0008000000" "0100" "0F010200"), word, F.lit("000000" "1A000000" "00000000"), make, F.lit("00"))
+    app1 = F.concat(F.lit("FFE1"), F.lpad(F.hex((F.length(exif) / 2 + 2).cast("int")), 4, "0"), exif)
+    scan = F.concat(hexed(F.coalesce("text", F.lit(""))), hexed(F.col("doc_id").cast("string")))
+    tail = F.when(F.col("doc_id") % 3 == 0, hexed(F.concat(F.lit("PK"), "lang"))).otherwise("")
+    content = F.unhex(F.concat(F.lit("FFD8"), app1, F.lit("FFDB004300" + "10" * 64 + "FFDA0002"), scan, F.lit("FFD9"), tail))
+    rows = d.select(F.concat(F.lit("/case/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), content.alias("content"))
+    return files.identified(rows.select("path", F.length("content").cast("long").alias("length"), F.timestamp_seconds(F.lit(0)).alias("mtime"), "content"))

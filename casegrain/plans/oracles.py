@@ -69,6 +69,13 @@ BYTES = f"{BLOBS}, hb AS (SELECT id, b, count(*) AS n FROM (SELECT id, unnest(re
 ENTROPY = f"{BYTES}, en AS (SELECT bl.id, coalesce(sum(n),0)::BIGINT AS n_bytes, CASE WHEN coalesce(sum(n),0)>0 THEN log2(sum(n))-sum(n*log2(n))/sum(n) ELSE 0 END AS entropy FROM bl LEFT JOIN hb USING (id) GROUP BY bl.id)"
 
 
+_HX = "hex(encode({}))"
+PICTURES = f"""pc AS (SELECT doc_id, {_HX.format("'Camera-'||source")} AS mk, {_HX.format("coalesce(text,'')")}||{_HX.format("doc_id::VARCHAR")} AS scan, CASE WHEN doc_id%3=0 THEN {_HX.format("'PK'||lang")} ELSE '' END AS tail FROM documents),
+px AS (SELECT *, '457869660000'||'49492A0008000000'||'0100'||'0F010200'||lpad(to_hex(length(mk)//2+1),2,'0')||'000000'||'1A000000'||'00000000'||mk||'00' AS ex FROM pc),
+pf AS (SELECT *, length(ex)//2+4 AS al, length(scan)//2 AS sl, length(tail)//2 AS tl, 'FFD8'||'FFE1'||lpad(to_hex(length(ex)//2+2),4,'0')||ex||'FFDB004300'||repeat('10',64)||'FFDA0002'||scan||'FFD9'||tail AS hx FROM px),
+fi AS (SELECT *, sha256(unhex(hx)) AS sha256 FROM pf)"""
+
+
 def _any(column: str, words) -> str:
     return "(" + " OR ".join(f"contains({column},'{w}')" for w in words) + ")"
 
@@ -260,6 +267,14 @@ ORACLES: dict[str, str] = {
     "chi_square_pov": f"WITH {BYTES}, a AS (SELECT id, ('0x'||b)::INT//2 AS p, sum(n) AS t, sum(CASE WHEN ('0x'||b)::INT%2=0 THEN n ELSE 0 END) AS e FROM hb GROUP BY 1,2), c AS (SELECT id, sum((e-t/2.0::DOUBLE)*(e-t/2.0::DOUBLE)/(t/2.0::DOUBLE)) AS x, count(*) AS dof FROM a WHERE t/2.0>5 GROUP BY id) SELECT id, round(x,4) AS chi_square, dof, dof>30 AND x<0.4::DOUBLE*dof AS uniform FROM c",
     "bitplane_density": f"WITH {BYTES}, a AS (SELECT id, plane::INT AS plane, sum(n*((('0x'||b)::INT>>plane::INT)&1))::DOUBLE/sum(n) AS p FROM hb, range(0,8) AS t(plane) GROUP BY 1,2) SELECT id, plane, round(p,6) AS density, round(CASE WHEN p<=0 OR p>=1 THEN 0 ELSE -p*log2(p)-(1-p)*log2(1-p) END,5) AS entropy FROM a",
     "covert_risk": "WITH a AS (SELECT doc_id, round(least(1,0.1::DOUBLE+CASE WHEN doc_id%4>=2 THEN 0.35::DOUBLE WHEN doc_id%4=1 THEN 0.15::DOUBLE ELSE 0 END+CASE WHEN doc_id%3>0 THEN 0.4::DOUBLE ELSE 0 END+0.2::DOUBLE*(doc_id%2)),2)::DOUBLE AS s FROM documents) SELECT doc_id, s AS score, CASE WHEN s>=0.7::DOUBLE THEN 'SUSPECTED_COVERT_STEGANOGRAPHY' WHEN s>=0.4::DOUBLE THEN 'POSSIBLE_LSB_MANIPULATION' ELSE 'CLEAN_NATURAL_ENTROPY' END AS verdict FROM a",
+    "identified_files": f"WITH {PICTURES} SELECT '/case/'||doc_id||'.jpg' AS path, (length(hx)//2)::BIGINT AS length, sha256, 'JPEG' AS format, 'image/jpeg' AS mime_type, false AS extension_mismatch FROM fi",
+    "walk_units": f"""WITH {PICTURES} SELECT sha256, 'SOI' AS name, 0::BIGINT AS offset, 2::BIGINT AS length FROM fi UNION ALL SELECT sha256, 'APP1', 2, al FROM fi UNION ALL SELECT sha256, 'DQT', 2+al, 69 FROM fi UNION ALL SELECT sha256, 'SOS', 71+al, 4 FROM fi
+ UNION ALL SELECT sha256, 'EOI', 75+al+sl, 2 FROM fi UNION ALL SELECT sha256, 'TRAILING_DATA', 77+al+sl, tl FROM fi WHERE tl>0""",
+    "exif_fields": f"WITH {PICTURES} SELECT sha256, 'EXIF' AS standard, 'Make' AS name, 'Camera-'||source AS value_str, 'ASCII' AS value_type, '0x010f' AS tag_id FROM fi JOIN documents USING (doc_id)",
+    "clean_metadata": f"WITH {PICTURES}, c AS (SELECT sha256, 'FFD8FFDB004300'||repeat('10',64)||'FFDA0002'||scan||'FFD9' AS h FROM fi) SELECT sha256, sha256(unhex(h)) AS cleaned_sha256, (length(h)//2)::BIGINT AS length FROM c",
+    "extract_artefacts": f"WITH {PICTURES} SELECT sha256, 'block_exif' AS kind, 12::BIGINT AS offset, (length(ex)//2-6)::BIGINT AS length, sha256(unhex(substr(ex,13))) AS content_sha256 FROM fi UNION ALL SELECT sha256, 'trailing', 77+al+sl, tl, sha256(unhex(tail)) FROM fi WHERE tl>0",
+    "data_stream_hashes": f"WITH {PICTURES} SELECT sha256, sha256(unhex(scan)) AS value FROM fi",
+    "file_verdicts": f"""WITH {PICTURES} SELECT sha256, 'none' AS encoder_kind, CASE WHEN tl>0 THEN 'TAMPERED_TRAILING_PAYLOAD' ELSE 'INCONCLUSIVE_SIGNALS' END AS verdict_label, CASE WHEN tl>0 THEN false END AS is_authentic, CASE WHEN tl>0 THEN 0.15 ELSE 0.5 END::DOUBLE AS confidence_score, CASE WHEN tl>0 THEN 'CRITICAL' ELSE 'LOW' END AS risk_level FROM fi""",
     "relational_images": f"WITH {_signals()} SELECT sha256, 'f'||sha256 AS file_name, '/case' AS file_path, 'image/jpeg' AS mime_type, verdict_label, confidence_score, CASE WHEN sha256%3=0 THEN risk_level ELSE 'OLD' END AS risk_level, is_authentic::INT AS is_authentic FROM vd",
     "relational_gps": "SELECT doc_id AS sha256, (doc_id%90)::DOUBLE AS latitude, (doc_id%180)::DOUBLE AS longitude FROM documents WHERE doc_id%4=0",
     "stix_objects": f"""WITH {_signals()}, a AS (SELECT sha256(sha256::VARCHAR) AS sha256, unnest(CASE WHEN risk_level IN ('HIGH','CRITICAL') OR trl THEN ['file','indicator','relationship'] ELSE ['file'] END) AS type FROM vd), b AS (SELECT *, sha256(type||':'||sha256) AS h FROM a)
