@@ -46,4 +46,37 @@ k AS (SELECT doc_id, run, kept, min(a) AS a, max(z) AS z, sum(words) AS words, c
 SELECT doc_id, min(a)::INT AS start, max(z)::INT AS end, sum(words)::BIGINT AS n_words, sum(units)::BIGINT AS n_units, arg_max(kept,(words,-kept)) AS kept_doc_id, array_to_string(list_sort(list(DISTINCT kept)),',') AS kept_doc_ids
 FROM k GROUP BY doc_id, run HAVING sum(words)>=20"""
 
-ORACLES = {"op10_substring_dedup": OP10, "op1_mix_sources": OP1, "op2_decontaminate": OP2, "op3_warc": OP3}
+
+
+def _places(kind: str, pattern: str) -> str:
+    """Matches of a pattern with their places, by the lengths of what is between them."""
+    return f"""m_{kind} AS (SELECT r, unnest(regexp_extract_all(t,'{pattern}')) AS v, unnest((string_split_regex(t,'{pattern}'))[1:len(regexp_extract_all(t,'{pattern}'))]) AS g, unnest(range(1,len(regexp_extract_all(t,'{pattern}'))+1)) AS i FROM d),
+p_{kind} AS (SELECT r, v, (sum(length(g)) OVER w+sum(length(v)) OVER w-length(v))::BIGINT AS a, (sum(length(g)) OVER w+sum(length(v)) OVER w)::BIGINT AS z FROM m_{kind} WINDOW w AS (PARTITION BY r ORDER BY i))"""
+
+
+_FIGURES = "regexp_replace(v,'[^0-9]','','g')"
+_LUHN = f"list_sum(list_transform(range(1,length({_FIGURES})+1), lambda k: CASE WHEN (length({_FIGURES})-k)%2=1 THEN CASE WHEN 2*substr({_FIGURES},k,1)::INT>9 THEN 2*substr({_FIGURES},k,1)::INT-9 ELSE 2*substr({_FIGURES},k,1)::INT END ELSE substr({_FIGURES},k,1)::INT END))%10=0"
+_IBAN = "replace(v,' ','')"
+_MOD97 = f"list_reduce(list_transform(string_split(substr({_IBAN},5)||substr({_IBAN},1,4),''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c)-55 END), lambda x, c: (x*CASE WHEN c>9 THEN 100 ELSE 10 END+c)%97)=1"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+_SHORT = "3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|3(?:0[0-5]|[68][0-9])[0-9][ -]?[0-9]{6}[ -]?[0-9]{4}"
+
+#: Short cards are chains of digits that are one as a whole; what stands between them and their neighbours is their context.
+OP8 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text,'') AS t FROM documents),
+{_places("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+")},
+{_places("ip", "[0-9]+(?:[.][0-9]+){3}")},
+{_places("card", "[0-9](?:[ -]?[0-9])+")},
+{_places("phone", "[+][0-9][ ().0-9-]+[0-9]")},
+{_places("iban", "\\b[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})\\b")},
+s0 AS (SELECT *, coalesce(lag(z) OVER w,0) AS pz, lead(a) OVER w AS na FROM p_card WHERE regexp_full_match(v,'{_SHORT}') WINDOW w AS (PARTITION BY r ORDER BY a)),
+s1 AS (SELECT s0.*, lower(substr(t,greatest(pz,a-40)+1,a-greatest(pz,a-40))||' '||substr(t,z+1,least(40,coalesce(na,length(t))-z))) AS near FROM s0 JOIN d USING (r)),
+f AS (SELECT r, 1 AS o, 'email' AS kind, a, z FROM p_email
+ UNION ALL SELECT r, 2, 'ip', a, z FROM p_ip WHERE regexp_full_match(v,'{_PART}(?:[.]{_PART}){{3}}')
+ UNION ALL SELECT r, 3, 'card', a, z FROM p_card WHERE length({_FIGURES}) BETWEEN 16 AND 19 AND {_LUHN}
+ UNION ALL SELECT r, 4, 'phone', a, z FROM p_phone WHERE length({_FIGURES}) BETWEEN 8 AND 15
+ UNION ALL SELECT r, 5, 'short_card', a, z FROM s1 WHERE {_LUHN} AND NOT regexp_matches(near,'order|tracking|isbn|serial')
+ UNION ALL SELECT r, 6, 'iban', a, z FROM p_iban WHERE length({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97}),
+g AS (SELECT r, string_agg(kind||':'||a||':'||z, ',' ORDER BY o, a) AS spans, string_agg(kind||':'||a||':'||z, ',' ORDER BY o, a) FILTER (WHERE o<=4) AS base, {",".join(f"count(*) FILTER (WHERE kind='{k}') AS n_{k}" for k in ("email", "ip", "card", "phone", "short_card", "iban"))} FROM f GROUP BY r)
+SELECT doc_id, {",".join(f"coalesce(n_{k},0)::BIGINT AS n_{k}" for k in ("email", "ip", "card", "phone", "short_card", "iban"))}, sha256(coalesce(base,'')) AS base_sha256, coalesce(spans,'') AS spans FROM d LEFT JOIN g USING (r)"""
+
+ORACLES = {"op8_pii": OP8, "op10_substring_dedup": OP10, "op1_mix_sources": OP1, "op2_decontaminate": OP2, "op3_warc": OP3}

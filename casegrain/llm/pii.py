@@ -38,7 +38,7 @@ PATTERNS = {
     "card": (r"(?=(?:[ -]?[0-9]){16})[0-9]++(?:[ -][0-9]++)*+", r"(?:[ -]?[0-9]){16}"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "+"),
     "short_card": (r"(?<![0-9])(?<![0-9][ -])(?:3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|3(?:0[0-5]|[68][0-9])[0-9][ -]?[0-9]{6}[ -]?[0-9]{4})(?![ -]?[0-9])", r"3[04678][0-9]{2}"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}[ A-Z0-9]{11}"),
+    "iban": (r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9_])", r"[A-Z]{2}[0-9]{2}[ A-Z0-9]{11}"),
 }
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "short_card": 0.5, "iban": 0.9}
 MIN_SCORE, NEAR, MORE, LESS = 0.5, 40, 0.1, 0.3
