@@ -1,7 +1,8 @@
 """Timelines and trajectories of records.
 
 Events have case_id, ordinal, ts and, where known, lat and lon. A case is ordered by time, its ordinal breaking ties;
-cases are the unit of parallel work, so a collection needs no order over all of it.
+a collection needs no order over all of it. Slices of a case are the unit of parallel work: a case that holds a third of
+all events is sorted in as many tasks as it has slices, and the last event of each slice is handed to the next.
 """
 
 from __future__ import annotations
@@ -18,11 +19,33 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / 1_000_000.0
 
 
+#: Rows without a time or an ordinal come first; their slice lies before all others.
+BEFORE_ALL = -(1 << 40)
+
+
+def with_previous(rows: DataFrame, slice_: Column, order: list[str], columns: list[str]) -> DataFrame:
+    """Adds ``_previous``, a struct of ``order`` and ``columns`` of the row before in the case, null for the first.
+
+    ``slice_`` must not fall along ``order``. Within slices that is a window; across them, one row per slice goes into a
+    window of its own and is joined back.
+    """
+    packed = F.struct(*order, *columns)
+    sliced = rows.withColumn("_slice", F.coalesce(slice_.cast("long"), F.lit(BEFORE_ALL)))
+    ends = sliced.groupBy("case_id", "_slice").agg(F.max(packed).alias("_last"))
+    handed = ends.select(F.col("case_id").alias("_case"), F.col("_slice").alias("_s"), F.lag("_last").over(Window.partitionBy("case_id").orderBy("_slice")).alias("_handed"))
+    inner = sliced.withColumn("_inner", F.lag(packed).over(Window.partitionBy("case_id", "_slice").orderBy(*order)))
+    both = inner.join(handed, F.col("case_id").eqNullSafe(F.col("_case")) & (F.col("_slice") == F.col("_s")))
+    return both.withColumn("_previous", F.coalesce("_inner", "_handed")).drop("_slice", "_s", "_case", "_inner", "_handed")
+
+
+def by_day(ts: Column) -> Column:
+    return F.floor(F.unix_micros(ts) / 86_400_000_000)
+
+
 def kinematics(events: DataFrame) -> DataFrame:
     """Each event with the time, distance and speed since the event before it in its case."""
-    order = Window.partitionBy("case_id").orderBy("ts", "ordinal")
-    before = {c: F.lag(c).over(order) for c in ("ts", "lat", "lon")}
-    out = events.withColumns({f"_{c}": e for c, e in before.items()})
+    out = with_previous(events, by_day(F.col("ts")), ["ts", "ordinal"], ["lat", "lon"])
+    out = out.withColumns({f"_{c}": F.col("_previous")[c] for c in ("ts", "lat", "lon")}).drop("_previous")
     delta = seconds_between(F.col("ts"), F.col("_ts"))
     both = geo.usable(F.col("_lat"), F.col("_lon")) & geo.usable(F.col("lat"), F.col("lon"))
     km = F.when(both & (F.abs(delta) >= 1.0), geo.haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
@@ -55,12 +78,11 @@ def summary(events: DataFrame, *by: str) -> DataFrame:
 
 def steps(points: DataFrame) -> DataFrame:
     """From each usable point to the next in input order: distance, bearing, time, speed."""
-    order = Window.partitionBy("case_id").orderBy("ordinal")
-    own = points.where(geo.usable(F.col("lat"), F.col("lon")))
-    after = {f"to_{c}": F.lead(c).over(order) for c in ("ordinal", "ts", "lat", "lon")}
-    out = own.withColumns(after).where("to_ordinal is not null")
-    km = geo.haversine(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"))
-    course = geo.bearing(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"))
-    seconds = F.abs(seconds_between(F.col("to_ts"), F.col("ts")))
+    own = points.where(geo.usable(F.col("lat"), F.col("lon"))).select("case_id", "ordinal", "ts", "lat", "lon")
+    rows = with_previous(own, F.floor(F.col("ordinal") / 1_000_000), ["ordinal"], ["ts", "lat", "lon"]).where("_previous is not null")
+    a = {c: F.col("_previous")[c] for c in ("ordinal", "ts", "lat", "lon")}
+    km = geo.haversine(a["lat"], a["lon"], F.col("lat"), F.col("lon"))
+    course = geo.bearing(a["lat"], a["lon"], F.col("lat"), F.col("lon"))
+    seconds = F.abs(seconds_between(F.col("ts"), a["ts"]))
     speed = F.when(seconds > 0, km / seconds * 3600.0)
-    return out.select("case_id", "ordinal", "to_ordinal", F.round(km, 3).alias("distance_km"), F.round(course, 2).alias("bearing"), geo.cardinal(course).alias("cardinal"), seconds.alias("seconds"), F.round(speed, 1).alias("speed_kmh"), F.coalesce(speed > SPEED_LIMIT_KMH, F.lit(False)).alias("anomaly"))
+    return rows.select("case_id", a["ordinal"].alias("ordinal"), F.col("ordinal").alias("to_ordinal"), F.round(km, 3).alias("distance_km"), F.round(course, 2).alias("bearing"), geo.cardinal(course).alias("cardinal"), seconds.alias("seconds"), F.round(speed, 1).alias("speed_kmh"), F.coalesce(speed > SPEED_LIMIT_KMH, F.lit(False)).alias("anomaly"))
