@@ -294,7 +294,12 @@ def components(edges: DataFrame) -> DataFrame:
 def classed(prints: DataFrame, tau: int = TAU) -> DataFrame:
     """The rows of a written table with a column ``fp``, and doc_id, with root (the class) and component_id."""
     reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = written(components(links(reps.select("fp"), tau)), "roots")
+    return connected(prints, reps, links(reps.select("fp"), tau))
+
+
+def connected(prints: DataFrame, reps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``prints`` with root and component_id; ``reps`` has each fp and its least doc_id, ``edges`` links fps."""
+    roots = written(components(edges), "roots")
     rooted = reps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = written(rooted.join(names, "root").select("fp", "root", "component_id"), "classes")
@@ -309,8 +314,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) ->
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
     """One document of each class: that with the least id, null last, then by the hash of its text."""
-    prints = written(fingerprinted(docs, shingle), "prints")
-    alike = classed(prints, tau).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    return firsts(docs, classed(written(fingerprinted(docs, shingle), "prints"), tau))
+
+
+def firsts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The first row of ``docs`` in each class; ``classes`` has root, doc_id and text_hash of each row."""
+    alike = classes.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("k"))
     kept = written(first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k.n").alias("_n")), "kept")
     rows = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("_h"))
