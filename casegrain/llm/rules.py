@@ -1,10 +1,11 @@
 """Quality rules, in DataFrame operations only.
 
 Fixed rules look at a text's length and repetition. For the others, hashed n-grams (words and pairs of words, in GRAM_BUCKETS
-buckets) are counted over a trusted target and over the raw corpus. A text's score is the log-likelihood ratio
+buckets, or in the next power of two that keeps about MOST_LOAD different n-grams or fewer to a bucket) are counted over a trusted target and over the raw corpus. A text's score is the log-likelihood ratio
 of the two multinomials, summed over its n-grams and divided by their number; it is kept at THRESHOLD or
 more. The ratio of a bucket is shrunk towards 1 as if SHRINK more of its n-grams had been seen at the usual rate, so that
-rare n-grams say little. Counts cover every text; the table of ratios has a fixed size and is broadcast.
+rare n-grams say little. Counts cover every text. The table of ratios is broadcast up to MOST_BROADCAST buckets; beyond,
+n-grams are counted for each text and joined by a shuffle.
 
 Repeated five-word windows are told by 64-bit hashes of hashed words; all else is exact.
 
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from casegrain.llm.common import SPACED, table, written
 
 GRAM_BUCKETS = 1 << 17
+#: Different n-grams to a bucket at most (sf0.1 has 21); different n-grams are estimated from one hash in SAMPLE.
+MOST_LOAD, SAMPLE = 24, 64
+MOST_BROADCAST = 1 << 21
 SHRINK, THRESHOLD = 20.0, -0.15
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
 #: Ids that are broadcast at most (16 MB); beyond, the join shuffles.
@@ -66,10 +70,21 @@ def based(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_lines", "_fours", "_win", "_sorted", "_again")
 
 
-def exploded(rows: DataFrame, *columns: str) -> DataFrame:
+def bucket_count(docs: DataFrame) -> int:
+    """GRAM_BUCKETS, or as many more as the different n-grams of ``docs`` ask for."""
+    each = worded(docs.select("text")).select(F.explode(F.concat("_wh", "_pairs")).alias("h"))
+    own = each.where(F.pmod(F.shiftrightunsigned("h", 40), F.lit(SAMPLE)) == 0)
+    different = SAMPLE * own.agg(F.approx_count_distinct("h", 0.02).alias("n")).first()["n"]
+    n = GRAM_BUCKETS
+    while n * MOST_LOAD < different:
+        n *= 2
+    return n
+
+
+def exploded(rows: DataFrame, buckets: int, *columns: str) -> DataFrame:
     """``columns`` with the bucket of each word and each pair of words; a row without words has one row, without a bucket."""
     each = rows.select(*columns, F.explode_outer(F.concat("_wh", "_pairs")).alias("_h"))
-    return each.select(*columns, F.pmod("_h", F.lit(GRAM_BUCKETS)).cast("int").alias("bucket"))
+    return each.select(*columns, F.pmod("_h", F.lit(buckets)).cast("int").alias("bucket"))
 
 
 def flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -80,33 +95,42 @@ def flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return out.select("text", F.col("_id").isNotNull().cast("int").alias("trusted"))
 
 
-def gram_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, ratio): logarithms of target over raw probabilities; GRAM_BUCKETS rows at most.
+def gram_ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, ratio): logarithms of target over raw probabilities; ``buckets`` rows at most.
 
     One pass counts both corpora.
     """
-    each = exploded(worded(flagged(docs, trusted)), "trusted").where("bucket is not null")
+    each = exploded(worded(flagged(docs, trusted)), buckets, "trusted").where("bucket is not null")
     both = written(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")), "grams")
     seen = both.agg(F.coalesce(F.sum("target") / F.sum("raw"), F.lit(0.0)).alias("rate")).first()["rate"]
     shrunk = (F.col("target") + SHRINK * seen) / (F.col("raw") + SHRINK) / (seen or 1.0)
     return written(both.select("bucket", (F.log(shrunk) if seen else F.lit(0.0)).alias("ratio")), "ratios")
 
 
-def rated(docs: DataFrame, ratios: DataFrame) -> DataFrame:
+def rated(docs: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, text_hash, the columns of BASE, score) for each row of ``docs``.
 
-    The n-grams of a row are looked up and summed in the task that made them; a row for each text is shuffled.
+    The n-grams of a row are looked up and summed in the task that made them, and a row for each text is shuffled; with
+    more than MOST_BROADCAST buckets, a row for each bucket of a text.
     """
     rows = based(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")).withColumn("_row", F.monotonically_increasing_id())
     own = ["doc_id", "text_hash", *BASE]
-    each = exploded(rows, "_row", *own).join(F.broadcast(ratios), "bucket", "left")
+    if buckets > MOST_BROADCAST:
+        slim = worded(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["doc_id", "text_hash"]))
+        grams = exploded(slim, buckets, "doc_id", "text_hash").where("bucket is not null").groupBy("doc_id", "text_hash", "bucket").agg(F.count("*").alias("n"))
+        sums = grams.join(ratios, "bucket").groupBy("doc_id", "text_hash").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("score"))
+        sums = written(sums.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "scores")
+        out = rows.select(*own).join(sums, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        return out.select(*own, F.coalesce("score", F.lit(0.0)).alias("score"))
+    each = exploded(rows, buckets, "_row", *own).join(F.broadcast(ratios), "bucket", "left")
     score = F.coalesce(F.sum("ratio") / F.count("bucket"), F.lit(0.0)).alias("score")
     return each.groupBy("_row").agg(*[F.max(c).alias(c) for c in own], score).drop("_row")
 
 
 def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``rated`` with ``kept``; the trusted target is the documents whose doc_id ``trusted`` has."""
-    out = rated(docs, gram_ratios(docs, trusted))
+    buckets = bucket_count(docs)
+    out = rated(docs, gram_ratios(docs, trusted, buckets), buckets)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 

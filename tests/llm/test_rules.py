@@ -88,3 +88,22 @@ def test_odd_rows(spark, odd, docs_of):
 def test_all_in_the_jvm(spark, sf):
     plan = rules.op6_quality_rules(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_verdicts_stay_when_the_corpus_grows(docs_of, monkeypatch):
+    monkeypatch.setattr(rules, "GRAM_BUCKETS", 256)
+    good = [(k, " ".join(f"good{(k * 7 + j * j) % 97}" for j in range(60))) for k in range(40)]
+    bad = [(100 + k, " ".join(f"bad{(k * 5 + j * j) % 89}" for j in range(60))) for k in range(40)]
+    more = [(1000 + k, " ".join(f"n{k}x{j}" for j in range(300))) for k in range(400)]
+
+    def rated(rows):
+        docs = docs_of(rows)
+        return {r["doc_id"]: r for r in rules.verdicts(docs, docs.where("doc_id < 40 or doc_id >= 1000 and doc_id % 2 = 0")).collect() if r["doc_id"] < 1000}
+
+    small, large = rated(good + bad), rated(good + bad + more)
+    kept = {i: r["kept"] for i, r in small.items()}
+    assert {r["base_failed"] for r in small.values()} == {False} and {i for i, k in kept.items() if k} == set(range(40))
+    assert {i: r["kept"] for i, r in large.items()} == kept
+    monkeypatch.setattr(rules, "MOST_BROADCAST", 0)  # by a shuffle
+    again = rated(good + bad + more)
+    assert all(abs(again[i]["score"] - large[i]["score"]) < 1e-9 for i in large)
