@@ -3,9 +3,9 @@
 Sizes are summed per source, targets and repetition rates follow from weights, and every document is
 emitted ``floor(rate)`` times plus one Bernoulli copy whose probability is the fraction of the rate.
 
-The Bernoulli draws come from a SHA-256 of the document id, cut into eight 32-bit uniforms: eight equally
-valid seeds. Each source uses the seed whose total comes nearest to its target (the lowest on ties), which
-keeps the draw random per document and reruns equal, and takes most of the sampling noise out of small sources.
+The Bernoulli draw is a uniform of 52 bits out of a SHA-256 of the seed and the document id: one draw a document,
+the same in each run. A source's taken words are its target on average; a source of few documents
+may miss it by what such draws scatter.
 
 Defined results: a null or empty text has size 0 and is kept (it takes no words); a null source is a source
 of its own, ordered last; rows with one id (null ids too) share their draw; an empty table gives an
@@ -14,7 +14,7 @@ empty result; of extra columns, ``mixed`` keeps all whatever they are called.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegrain.llm.common import SPACED, id_text, written
@@ -23,7 +23,7 @@ from casegrain.llm.common import SPACED, id_text, written
 WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its own size.
 CAP = 3
-SEEDS = 8
+SEED = "mix"
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -31,9 +31,9 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(SPACED)), F.lit(0)).cast("long"))
 
 
-def _uniforms() -> list:
-    digest = F.sha2(F.concat(F.lit("mix:"), id_text("doc_id")), 256)
-    return [F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("double") / F.lit(float(2**32)) for k in range(SEEDS)]
+def _uniform(seed: str) -> Column:
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), id_text("doc_id")), 256)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap=CAP) -> DataFrame:
@@ -60,21 +60,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap=CAP) -> DataFrame:
 
 
 def repetition_rates(sizes: DataFrame, weights=WEIGHTS, cap=CAP) -> DataFrame:
-    """(source, source_size, target, rate, seed) from rows of (doc_id, source, size), as a written table."""
-    targets = written(source_targets(sizes, weights, cap), "targets")
-    frac = F.col("rate") - F.floor("rate")
-    drawn = [F.sum(F.when(u < frac, F.col("size")).otherwise(F.lit(0))).alias(f"d{k}") for k, u in enumerate(_uniforms())]
-    other = targets.select(F.col("source").alias("_source"), "rate")
-    sums = sizes.join(other, F.col("source").eqNullSafe(F.col("_source"))).groupBy("source").agg(*drawn)
-    sums = sums.withColumnRenamed("source", "_source")
-    both = targets.join(sums, F.col("source").eqNullSafe(F.col("_source")))
-    whole = F.col("source_size") * F.floor("rate")
-    off = F.array(*[F.abs((whole + F.col(f"d{k}")).cast("double") - F.col("target")) for k in range(SEEDS)])
-    seed = (F.array_position(off, F.array_min(off)) - 1).cast("int")
-    return written(both.select("source", "source_size", "target", "rate", seed.alias("seed")), "rates")
-
-
-def with_copies(sizes: DataFrame, rates: DataFrame) -> DataFrame:
+    """``source_targets`` as a written table."""
+    return written(source_targets(sizes, weights, cap), "rates")
+
+
+def with_copies(sizes: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     """Each row of (doc_id, source, size, ...) with its source's figures, ``copies`` and ``taken`` = copies * size.
 
     ``rates`` is a written table of a row per source: Spark broadcasts it while its size on disk is under
@@ -82,18 +72,17 @@ def with_copies(sizes: DataFrame, rates: DataFrame) -> DataFrame:
     """
     other = rates.withColumnRenamed("source", "_source")
     both = sizes.join(other, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    draw = F.element_at(F.array(*_uniforms()), F.col("seed") + 1)
     whole = F.floor("rate")
-    copies = (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("long")
+    copies = (whole + F.when(_uniform(seed) < F.col("rate") - whole, 1).otherwise(0)).cast("long")
     return both.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, cap=CAP) -> DataFrame:
+def mixed(docs: DataFrame, weights=WEIGHTS, cap=CAP, seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is drawn."""
     sizes = written(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), "sizes")
     rates = repetition_rates(sizes, weights, cap)
     rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", F.lit(0).cast("long").alias("size"))
-    drawn = with_copies(rows, rates).where("copies > 0")
+    drawn = with_copies(rows, rates, seed).where("copies > 0")
     return drawn.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 

@@ -45,7 +45,11 @@ def test_query_equals_brute_force(spark, sf):
     rows = mixing.op1_mix_sources(spark, sf).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(d["doc_id"] for d in docs)
     target, taken = check(rows, docs)
-    assert sum(abs(taken[s] - target[s]) for s in target) < 0.15 * sum(target.values())
+    assert abs(sum(taken.values()) - sum(target.values())) < 0.1 * sum(target.values())
+    for s in target:  # within five standard deviations of one Bernoulli draw a document
+        own = [r for r in rows if r["source"] == s]
+        frac = (target[s] / own[0]["source_size"]) % 1 if own[0]["source_size"] else 0
+        assert abs(taken[s] - target[s]) <= 5 * (frac * (1 - frac) * sum(r["size"] ** 2 for r in own)) ** 0.5 + 1e-6
     assert sorted(rows, key=str) == sorted(mixing.op1_mix_sources(spark, sf).collect(), key=str)
 
 
@@ -69,3 +73,15 @@ def test_mixed_keeps_clashing_columns_and_repeats_rows(odd):
 def test_empty(docs_of):
     assert mixing.mixed(docs_of([])).count() == 0
     assert mixing.source_targets(mixing.sized(docs_of([(1, None), (2, "")]))).collect()[0]["target"] == 0
+
+
+def test_copies_average_the_rate(docs_of, spark):
+    sizes = spark.range(3000).selectExpr("id as doc_id", "concat('s', id) as source", "10L as size")
+    for rate in (0.75, 1.875, 0.1):
+        rates = sizes.selectExpr("source", "size as source_size", f"{rate} * 10D as target", f"{rate}D as rate")
+        copies = [r["copies"] for r in mixing.with_copies(sizes, rates).collect()]
+        frac = rate % 1
+        assert abs(sum(copies) / 3000 - rate) < 3 * (frac * (1 - frac) / 3000) ** 0.5
+        assert set(copies) == {int(rate), int(rate) + 1}
+    other = [r["copies"] for r in mixing.with_copies(sizes, rates, "another").collect()]
+    assert other != copies
