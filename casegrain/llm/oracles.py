@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-_DIGEST = "sha256('mix:'||coalesce(doc_id::VARCHAR,''))"
-_DRAWS = ",".join(f"('0x'||substr({_DIGEST},{1 + 8 * k},8))::BIGINT/4294967296.0::DOUBLE" for k in range(8))
+_DRAW = "('0x'||substr(sha256('mix:'||coalesce(doc_id::VARCHAR,'')),1,13))::BIGINT/4503599627370496.0::DOUBLE"
 
-OP1 = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text,'[^\\x20\\x09-\\x0D]+')),0)::BIGINT AS size, [{_DRAWS}] AS u FROM documents),
+OP1 = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text,'[^\\x20\\x09-\\x0D]+')),0)::BIGINT AS size, {_DRAW} AS u FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size, ([5.0,2.0,1.0]::DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST)-1)%3+1] AS w FROM d GROUP BY source),
 r AS (SELECT *, 3.0::DOUBLE*source_size AS most, 3.0::DOUBLE*source_size/w AS ratio FROM p),
 l AS (SELECT *, (sum(source_size::DOUBLE) OVER ()-coalesce(sum(most) OVER b,0))/(sum(w) OVER ()-coalesce(sum(w) OVER b,0)) AS here, row_number() OVER o AS n FROM r
  WINDOW o AS (ORDER BY ratio, source NULLS LAST), b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(most, w*(SELECT arg_min(here,n) FILTER (WHERE here<=ratio) FROM l)) AS target FROM l),
 q AS (SELECT *, CASE WHEN source_size>0 THEN target/source_size ELSE 0.0 END AS rate FROM t),
-e AS (SELECT d.*, q.source_size, q.target, floor(q.rate) AS whole, q.rate-floor(q.rate) AS frac FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-k AS (SELECT source, i, abs(any_value(source_size)*any_value(whole)+sum(CASE WHEN u[i]<frac THEN size ELSE 0 END)::DOUBLE-any_value(target)) AS off FROM e, range(1,9) AS g(i) GROUP BY source, i),
-s AS (SELECT source, arg_min(i,(off,i)) AS i FROM k GROUP BY source),
-c AS (SELECT e.*, (whole+CASE WHEN u[s.i]<frac THEN 1 ELSE 0 END)::BIGINT AS copies FROM e JOIN s ON e.source IS NOT DISTINCT FROM s.source)
+c AS (SELECT d.*, q.source_size, q.target, (floor(q.rate)+CASE WHEN u<q.rate-floor(q.rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, source, size, source_size, target, copies, copies*size AS taken FROM c"""
 
 _WORDS = "regexp_extract_all(translate({},'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -48,12 +44,18 @@ FROM k GROUP BY doc_id, run HAVING sum(words)>=20"""
 
 
 
-def _places(kind: str, pattern: str) -> str:
+def _places(kind: str, pattern: str, among: str = "d") -> str:
     """Matches of a pattern with their places, by the lengths of what is between them."""
-    return f"""m_{kind} AS (SELECT r, unnest(regexp_extract_all(t,'{pattern}')) AS v, unnest((string_split_regex(t,'{pattern}'))[1:len(regexp_extract_all(t,'{pattern}'))]) AS g, unnest(range(1,len(regexp_extract_all(t,'{pattern}'))+1)) AS i FROM d),
+    return f"""m_{kind} AS (SELECT r, unnest(regexp_extract_all(t,'{pattern}')) AS v, unnest((string_split_regex(t,'{pattern}'))[1:len(regexp_extract_all(t,'{pattern}'))]) AS g, unnest(range(1,len(regexp_extract_all(t,'{pattern}'))+1)) AS i FROM {among}),
 p_{kind} AS (SELECT r, v, (sum(length(g)) OVER w+sum(length(v)) OVER w-length(v))::BIGINT AS a, (sum(length(g)) OVER w+sum(length(v)) OVER w)::BIGINT AS z FROM m_{kind} WINDOW w AS (PARTITION BY r ORDER BY i))"""
 
 
+def _nearby(name: str, kind: str, whole: str) -> str:
+    """Matches that are one as a whole, with what stands between them and their neighbours, 40 characters at most on each side."""
+    return f"""{name}0 AS (SELECT *, coalesce(lag(z) OVER w,0) AS pz, lead(a) OVER w AS na FROM p_{kind} WHERE regexp_full_match(v,'{whole}') WINDOW w AS (PARTITION BY r ORDER BY a)),
+{name} AS (SELECT q.*, lower(substr(t,greatest(pz,a-40)+1,a-greatest(pz,a-40))||' '||substr(t,z+1,least(40,coalesce(na,length(t))-z))) AS near FROM {name}0 AS q JOIN d USING (r))"""
+
+
 _FIGURES = "regexp_replace(v,'[^0-9]','','g')"
 _LUHN = f"list_sum(list_transform(range(1,length({_FIGURES})+1), lambda k: CASE WHEN (length({_FIGURES})-k)%2=1 THEN CASE WHEN 2*substr({_FIGURES},k,1)::INT>9 THEN 2*substr({_FIGURES},k,1)::INT-9 ELSE 2*substr({_FIGURES},k,1)::INT END ELSE substr({_FIGURES},k,1)::INT END))%10=0"
 _IBAN = "replace(v,' ','')"
@@ -61,22 +63,32 @@ _MOD97 = f"list_reduce(list_transform(string_split(substr({_IBAN},5)||substr({_I
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _SHORT = "3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|3(?:0[0-5]|[68][0-9])[0-9][ -]?[0-9]{6}[ -]?[0-9]{4}"
 
-#: Short cards are chains of digits that are one as a whole; what stands between them and their neighbours is their context.
+_SSN = "[0-9]{3}-[0-9]{2}-[0-9]{4}"
+_NAMED = "(?i:token|secret|passwd|password|api[ _-]?key|access[ _-]?key|private[ _-]?key)[\\x22\\x27]?[ ]{0,2}[:=][ ]{0,2}[\\x22\\x27]?"
+_KINDS = ("email", "ip", "card", "phone", "short_card", "iban", "ssn", "secret")
+
+#: Short cards and social security numbers are chains of characters that are one as a whole.
 OP8 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text,'') AS t FROM documents),
 {_places("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+")},
 {_places("ip", "[0-9]+(?:[.][0-9]+){3}")},
 {_places("card", "[0-9](?:[ -]?[0-9])+")},
 {_places("phone", "[+][0-9][ ().0-9-]+[0-9]")},
 {_places("iban", "\\b[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})\\b")},
-s0 AS (SELECT *, coalesce(lag(z) OVER w,0) AS pz, lead(a) OVER w AS na FROM p_card WHERE regexp_full_match(v,'{_SHORT}') WINDOW w AS (PARTITION BY r ORDER BY a)),
-s1 AS (SELECT s0.*, lower(substr(t,greatest(pz,a-40)+1,a-greatest(pz,a-40))||' '||substr(t,z+1,least(40,coalesce(na,length(t))-z))) AS near FROM s0 JOIN d USING (r)),
+d_ssn AS (SELECT r, t FROM d WHERE regexp_matches(t,'{_SSN}')),
+{_places("ssn", "[0-9A-Za-z-]+", "d_ssn")},
+{_places("secret", _NAMED + "[A-Za-z0-9_/+=.~-]{16,}")},
+{_nearby("short", "card", _SHORT)},
+{_nearby("social", "ssn", _SSN)},
+hidden AS (SELECT r, z, regexp_replace(v,'^{_NAMED}','') AS v FROM p_secret),
 f AS (SELECT r, 1 AS o, 'email' AS kind, a, z FROM p_email
  UNION ALL SELECT r, 2, 'ip', a, z FROM p_ip WHERE regexp_full_match(v,'{_PART}(?:[.]{_PART}){{3}}')
  UNION ALL SELECT r, 3, 'card', a, z FROM p_card WHERE length({_FIGURES}) BETWEEN 16 AND 19 AND {_LUHN}
  UNION ALL SELECT r, 4, 'phone', a, z FROM p_phone WHERE length({_FIGURES}) BETWEEN 8 AND 15
- UNION ALL SELECT r, 5, 'short_card', a, z FROM s1 WHERE {_LUHN} AND NOT regexp_matches(near,'order|tracking|isbn|serial')
- UNION ALL SELECT r, 6, 'iban', a, z FROM p_iban WHERE length({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97}),
-g AS (SELECT r, string_agg(kind||':'||a||':'||z, ',' ORDER BY o, a) AS spans, string_agg(kind||':'||a||':'||z, ',' ORDER BY o, a) FILTER (WHERE o<=4) AS base, {",".join(f"count(*) FILTER (WHERE kind='{k}') AS n_{k}" for k in ("email", "ip", "card", "phone", "short_card", "iban"))} FROM f GROUP BY r)
-SELECT doc_id, {",".join(f"coalesce(n_{k},0)::BIGINT AS n_{k}" for k in ("email", "ip", "card", "phone", "short_card", "iban"))}, sha256(coalesce(base,'')) AS base_sha256, coalesce(spans,'') AS spans FROM d LEFT JOIN g USING (r)"""
+ UNION ALL SELECT r, 5, 'short_card', a, z FROM short WHERE {_LUHN} AND NOT regexp_matches(near,'order|tracking|isbn|serial')
+ UNION ALL SELECT r, 6, 'iban', a, z FROM p_iban WHERE length({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97}
+ UNION ALL SELECT r, 7, 'ssn', a, z FROM social WHERE NOT regexp_matches(v,'^(?:000|666|9[0-9]{{2}})|-00-|-0000$') AND NOT regexp_matches(near,'part|serial|order|isbn')
+ UNION ALL SELECT r, 8, 'secret', z-length(v), z FROM hidden WHERE regexp_matches(v,'[0-9]') AND regexp_matches(v,'[A-Za-z]') AND len(list_distinct(string_split(v,'')))>=8),
+g AS (SELECT r, count(*) AS n_spans, string_agg(kind||':'||a||':'||z, ',' ORDER BY o, a) AS spans, string_agg(kind||':'||a||':'||z, ',' ORDER BY o, a) FILTER (WHERE o<=4) AS base, {",".join(f"count(*) FILTER (WHERE kind='{k}') AS n_{k}" for k in _KINDS)} FROM f GROUP BY r)
+SELECT doc_id, {",".join(f"coalesce(n_{k},0)::BIGINT AS n_{k}" for k in (*_KINDS, "spans"))}, sha256(coalesce(base,'')) AS base_sha256, coalesce(spans,'') AS spans FROM d LEFT JOIN g USING (r)"""
 
 ORACLES = {"op8_pii": OP8, "op10_substring_dedup": OP10, "op1_mix_sources": OP1, "op2_decontaminate": OP2, "op3_warc": OP3}

@@ -1,7 +1,7 @@
 """Personal data, in DataFrame operations only.
 
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod-97 for IBANs, ranges for address
-parts, digit counts for phone numbers), and words nearby move the score. The four base kinds stay whatever their
+parts and social security numbers, digit counts for phone numbers, mixed characters for secrets), and words nearby move the score. The four base kinds stay whatever their
 score; the kinds that the method adds (ADDED_KINDS) need MIN_SCORE.
 
 Places come from splitting a text at the matches and adding up the lengths of pieces and matches. The patterns are
@@ -29,19 +29,28 @@ PLAIN = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-BASE_KINDS, ADDED_KINDS = tuple(PLAIN), ("short_card", "iban")
+BASE_KINDS, ADDED_KINDS = tuple(PLAIN), ("short_card", "iban", "ssn", "secret")
+#: A secret's name and the sign that sets it.
+NAMED = r"(?i:token|secret|passwd|password|api[ _-]?key|access[ _-]?key|private[ _-]?key)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?"
 #: kind: pattern, a quick test that texts without a match mostly fail.
 PATTERNS = {
     "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
-    "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]{1,64}\.[0-9]"),
+    "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]++\.[0-9]"),
     # Chains of fewer than 16 digits fail anyway.
     "card": (r"(?=(?:[ -]?[0-9]){16})[0-9]++(?:[ -][0-9]++)*+", r"(?:[ -]?[0-9]){16}"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "+"),
     "short_card": (r"(?<![0-9])(?<![0-9][ -])(?:3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|3(?:0[0-5]|[68][0-9])[0-9][ -]?[0-9]{6}[ -]?[0-9]{4})(?![ -]?[0-9])", r"3[04678][0-9]{2}"),
     "iban": (r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9_])", r"[A-Z]{2}[0-9]{2}[ A-Z0-9]{11}"),
+    "ssn": (r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    # What a name of a secret is set to.
+    "secret": (rf"{NAMED}[A-Za-z0-9_/+=.~-]{{16,}}+", rf"{NAMED}[A-Za-z0-9_/+=.~-]{{16}}"),
 }
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "short_card": 0.5, "iban": 0.9}
+#: What a pattern begins with that is no part of the span.
+LEADS = {"secret": rf"^{NAMED}"}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "short_card": 0.5, "iban": 0.9, "ssn": 0.6, "secret": 0.8}
 MIN_SCORE, NEAR, MORE, LESS = 0.5, 40, 0.1, 0.3
+#: Different characters that a secret has.
+LEAST_DIFFERENT = 8
 #: Words that make a kind likelier or less likely when they stand nearby.
 CONTEXT = {
     "email": ("mail|contact|write to", "example only|noreply"),
@@ -50,6 +59,8 @@ CONTEXT = {
     "phone": ("phone|call|tel|fax|mobile", "isbn|serial|invoice"),
     "short_card": ("card|amex|diners|credit|payment", "order|tracking|isbn|serial"),
     "iban": ("iban|bank|account|transfer", "serial|model"),
+    "ssn": ("ssn|social|security|tax", "part|serial|order|isbn"),
+    "secret": ("key|auth|bearer|login", "example|placeholder|dummy"),
 }
 SPANS = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
 
@@ -83,6 +94,10 @@ def valid(kind: str, value: Column) -> Column:
         return n.between(8, 15)
     if kind == "short_card":
         return luhn(value)
+    if kind == "ssn":
+        return ~value.rlike("^(?:000|666|9[0-9]{2})|-00-|-0000$")
+    if kind == "secret":  # letters and figures, and no few characters over and over
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= LEAST_DIFFERENT)
     if kind == "iban":
         return F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34) & mod97(value)
     return F.lit(True)
@@ -95,10 +110,10 @@ def located(text: Column, kind: str, check: Callable[[str, Column], Column] = va
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["before"])
-        end = start + F.length(x["value"])
-        one = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"), _score(kind, x).alias("score")))
-        return F.struct(end.alias("at"), F.when(check(kind, x["value"]), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+        end = a["at"] + F.length(x["before"]) + F.length(x["value"])
+        value = F.regexp_replace(x["value"], LEADS[kind], "") if kind in LEADS else x["value"]
+        one = F.array(F.struct(F.lit(kind).alias("kind"), (end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"), _score(kind, x).alias("score")))
+        return F.struct(end.alias("at"), F.when(check(kind, value), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
     def summed(between: Column) -> Column:
         sides = F.zip_with(between, F.slice(between, F.lit(2), F.size(between)), lambda a, b: F.struct(a.alias("before"), b.alias("after")))
@@ -148,4 +163,4 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     counts = [F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in PATTERNS]
     joined = F.array_join(F.transform(base, name), ",")
-    return found.select("doc_id", *counts, F.sha2(joined, 256).alias("base_sha256"), F.array_join(F.transform("spans", name), ",").alias("spans"))
+    return found.select("doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(joined, 256).alias("base_sha256"), F.array_join(F.transform("spans", name), ",").alias("spans"))

@@ -65,11 +65,18 @@ def test_added_kinds_and_scores(spark, docs_of):
         (4, "amex 3782 822463 10005 paid"),
         (5, "tracking 378282246310005"),
         (6, "378282246310006"),
+        (7, f"ssn 078-05-1120, {'and so on ' * 5} a part 219-09-9999, 000-12-3456 1078-05-1120"),
+        (8, "token = \"9c8b45435718dcc700c184a7e303cdc64c6a8f7f\" API_KEY: AAAAAAAAAAAAAAAAAAAA1 password=short1 é secret:abcdefghijk123456789"),
     ])
     out = {r["doc_id"]: [(s["kind"], s["value"], round(s["score"], 2)) for s in r["spans"]] for r in pii.with_spans(docs).collect()}
     assert out[1] == [("iban", "DE89 3704 0044 0532 0130 00", 1.0)]
     assert out[2] == [("iban", "GB82WEST12345698765432", 1.0)] and out[3] == [] == out[6]
     assert out[4] == [("short_card", "3782 822463 10005", 0.6)] and out[5] == []
+    assert out[7] == [("ssn", "078-05-1120", 0.7)]
+    assert [(k, v) for k, v, _ in out[8]] == [("secret", "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"), ("secret", "abcdefghijk123456789")]
+    places = {r["doc_id"]: [(s["start"], s["end"], s["value"]) for s in r["spans"]] for r in pii.with_spans(docs).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(texts[i][a:b] == v for i, own in places.items() for a, b, v in own)
 
 
 def test_redaction(docs_of):
@@ -86,6 +93,9 @@ def test_odd_rows_and_long_runs(spark, odd, docs_of):
     assert {r["_email"] for r in rows} == {3} and len(rows) == odd.count() and all(r["spans"] == [] for r in rows)
     long = [(1, "7" * 200_000), (2, "a" * 200_000 + "@"), (3, "+" + "1 " * 100_000), (4, "1." * 20_000), (5, "4111-1111-1111-1111 " * 3000), (6, "x@y." + "z." * 50_000)]
     got = dict(base_of(pii.with_spans(docs_of(long)).collect()))
+    wide = "1." + "0" * 69 + "7.1." + "0" * 70 + "2"
+    assert base_of(pii.with_spans(docs_of([(1, f"{wide}.4"), (2, f"x {wide[:-72]}255.255")])).collect()) == [(1, brute(f"{wide}.4")), (2, brute(f"x {wide[:-72]}255.255"))]
+    assert [k for k, _, _ in brute(f"{wide}.4")] == ["ip"]
     assert got == {k: brute(t) if k > 2 else [] for k, t in long}  # the plain patterns take a square of the time on 1 and 2
     assert pii.with_spans(docs_of([])).count() == 0 and pii.redacted(odd).count() == odd.count()
 
