@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,18 +12,37 @@ from pyspark.sql import functions as F
 SPACED = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the folder that driver and executors share.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables, under the one that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it; where that is unset (tests on one machine) the context's own
-    checkpoint folder is set to ``/tmp/checkpoints``.
+    ``spark.checkpoint.dir`` names that one. Where it is unset, a session on one machine (as in tests) gets
+    ``/tmp/checkpoints``; on a cluster that is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir("/tmp/checkpoints")
         root = sc.getCheckpointDir()
-    return f"{root.rstrip('/')}/casegrain-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/casegrain-{sc.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name for scratch."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder, by Spark's own file system."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application; for callers that have written or collected their results."""
+    removed(spark, scratch_root(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,13 +70,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
-    """Keep the Arrow batches that go to Python small in bytes as well as in rows, however long the texts are."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int("".join(c for c in spark.conf.get(key) if c.isdigit()) or most + 1) > most:
-        spark.conf.set(key, str(most))
-
-
 def learning_rows(labels: DataFrame, label: str, learn, per_class: int) -> DataFrame:
     """(doc_id, y): at most ``per_class`` labelled ids of each class that ``learn`` admits, drawn by hash.
 

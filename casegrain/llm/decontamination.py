@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casegrain.llm.common import bounded_batches
 
 WINDOW, BLOCK_WORDS, MAX_COVERAGE = 10, 200_000, 0.8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -171,7 +170,6 @@ def _blocks(items: DataFrame) -> list[tuple]:
 def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, spans (words first to last - 1, code points start to end - 1) and item_ids."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     base = docs.drop(*ADDED)
     out = base.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPAN), "item_ids": F.lit(None).cast("array<string>")})
     for block in _blocks(items):

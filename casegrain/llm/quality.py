@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrain.llm.common import bounded_batches, crc_of_id, learning_rows
+from casegrain.llm.common import crc_of_id, learning_rows
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 15, 32, 4, 2
 LEARN_ROWS = 6000
@@ -103,7 +103,6 @@ def summed(texts: Iterator[bytes | None]) -> np.ndarray:
 
 def context_sums(docs: DataFrame) -> np.ndarray:
     """[bucket, DIM + 1]: context vectors and counts over all documents."""
-    bounded_batches(docs.sparkSession)
     names = [f"c{k}" for k in range(DIM + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +208,6 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "qua
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs`` as a struct ``row``, and ``score``, the probability of label 1."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct("*").alias("row"), "text")
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrain.llm.common import bounded_batches, crc_of_id, learning_rows
+from casegrain.llm.common import crc_of_id, learning_rows
 
 LEARN_ROWS, LEARN_BYTES = 4000, 12 << 20
 WINDOW_REPEATS, LEVEL = 2, 19
@@ -198,7 +198,6 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "tox
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs`` as a struct ``row``, and ``score``."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct("*").alias("row"), "text")
 

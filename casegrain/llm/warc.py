@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrain.llm.common import bounded_batches, shared_dir, written
+from casegrain.llm.common import shared_dir, written
 
 REVISIT_BYTES = 100
 ROLL_BYTES, CHUNK, MOST_HEAD = 512 << 20, 1 << 20, 1 << 20
@@ -74,7 +74,6 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 def write_archives(plan: DataFrame, folder: str) -> DataFrame:
     """Writes planned pages under ``folder``; returns the files as a table (path, records, bytes)."""
-    bounded_batches(plan.sparkSession)
     rows = plan.select(F.col("page_id").cast("string").alias("page"), "url", "payload", "payload_digest", "record_type", F.col("refers_to").cast("string").alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
