@@ -91,4 +91,21 @@ f AS (SELECT r, 1 AS o, 'email' AS kind, a, z FROM p_email
 g AS (SELECT r, count(*) AS n_spans, string_agg(kind||':'||a||':'||z, ',' ORDER BY o, a) AS spans, string_agg(kind||':'||a||':'||z, ',' ORDER BY o, a) FILTER (WHERE o<=4) AS base, {",".join(f"count(*) FILTER (WHERE kind='{k}') AS n_{k}" for k in _KINDS)} FROM f GROUP BY r)
 SELECT doc_id, {",".join(f"coalesce(n_{k},0)::BIGINT AS n_{k}" for k in (*_KINDS, "spans"))}, sha256(coalesce(base,'')) AS base_sha256, coalesce(spans,'') AS spans FROM d LEFT JOIN g USING (r)"""
 
-ORACLES = {"op8_pii": OP8, "op10_substring_dedup": OP10, "op1_mix_sources": OP1, "op2_decontaminate": OP2, "op3_warc": OP3}
+def _crc_table() -> list[int]:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+#: CRC-32 folds a text's bytes; the line is ordered by 60 bits of the hashes of text and id.
+OP7 = f"""WITH d AS (SELECT doc_id, coalesce(text,'') AS t, strlen(coalesce(text,''))::BIGINT+16 AS size, ('0x'||substr(sha256(coalesce(text,'')),1,15))::BIGINT AS h, ('0x'||substr(sha256(coalesce(doc_id::VARCHAR,'')),1,15))::BIGINT AS i FROM documents),
+o AS (SELECT *, (sum(size) OVER line-size)::BIGINT AS b, row_number() OVER line AS n, (sum(size) OVER (PARTITION BY h))::BIGINT AS gs, (sum(size) OVER ())::BIGINT AS total FROM d WINDOW line AS (ORDER BY h, i, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT *, CASE WHEN gs*40*50<=total THEN min(b) OVER (PARTITION BY h)+gs//2 ELSE b+size//2 END AS mid FROM o),
+s AS (SELECT *, least(40*mid//total,39)::INT AS shard FROM m)
+SELECT doc_id, size, xor(list_reduce([4294967295::BIGINT]||list_transform(regexp_extract_all(hex(encode(t)),'..'), lambda x: ('0x'||x)::BIGINT), lambda c, x: xor(c>>8, ({_crc_table()}::BIGINT[])[(xor(c,x)&255)+1])), 4294967295) AS text_crc32,
+ 'bytes' AS law, shard, (n-min(n) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM s"""
+
+ORACLES = {"op7_shard": OP7, "op8_pii": OP8, "op10_substring_dedup": OP10, "op1_mix_sources": OP1, "op2_decontaminate": OP2, "op3_warc": OP3}
