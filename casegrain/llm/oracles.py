@@ -30,20 +30,22 @@ OP3 = """WITH p AS (SELECT page_id, coalesce(html,'') AS h FROM pages), q AS (SE
 f AS (SELECT *, CASE WHEN payload_bytes>=100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM q)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id<>first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id<>first THEN first END AS refers_to FROM f"""
 
-#: Texts are cut after ends of sentences and line breaks, by a mark that then parts them; white space is ASCII's.
-OP10 = r"""WITH d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text,'([.!?]+)(\s)','\1'||chr(1)||'\2','g'),'\n',chr(10)||chr(1),'g'),chr(1)) AS p FROM documents WHERE text IS NOT NULL),
+#: Texts are cut after ends of sentences and line breaks, by a mark that then parts them, and long pieces after some words; white space is ASCII's.
+OP10 = r"""WITH d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text,'([.!?]+)([ \t-\r])','\1'||chr(1)||'\2','g'),'\n',chr(10)||chr(1),'g'),chr(1)) AS p FROM documents WHERE text IS NOT NULL),
 e AS (SELECT doc_id, unnest(p) AS piece, unnest(range(0,len(p))) AS i FROM d),
-o AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS off FROM e),
-n AS (SELECT doc_id, i, off+length(piece)-length(regexp_replace(piece,'^\s+','')) AS a, off+length(regexp_replace(piece,'\s+$','')) AS z, trim(regexp_replace(lower(piece),'\s+',' ','g')) AS norm FROM o),
-u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place, a, z, norm, len(string_split(norm,' ')) AS words FROM n WHERE norm<>''),
-f AS (SELECT *, first_value(doc_id) OVER w AS kept, first_value(place) OVER w AS kplace FROM u WINDOW w AS (PARTITION BY norm ORDER BY doc_id, place)),
+o AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS off, regexp_extract_all(piece,'[ \t-\r]*[^ \t-\r]+') AS ws FROM e),
+w AS (SELECT doc_id, i, off, len(ws) AS many, unnest(ws) AS own, unnest(range(0,len(ws))) AS k FROM o WHERE len(ws)>0),
+x AS (SELECT *, lower(regexp_replace(own,'^[ \t-\r]+','')) AS word, (off+sum(length(own)) OVER (PARTITION BY doc_id, i ORDER BY k))::BIGINT AS z FROM w),
+y AS (SELECT *, z-length(regexp_replace(own,'^[ \t-\r]+','')) AS a, coalesce(sum(CASE WHEN many>24 AND substr(sha256(word),1,1) IN ('0','1') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS part FROM x),
+n AS (SELECT doc_id, i, part, min(a) AS a, max(z) AS z, count(*) AS words, string_agg(word,' ' ORDER BY k) AS norm FROM y GROUP BY ALL),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) AS place FROM n),
+f AS (SELECT *, first_value(doc_id) OVER h AS kept, first_value(place) OVER h AS kplace FROM u WINDOW h AS (PARTITION BY norm ORDER BY doc_id, place)),
 r AS (SELECT *, place-row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM f WHERE (kept,kplace)<>(doc_id,place)),
 k AS (SELECT doc_id, run, kept, min(a) AS a, max(z) AS z, sum(words) AS words, count(*) AS units FROM r GROUP BY doc_id, run, kept)
 SELECT doc_id, min(a)::INT AS start, max(z)::INT AS end, sum(words)::BIGINT AS n_words, sum(units)::BIGINT AS n_units, arg_max(kept,(words,-kept)) AS kept_doc_id, array_to_string(list_sort(list(DISTINCT kept)),',') AS kept_doc_ids
 FROM k GROUP BY doc_id, run HAVING sum(words)>=20"""
 
 
-
 def _places(kind: str, pattern: str, among: str = "d") -> str:
     """Matches of a pattern with their places, by the lengths of what is between them."""
     return f"""m_{kind} AS (SELECT r, unnest(regexp_extract_all(t,'{pattern}')) AS v, unnest((string_split_regex(t,'{pattern}'))[1:len(regexp_extract_all(t,'{pattern}'))]) AS g, unnest(range(1,len(regexp_extract_all(t,'{pattern}'))+1)) AS i FROM {among}),
