@@ -8,7 +8,7 @@ Reading: bytes are inflated as they come, with a new inflater for each member; t
 its digests are checked on the way. A worker holds a chunk, and the payload only if it is asked for.
 
 Defined results: a null html is an empty payload; a page without an id is always a response and is read back
-without an id; rows that share the least id of a payload are responses each; a url that is null is left out, control
+without an id; rows that share the least id of a payload are responses each; a url that is null, or longer than MOST_URL, is left out, control
 characters in it are escaped; an empty table gives an empty archive; a broken archive gives the records
 before the break and a row that says what broke; of extra columns none go into the archive.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from casegrain.llm.common import shared_dir, written
 
 REVISIT_BYTES = 100
-ROLL_BYTES, CHUNK, MOST_HEAD = 512 << 20, 1 << 20, 1 << 20
+ROLL_BYTES, CHUNK, MOST_HEAD, MOST_URL = 512 << 20, 1 << 20, 1 << 20, 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:x-page:"
 REPORT = "path string, records long, bytes long"
@@ -41,13 +41,16 @@ READ = "page_id string, url string, record_type string, payload_bytes long, payl
 def planned(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, payload_digest, record_type, refers_to) of each page.
 
-    The least id of each payload comes from an aggregation that is combined before the shuffle; the join
-    after it is one whose skewed partitions Spark divides.
+    Lengths and digests are read first; the payloads that several pages share make a small table of digests and least ids. Pages
+    look themselves up there: it is broadcast while its size on disk is under the threshold, else the join is one whose skewed
+    partitions Spark divides.
     """
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
+    digest = F.sha2(payload, 256)
+    alike = pages.where((F.length(payload) >= REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", digest.alias("_digest"))
+    first = alike.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    first = written(first, "repeats")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
-    alike = rows.where((F.length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
-    first = alike.groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     rows = rows.join(first, F.col("payload_digest") == F.col("_digest"), "left")
     revisit = F.col("_first").isNotNull() & (F.col("page_id") != F.col("_first"))
     kind = F.when(revisit, "revisit").otherwise("response")
@@ -60,8 +63,8 @@ def record(page: str | None, url: str | None, payload: bytes, digest: str, kind:
     if kind == "response":
         block += payload
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{URN}{quote(page or '', safe='')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
-    if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
+    if url is not None and len(own := re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)) <= MOST_URL:
+        head.append(f"WARC-Target-URI: {own}")
     if kind == "revisit":
         head += [f"WARC-Refers-To: <{URN}{quote(first or '', safe='')}>", f"WARC-Profile: {PROFILE}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]

@@ -32,7 +32,7 @@ def test_query_is_an_exact_round_trip(spark, sf):
 def test_odd_pages(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ROLL_BYTES", 2000)  # several files for a task
     long, same = "é" * 3_000_000, "<p>same</p>" * 30
-    pages = [(1, "u", None), (2, None, ""), (3, "a b\r\nX: y", long), (9, "u", same), (4, "u", same), (4, "u", same), (None, "u", same), (5, "u", "x" * 99), (6, "u", "x" * 99), (7, "u", "x" * 100), (8, "u", "x" * 100)]
+    pages = [(1, "u", None), (2, None, ""), (3, "a b\r\nX: y", long), (9, "u", same), (4, "u", same), (4, "u", same), (None, "u", same), (5, "u", "x" * 99), (6, "u", "x" * 99), (7, "u", "x" * 100), (8, "u", "x" * 100), (10, "u" * 3_000_000, "long url")]
     table = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, payload int")
     files = warc.write_archives(warc.planned(table), str(tmp_path))
     got = warc.read_archives(spark, files, keep=True).collect()
@@ -40,6 +40,7 @@ def test_odd_pages(spark, tmp_path, monkeypatch):
     as_tuple = sorted(((int(r["page_id"]) if r["page_id"] else None, r["payload_bytes"], r["payload_digest"], r["record_type"], int(r["refers_to"]) if r["refers_to"] else None) for r in got), key=str)
     assert as_tuple == want([dict(zip(("page_id", "url", "html"), p, strict=True)) for p in pages])
     assert {bytes(r["payload"]) for r in got if r["page_id"] == "3"} == {long.encode()}
+    assert {r["page_id"]: r["url"] for r in got}["10"] is None and {r["page_id"]: r["url"] for r in got}["3"] == "a%20b%0D%0AX:%20y"
     none = warc.write_archives(warc.planned(table.limit(0)), str(tmp_path))
     assert warc.read_archives(spark, none).count() == 0
 
@@ -63,3 +64,8 @@ def test_faults_are_found(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(good) + b"junk")
     rows = warc.read_archives(spark, spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "path string")).collect()
     assert [r["page_id"] for r in rows] == ["1", None] and "gzip" in rows[1]["error"]
+
+
+def test_payloads_are_not_shuffled_for_few_repeats(spark, sf):
+    plan = warc.planned(spark.read.parquet(f"{sf}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
