@@ -204,10 +204,17 @@ def _scanner(shared, window: int, schema: T.StructType):
 
 
 def _located(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
-    """Spans of words with their code points."""
+    """Spans of words with their code points; the text is decoded once, a piece at a time."""
     ends = [m.span() for m in WORD.finditer(text.translate(FOLD))]
-    place = lambda b: len(text[:b].decode("utf-8", "replace"))
-    return [{"first": a, "last": b, "start": place(ends[a][0]), "end": place(ends[b - 1][1])} for a, b in spans]
+    out, byte, point = [], 0, 0
+    for a, b in spans:
+        places = []
+        for at in (ends[a][0], ends[b - 1][1]):
+            point += len(text[byte:at].decode("utf-8", "replace"))
+            byte = at
+            places.append(point)
+        out.append({"first": a, "last": b, "start": places[0], "end": places[1]})
+    return out
 
 
 def hit_words(spans: str = "spans"):
