@@ -9,6 +9,9 @@ least one partition. For each fingerprint, dynamic programming over the partitio
 candidate counts estimated from exact counts of all 16-bit blocks. It then visits the buckets of the values
 that near its own; whoever meets there is verified on all 64 bits.
 
+A bucket of more than HOT fingerprints (and those near it, which its members visit) goes to many tasks: its rows are sent to sub-buckets by each of
+tau + 1 blocks of the other partition's bits, of which a linked pair agrees in one at least.
+
 A bucket never emits its pairs: it is split into sub-buckets by what its members may still differ in, and
 emits a spanning forest of its links, at most one row for each member. Components over those edges are the
 same as over all links. They are found by contraction (large star, small star) in rounds that are written down.
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrain.llm.common import written
+from casegrain.llm.common import forgotten, written
 
 SHINGLE, TAU, SEED = 3, 3, 42
 PARTS, WIDTH, BLOCK = 2, 32, 16
@@ -37,6 +40,8 @@ PARTS, WIDTH, BLOCK = 2, 32, 16
 CHUNK, SAMPLE, VISIT = 1 << 15, 20_000, 1.0
 #: Members of a bucket that are compared at a time; larger ones are split by the bits they may differ in.
 DENSE = 2048
+#: Fingerprints that share a partition's bits, from which on their bucket is sent to several tasks.
+HOT = 100_000
 #: Lower-cases A-Z; ASCII white space is what bytes.split() parts at.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -197,8 +202,18 @@ def forest(prints: np.ndarray, tau: int, bits: int = 64) -> list[tuple[int, int]
     return edges
 
 
-def _visits(parts, shares, total, tau):
-    """Each fingerprint's own bucket in each partition (home), and the buckets it visits."""
+def _visits(parts, shares, total, tau, hot):
+    """Each fingerprint's own bucket in each partition (home), and the buckets it visits; ``hot`` are sorted bucket numbers."""
+
+    def rows_of(bucket: np.ndarray, prints: np.ndarray, home: bool, part: int) -> Iterator[tuple]:
+        if len(hot):
+            among = hot[np.minimum(np.searchsorted(hot, bucket), len(hot) - 1)] == bucket
+            other, many = parts[1 - part], prints[among]
+            for block in range(tau + 1):
+                own = packed(many, other[block :: tau + 1])
+                yield np.uint64(1 << 62) + ((bucket[among] * np.uint64(tau + 1) + np.uint64(block)) << np.uint64(-(-WIDTH // (tau + 1)))) + own, many, home
+            bucket, prints = bucket[~among], prints[~among]
+        yield bucket, prints, home
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shares.value
@@ -209,10 +224,11 @@ def _visits(parts, shares, total, tau):
                 for part, bits in enumerate(parts):
                     value = packed(prints, bits)
                     own = np.uint64(part << WIDTH)
-                    rows = [(value | own, prints, True)]
+                    rows = [*rows_of(value | own, prints, True, part)]
                     for r in range(1, int(limits[:, part].max(initial=-1)) + 1):
                         at = limits[:, part] >= r
-                        rows += [((value[at] ^ np.uint64(m)) | own, prints[at], False) for m in masks(WIDTH, r)]
+                        for m in masks(WIDTH, r):
+                            rows += rows_of((value[at] ^ np.uint64(m)) | own, prints[at], False, part)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v for v, _, _ in rows]).view(np.int64)), pa.array(np.concatenate([p for _, p, _ in rows]).view(np.int64)), pa.array(np.repeat([h for _, _, h in rows], [len(p) for _, p, _ in rows]))], names=["bucket", "fp", "home"])
 
     return run
@@ -222,11 +238,11 @@ def _forests(tau: int):
     """Edges from rows that come sorted by bucket; a bucket at a time is held, 8 bytes a member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        held: list[tuple] = []  # pieces of the bucket that may go on
 
         def edges(bucket, prints, home) -> Iterator[pa.RecordBatch]:
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-            homes = np.add.reduceat(home.astype(np.int64), cuts[:-1]) if len(bucket) else []
+            homes = np.add.reduceat(home.astype(np.int64), cuts[:-1])
             pairs = []
             for a, b, n in zip(cuts[:-1].tolist(), cuts[1:].tolist(), homes, strict=True):
                 if n and b - a > 1:  # visitors alone meet nobody
@@ -236,17 +252,24 @@ def _forests(tau: int):
                     else:
                         found = forest(own, tau)
                     pairs += [(int(prints[a + x]), int(prints[a + y])) for x, y in found]
-            if pairs:
-                for k in range(0, len(pairs), 65536):
-                    x, y = np.array(pairs[k : k + 65536], np.int64).T
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            for k in range(0, len(pairs), 65536):
+                x, y = np.array(pairs[k : k + 65536], np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
         for batch in batches:
-            now = tuple(np.concatenate((r, batch.column(k).to_numpy(zero_copy_only=False))) for k, r in enumerate(rest))
-            last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            yield from edges(*(x[:last] for x in now))
-            rest = tuple(x[last:] for x in now)
-        yield from edges(*rest)
+            if not batch.num_rows:
+                continue
+            now = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            if held and (last or held[-1][0][-1] != now[0][0]):
+                held.append(tuple(x[:last] for x in now))
+                yield from edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            elif last:
+                yield from edges(*(x[:last] for x in now))
+            held.append(tuple(x[last:] for x in now))
+        if held:
+            yield from edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -260,13 +283,17 @@ def links(prints: DataFrame, tau: int = TAU) -> DataFrame:
     parts = grouped_bits(np.sort(sample))
     # Exact counts of each 16-bit block: four tables of 65,536 at most.
     blocks = [bits[j : j + BLOCK] for bits in parts for j in range(0, WIDTH, BLOCK)]
-    value = lambda bits: sum((F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)) * (1 << k) for k, b in enumerate(bits)), F.lit(0))
+    value = lambda bits: sum((F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1).cast("long")) * (1 << k) for k, b in enumerate(bits)), F.lit(0))
     pairs = prints.select(F.explode(F.array(*[value(bits) + (n << BLOCK) for n, bits in enumerate(blocks)])).alias("v"))
     counts = np.zeros(len(blocks) << BLOCK)
     for v, n in pairs.groupBy("v").count().toLocalIterator():
         counts[v] = n
     shares = [near_counts(c / max(1, total), tau) for c in counts.reshape(len(blocks), -1)]
-    rows = prints.mapInArrow(_visits(parts, spark.sparkContext.broadcast(shares), total, tau), "bucket long, fp long, home boolean")
+    homes = prints.select(F.explode(F.array(*[value(bits).cast("long") + (n << WIDTH) for n, bits in enumerate(parts)])).alias("v"))
+    full = [r[0] for r in homes.groupBy("v").count().where(F.col("count") > HOT).collect()]  # a row for each HOT fingerprints at most
+    near_full = {v ^ m for v in full for r in range(tau + 1) for m in masks(WIDTH, r)}
+    hot = np.array(sorted(near_full), np.uint64)
+    rows = prints.mapInArrow(_visits(parts, spark.sparkContext.broadcast(shares), total, tau, hot), "bucket long, fp long, home boolean")
     near = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_forests(tau), "a long, b long")
     return near.distinct()
 
@@ -287,6 +314,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Done when every node has one lesser neighbour, which has none itself.
         if new.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and new.select("a").join(new.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             return new.select(F.col("b").alias("node"), F.col("a").alias("root")).union(new.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        forgotten(now)
         now = new
 
 

@@ -1,6 +1,8 @@
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,7 +49,9 @@ def test_fingerprint_equals_spark_hash(spark):
     assert xxhash.xxh64_intdigest("ab cd é".encode(), 42) == got % 2**64
 
 
-def test_planted_neighbours(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 5])
+def test_planted_neighbours(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = np.random.default_rng(7)
     rows = []
     for c in range(60):  # chains whose ends are far apart, and dense balls
@@ -57,6 +61,7 @@ def test_planted_neighbours(spark):
             for b in rng.choice(64, int(rng.integers(1, 5)), replace=False):
                 at ^= 1 << int(b)
     rows += [(len(rows) + k, int(rng.integers(0, 2**63))) for k in range(1500)]
+    rows += [(len(rows) + k, int(rng.integers(0, 2**20)) << 30) for k in range(300)]  # many share their lowest bits
     rows += [(len(rows), 0), (len(rows) + 1, 7), (len(rows) + 2, 15), (None, 0)]
     signed = [(i, p - 2**64 if p >= 2**63 else p) for i, p in rows]
     prints = simhash.written(spark.createDataFrame(signed, "doc_id long, fp long"), "t")
@@ -107,3 +112,14 @@ def test_odd_rows(odd, docs_of):
     kept = simhash.deduplicated(odd.selectExpr("*", "1 as fp", "2 as component_id")).collect()
     assert len(kept) == len({r["component_id"] for r in rows}) and len(kept[0]) == 7
     assert simhash.near_duplicates(docs_of([])).count() == 0 == simhash.deduplicated(docs_of([])).count()
+
+
+def test_forests_do_not_depend_on_batches():
+    rng = np.random.default_rng(9)
+    bucket = np.sort(rng.integers(0, 12, 400))
+    prints = rng.permutation(4096)[:400].astype(np.int64)
+    table = [pa.array(bucket), pa.array(prints), pa.array(np.ones(400, bool))]
+    whole = {r for b in simhash._forests(3)(iter([pa.RecordBatch.from_arrays(table, names=["bucket", "fp", "home"])])) for r in zip(*b.to_pydict().values(), strict=True)}
+    for size in (1, 7, 64):
+        parts = [pa.RecordBatch.from_arrays([c.slice(k, size) for c in table], names=["bucket", "fp", "home"]) for k in range(0, 400, size)]
+        assert {r for b in simhash._forests(3)(iter(parts)) for r in zip(*b.to_pydict().values(), strict=True)} == whole and whole
