@@ -54,7 +54,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forgotten(table: DataFrame) -> None:
+    """Deletes a ``written`` table that nothing reads any more."""
+    removed(table.sparkSession, table.scratch)
+
+
+def broadcast_if_small(table: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """A ``written`` table marked for broadcast if the planner, who knows its files, puts it at ``most_bytes`` or less."""
+    return F.broadcast(table) if table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most_bytes else table
 
 
 def id_text(col: str | Column) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrain.llm.common import SPACED, table, written
+from casegrain.llm.common import SPACED, broadcast_if_small, table, written
 
 GRAM_BUCKETS = 1 << 17
 #: Different n-grams to a bucket at most (sf0.1 has 21); different n-grams are estimated from one hash in SAMPLE.
@@ -27,8 +27,6 @@ MOST_LOAD, SAMPLE = 24, 64
 MOST_BROADCAST = 1 << 21
 SHRINK, THRESHOLD = 20.0, -0.15
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
-#: Ids that are broadcast at most (16 MB); beyond, the join shuffles.
-MOST_IDS = 2_000_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 #: Windows sorted by hash; those equal to a neighbour; their places in order; the words they cover.
@@ -90,8 +88,7 @@ def exploded(rows: DataFrame, buckets: int, *columns: str) -> DataFrame:
 def flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(text, trusted): whether a row's id is among the ids of ``trusted``."""
     ids = written(trusted.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct(), "trusted_ids")
-    few = ids.count() <= MOST_IDS
-    out = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left")
+    out = docs.select("doc_id", "text").join(broadcast_if_small(ids), F.col("doc_id") == F.col("_id"), "left")
     return out.select("text", F.col("_id").isNotNull().cast("int").alias("trusted"))
 
 
