@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from casegrain.llm import minhash
+from casegrain.llm import minhash, simhash
 
 
 def jaccard(a, b):
@@ -39,7 +39,7 @@ def planted():
 def test_planted_near_copies(docs_of):
     rows = planted() + [(900, "one two"), (901, "One  two"), (902, "one three"), (903, ""), (904, " ")]
     want = kept(rows)
-    assert sorted(r["doc_id"] for r in minhash.deduplicated(docs_of(rows)).collect()) == want
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs_of(rows), 5, similarity=0.8).collect()) == want
     assert len(want) < len(rows) - 80
 
 
@@ -54,6 +54,6 @@ def test_large_bucket_is_split(docs_of, monkeypatch):
 
 
 def test_odd_rows(odd, docs_of):
-    out = minhash.deduplicated(odd.selectExpr("*", "1 as fp", "2 as sig"))
+    out = simhash.deduplicated(odd.selectExpr("*", "1 as fp", "2 as sig"), 5, similarity=0.8)
     assert {"fp", "sig"} <= set(out.columns) and 0 < out.count() <= odd.count()
-    assert minhash.deduplicated(docs_of([])).count() == 0
+    assert simhash.deduplicated(docs_of([]), 5, similarity=0.8).count() == 0
