@@ -38,8 +38,7 @@ def string_hash(text: str) -> list[int]:
             h[k] = h[(k + 1) % 4] ^ ((h[k] ^ u) * _MULTIPLIERS[k] & _MASK)
     mixed = list(h)
     for k in range(4):
-        source = mixed[(k + 2) % 4] if k < 2 else mixed[k - 2]
-        mixed[k] = (source ^ h[k] >> _SHIFTS[k]) * _MULTIPLIERS[k] & _MASK
+        mixed[k] = (mixed[(k + 2) % 4] ^ h[k] >> _SHIFTS[k]) * _MULTIPLIERS[k] & _MASK
     first = mixed[0] ^ mixed[1] ^ mixed[2] ^ mixed[3]
     return [first, mixed[1] ^ mixed[0], mixed[2] ^ mixed[0], mixed[3] ^ mixed[0]]
 

@@ -14,6 +14,7 @@ FRAME = (36.0, 24.0, (36.0**2 + 24.0**2) ** 0.5)
 #: Focal lengths below so many mm are taken for those of a phone's sensor.
 PHONE_MM, PHONE_CROP, USUAL_MM = 10.0, 5.6, 50.0
 ARC_POINTS = 16
+MILES_PER_KM = 0.621371
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS_KM, clamp: bool = False) -> Column:
@@ -27,7 +28,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
 def distances(km: Column) -> Column:
     return F.struct(
         F.round(km, 3).alias("distance_km"),
-        F.round(km * 0.621371, 3).alias("distance_miles"),
+        F.round(km * MILES_PER_KM, 3).alias("distance_miles"),
         F.round(km * 0.539957, 3).alias("distance_nautical_miles"),
         F.round(km * 1000.0, 1).alias("distance_meters"),
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -95,16 +97,51 @@ def by_look(items: DataFrame, bits_apart: int = LOOK_BITS) -> DataFrame:
     return _leaders(items.select("case_id", "ordinal", "hash"), ["hash"], near, "VIS_")
 
 
-def alike_pairs(items: DataFrame, bits_apart: int = LOOK_BITS, width: int = 32) -> DataFrame:
-    """(a, b, distance): pairs of items whose hashes differ in ``bits_apart`` bits at most.
+def alike_hashes(hashes: DataFrame, bits_apart: int = LOOK_BITS, width: int = 64) -> DataFrame:
+    """(ha, hb, distance), ha < hb: distinct hashes (column hash) that differ in ``bits_apart`` bits at most.
 
-    Hashes of such a pair agree in one of bits_apart + 1 blocks, which is the key of an equi-join.
+    Of BLOCKS blocks of bits, one differs in no more than bits_apart // BLOCKS bits. The one side looks into all values that near
+    of each block, the other waits at its own; a pair counts in the first block where it meets, so none comes twice.
+    Blocks have 16 to 21 bits, so what meets by chance is a small part of a percent of all pairs.
     """
-    blocks = bits_apart + 1
-    cuts = [width * k // blocks for k in range(blocks + 1)]
-    block = lambda k: F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("hash", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)).alias("v"))
-    rows = items.select("id", "hash").withColumn("_b", F.explode(F.array(*[block(k) for k in range(blocks)])))
-    left, right = rows.select(F.col("id").alias("a"), F.col("hash").alias("ha"), F.col("_b").alias("_l")), rows.select(F.col("id").alias("b"), F.col("hash").alias("hb"), F.col("_b").alias("_r"))
-    both = left.join(right, (F.col("_l.k") == F.col("_r.k")) & (F.col("_l.v") == F.col("_r.v")) & (F.col("a") < F.col("b")))
+    blocks = 2 if width <= 32 else 3
+    cuts, radius = [width * k // blocks for k in range(blocks + 1)], bits_apart // blocks
+    part = lambda h, k: F.shiftrightunsigned(h, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1).cast("long"))
+    flips = [[sum(1 << b for b in own) for r in range(radius + 1) for own in combinations(range(cuts[k + 1] - cuts[k]), r)] for k in range(blocks)]
+    own = hashes.where("hash is not null").select("hash").distinct()
+
+    def looks_of(k: int) -> Column:
+        masks = F.split(F.lit(",".join(map(str, flips[k]))), ",").cast("array<bigint>")
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("k"), part("hash", k).bitwiseXOR(m).alias("v")))
+
+    looks = F.concat(*map(looks_of, range(blocks)))
+    waits = F.array(*[F.struct(F.lit(k).alias("k"), part("hash", k).alias("v")) for k in range(blocks)])
+    left = own.select(F.col("hash").alias("ha"), F.explode(looks).alias("_l"))
+    right = own.select(F.col("hash").alias("hb"), F.explode(waits).alias("_r"))
+    both = left.join(right, (F.col("_l.k") == F.col("_r.k")) & (F.col("_l.v") == F.col("_r.v")) & (F.col("ha") < F.col("hb")))
+    apart = F.col("ha").bitwiseXOR(F.col("hb"))
+    earlier = reduce(lambda a, b: a | b, [(F.col("_l.k") > k) & (F.bit_count(part(apart, k)) <= radius) for k in range(blocks - 1)])
     far = bits.hamming(F.col("ha"), F.col("hb"))
-    return both.select("a", "b", far.alias("distance")).where(F.col("distance") <= bits_apart).distinct()
+    return both.where(~earlier & (far <= bits_apart)).select("ha", "hb", far.alias("distance"))
+
+
+def alike_pairs(items: DataFrame, bits_apart: int = LOOK_BITS, width: int = 64) -> DataFrame:
+    """(a, b, distance): pairs of items (id, hash) whose hashes differ in ``bits_apart`` bits at most; see ``alike_links`` for large groups."""
+    near = alike_hashes(items, bits_apart, width)
+    one, two = items.select(F.col("id").alias("x"), F.col("hash").alias("ha")), items.select(F.col("id").alias("y"), F.col("hash").alias("hb"))
+    other = near.join(one, "ha").join(two, "hb").select("x", "y", "distance")
+    same = one.join(two, (F.col("ha") == F.col("hb")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(0).alias("distance"))
+    return other.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+
+
+def alike_links(items: DataFrame, bits_apart: int = LOOK_BITS, width: int = 64) -> DataFrame:
+    """(id, hash, same, links): how many other items have an item's hash, and how many are alike (these among them).
+
+    Counted over distinct hashes; pairs of items are never made.
+    """
+    counts = items.where("hash is not null").groupBy("hash").agg(F.count("*").alias("n"))
+    near = alike_hashes(counts, bits_apart, width)
+    ways = near.select(F.col("ha").alias("hash"), F.col("hb").alias("_other")).union(near.select("hb", "ha"))
+    more = ways.join(counts.withColumnRenamed("hash", "_other"), "_other").groupBy("hash").agg(F.sum("n").alias("_more"))
+    every = counts.join(more, "hash", "left").select("hash", (F.col("n") - 1).alias("same"), (F.col("n") - 1 + F.coalesce("_more", F.lit(0))).alias("links"))
+    return items.join(every, "hash").select("id", "hash", "same", "links")
