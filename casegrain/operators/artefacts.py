@@ -82,7 +82,7 @@ def clean(files: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"sha256": pdf["sha256"], "cleaned": [cleaned(f, bytes(c)) for f, c in zip(pdf["format"], pdf["content"], strict=True)]})
 
-    out = files.select("sha256", "format", "content").mapInPandas(run, "sha256 string, cleaned binary")
+    out = files.where("content is not null").select("sha256", "format", "content").mapInPandas(run, "sha256 string, cleaned binary")
     return out.withColumn("cleaned_sha256", F.sha2("cleaned", 256))
 
 

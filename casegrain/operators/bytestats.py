@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Leading bytes in hex, in the order in which they are tried; brands of ISO media; expected suffixes.
 MAGIC = (("FFD8FF", "JPEG"), ("89504E470D0A1A0A", "PNG"), ("49492A00", "TIFF"), ("4D4D002A", "TIFF"), ("474946383761", "GIF"), ("474946383961", "GIF"), ("424D", "BMP"), ("38425053", "PSD"))
-HEIC_BRANDS, AVIF_BRANDS = "heic heix hevc hevx heim heis mif1".split(), ["avif", "avis"]
+HEIC_BRANDS, AVIF_BRANDS = ["heic", "heix", "hevc", "hevx", "heim", "heis", "mif1"], ["avif", "avis"]
 SUFFIXES = {"JPEG": ["jpg", "jpeg", "jpe", "jfif"], "PNG": ["png"], "TIFF": ["tif", "tiff", "dng", "nef", "cr2", "arw"], "WEBP": ["webp"], "HEIC": ["heic", "heif"], "AVIF": ["avif"], "GIF": ["gif"], "BMP": ["bmp", "dib"], "PSD": ["psd"], "PPTX": ["pptx"], "DOCX": ["docx"], "XLSX": ["xlsx"], "ZIP": ["zip"], "SVG": ["svg"]}
 MIME = {"JPEG": "image/jpeg", "PNG": "image/png", "TIFF": "image/tiff", "WEBP": "image/webp", "HEIC": "image/heic", "AVIF": "image/avif", "GIF": "image/gif", "BMP": "image/bmp", "PSD": "image/vnd.adobe.photoshop", "SVG": "image/svg+xml", "ZIP": "application/zip"}
 PAYLOADS = (("504B0304", "ZIP_ARCHIVE"), ("52617221", "RAR_ARCHIVE"), ("377ABCAF271C", "7Z_ARCHIVE"), ("25504446", "PDF_DOCUMENT"), ("FFD8FF", "JPEG_IMAGE"), ("89504E47", "PNG_IMAGE"))

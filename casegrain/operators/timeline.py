@@ -21,6 +21,8 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 
 #: Rows without a time or an ordinal come first; their slice lies before all others.
 BEFORE_ALL = -(1 << 40)
+#: Characters of a name that its slice is named by.
+PREFIX = 8
 
 
 def with_previous(rows: DataFrame, slice_: Column, order: list[str], columns: list[str]) -> DataFrame:
@@ -30,16 +32,20 @@ def with_previous(rows: DataFrame, slice_: Column, order: list[str], columns: li
     window of its own and is joined back.
     """
     packed = F.struct(*order, *columns)
-    sliced = rows.withColumn("_slice", F.coalesce(slice_.cast("long"), F.lit(BEFORE_ALL)))
+    sliced = rows.withColumn("_slice", slice_)
     ends = sliced.groupBy("case_id", "_slice").agg(F.max(packed).alias("_last"))
     handed = ends.select(F.col("case_id").alias("_case"), F.col("_slice").alias("_s"), F.lag("_last").over(Window.partitionBy("case_id").orderBy("_slice")).alias("_handed"))
     inner = sliced.withColumn("_inner", F.lag(packed).over(Window.partitionBy("case_id", "_slice").orderBy(*order)))
-    both = inner.join(handed, F.col("case_id").eqNullSafe(F.col("_case")) & (F.col("_slice") == F.col("_s")))
+    both = inner.join(handed, F.col("case_id").eqNullSafe(F.col("_case")) & F.col("_slice").eqNullSafe(F.col("_s")))
     return both.withColumn("_previous", F.coalesce("_inner", "_handed")).drop("_slice", "_s", "_case", "_inner", "_handed")
 
 
 def by_day(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts) / 86_400_000_000)
+    return F.coalesce(F.floor(F.unix_micros(ts) / 86_400_000_000).cast("long"), F.lit(BEFORE_ALL))
+
+
+def by_run(ordinal: Column, rows: int = 1_000_000) -> Column:
+    return F.coalesce(F.floor(ordinal / rows).cast("long"), F.lit(BEFORE_ALL))
 
 
 def kinematics(events: DataFrame) -> DataFrame:
@@ -59,9 +65,9 @@ def kinematics(events: DataFrame) -> DataFrame:
 
 
 def inversions(events: DataFrame, name: str) -> DataFrame:
-    """Events that are older than the event whose name comes before theirs."""
-    order = Window.partitionBy("case_id").orderBy(name)
-    out = events.withColumns({"previous_name": F.lag(name).over(order), "_ts": F.lag("ts").over(order)})
+    """Events that are older than the event whose name comes before theirs; slices are names that begin alike."""
+    out = with_previous(events, F.substring(name, 1, PREFIX), [name], ["ts"])
+    out = out.withColumns({"previous_name": F.col("_previous")[name], "_ts": F.col("_previous.ts")}).drop("_previous")
     return out.where(F.col("ts") < F.col("_ts")).withColumn("delta_seconds", seconds_between(F.col("ts"), F.col("_ts"))).drop("_ts")
 
 
@@ -79,7 +85,7 @@ def summary(events: DataFrame, *by: str) -> DataFrame:
 def steps(points: DataFrame) -> DataFrame:
     """From each usable point to the next in input order: distance, bearing, time, speed."""
     own = points.where(geo.usable(F.col("lat"), F.col("lon"))).select("case_id", "ordinal", "ts", "lat", "lon")
-    rows = with_previous(own, F.floor(F.col("ordinal") / 1_000_000), ["ordinal"], ["ts", "lat", "lon"]).where("_previous is not null")
+    rows = with_previous(own, by_run(F.col("ordinal")), ["ordinal"], ["ts", "lat", "lon"]).where("_previous is not null")
     a = {c: F.col("_previous")[c] for c in ("ordinal", "ts", "lat", "lon")}
     km = geo.haversine(a["lat"], a["lon"], F.col("lat"), F.col("lon"))
     course = geo.bearing(a["lat"], a["lon"], F.col("lat"), F.col("lon"))

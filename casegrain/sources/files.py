@@ -24,17 +24,40 @@ PAYLOADS = ("DQT", "DHT", "DRI", "SOF0", "SOF1", "SOF2")
 
 
 def evidence(spark: SparkSession, targets: list[str], recursive: bool = True) -> DataFrame:
-    """(path, length, mtime, content, sha256, format, mime_type, extension_mismatch), each path once.
+    """(path, length, mtime, content, sha256, format, mime_type, extension_mismatch, error), each path once.
 
-    A target that names a file is read whatever its suffix; others list known suffixes only.
+    A target that names a file is read whatever its suffix; others list known suffixes only. Targets inside of others are
+    dropped before anything is read. A file of more than MOST_BYTES is not read: it has an error, and no content or hash.
     """
+    paths, named = resolved(spark, targets, recursive)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    rows = reader.load(targets).where(F.col("length") <= MOST_BYTES)
-    named = [t for t in targets if "." in t.rpartition("/")[2] and not any(c in t for c in "*?[")]
     wanted = bytestats.suffix(F.col("path")).isin(LISTED)
-    for target in named:
-        wanted = wanted | F.col("path").endswith(target.split(":", 1)[-1].lstrip("/"))
-    return identified(rows.where(wanted).dropDuplicates(["path"]).select("path", "length", F.col("modificationTime").alias("mtime"), "content"))
+    for start in range(0, len(named), 1000):
+        wanted = wanted | F.col("path").isin(named[start : start + 1000])
+    rows = reader.load(paths).where(wanted).withColumnRenamed("modificationTime", "mtime")
+    read = rows.where(F.col("length") <= MOST_BYTES).select("path", "length", "mtime", "content", F.lit(None).cast("string").alias("error"))
+    # Without its content in the select, a file is only listed.
+    large = rows.where(F.col("length") > MOST_BYTES).select("path", "length", "mtime", F.lit(None).cast("binary").alias("content"), F.concat(F.lit(f"more than {MOST_BYTES} bytes: "), F.col("length").cast("string")).alias("error"))
+    return identified(read.unionByName(large))
+
+
+def resolved(spark: SparkSession, targets: list[str], recursive: bool = True) -> tuple[list[str], list[str]]:
+    """Folders and files that ``targets`` (which may be patterns) name, each once and none inside of another; and the files named."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders, named = set(), set()
+    for target in targets:
+        where = jvm.org.apache.hadoop.fs.Path(target)
+        for status in where.getFileSystem(conf).globStatus(where) or ():
+            (folders if status.isDirectory() else named).add(status.getPath().toString())
+    parents = lambda path: [path[:k] for k, c in enumerate(path) if c == "/"]
+    if recursive:
+        folders = {f for f in folders if not folders.intersection(parents(f))}
+        alone = {f for f in named if not folders.intersection(parents(f))}
+    else:
+        alone = {f for f in named if f.rpartition("/")[0] not in folders}
+    if not folders and not named:
+        raise FileNotFoundError(f"nothing at {', '.join(targets)}")
+    return sorted(folders | alone), sorted(named)
 
 
 def identified(files: DataFrame) -> DataFrame:
@@ -61,7 +84,7 @@ def events(files: DataFrame) -> DataFrame:
                         rows.append((sha, n, "note", e[1], e[3], 0, 0, 0, e[2], None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in EVENTS.split(", ")])
 
-    return files.select("sha256", "format", "content").mapInPandas(run, EVENTS)
+    return files.where("content is not null").select("sha256", "format", "content").mapInPandas(run, EVENTS)
 
 
 def units(walked: DataFrame) -> DataFrame:
@@ -105,7 +128,11 @@ def re_int(text: str) -> bool:
 
 
 def fields(parsed_rows: DataFrame) -> DataFrame:
-    return parsed_rows.where("standard <> '!'")
+    """Fields of all standards, with numbers as such: integers in ``value_longs``, rationals in ``value_ratios`` as pairs."""
+    parts = F.split("value_str", ", ")
+    longs = F.when(F.col("value_type").rlike(r"^(BYTE|S?SHORT|S?LONG)(\[\])?$"), F.transform(parts, lambda p: p.try_cast("long")))
+    ratios = F.when(F.col("value_type").rlike(r"^S?RATIONAL(\[\])?$"), F.transform(parts, lambda p: F.transform(F.split(p, "/"), lambda x: x.try_cast("long"))))
+    return parsed_rows.where("standard <> '!'").withColumns({"value_longs": longs, "value_ratios": ratios})
 
 
 def store(files: DataFrame, folder: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sqlite3
 import struct
+import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import closing
 from datetime import datetime
 from zoneinfo import ZoneInfo
 
@@ -11,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casegrain.operators import places
+
 OFFSET_SLACK_H = 0.6
 RINGS = "array<array<array<double>>>"
 
@@ -78,3 +84,72 @@ def capture_utc(local: Column, offset: Column, zone: Column) -> Column:
     from casegrain.functions.timeparse import shifted
 
     return F.when(offset.isNotNull(), shifted(local, offset)).when(zone.isNotNull(), F.to_utc_timestamp(local, zone)).otherwise(local)
+
+
+def geonames(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Places out of JSON files that hold them in a list named ``places``; those without a name or place are left out."""
+    text = spark.read.text(paths, wholetext=True)
+    lines = text.select(F.explode(F.from_json("value", "struct<places:array<string>>")["places"]).alias("value"))
+    return places.parse_places(lines)
+
+
+# Layers of the Natural Earth database and their columns.
+LAYERS = {
+    "place": ("ne_10m_populated_places", ["name", "adm0name", "iso_a2", "adm1name", "latitude", "longitude", "timezone", "pop_max", "featurecla"]),
+    "airport": ("ne_10m_airports", ["name", "name_en", "iata_code", "gps_code", "type", "GEOMETRY"]),
+    "port": ("ne_10m_ports", ["name", "featurecla", "website", "GEOMETRY"]),
+}
+PLACE_ROWS = "name string, country string, country_code string, admin1 string, lat double, lon double, timezone string, population long, feature string"
+FACILITY_ROWS = "kind string, name string, code string, category string, lat double, lon double"
+UNKNOWN_CODE = "-99"
+
+
+def _layer(spark: SparkSession, path: str, kind: str, row: Callable[[dict], tuple | None], schema: str) -> DataFrame:
+    """Rows of a layer of a SQLite database; the task that reads it keeps a copy of its own while it does, and sends the rows in batches."""
+    table, columns = LAYERS[kind]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                with tempfile.NamedTemporaryFile(suffix=".sqlite") as copy:
+                    copy.write(content)
+                    copy.flush()
+                    with closing(sqlite3.connect(copy.name)) as base:
+                        base.row_factory = sqlite3.Row
+                        cursor = base.execute(f'SELECT {", ".join(columns)} FROM "{table}"')
+                        while rows := cursor.fetchmany(10_000):
+                            kept = [r for r in (row(dict(x)) for x in rows) if r is not None]
+                            yield pd.DataFrame(kept, columns=names).astype({"population": "Int64"} if "population" in names else {})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+
+
+def sqlite_places(spark: SparkSession, path: str) -> DataFrame:
+    """Populated places of a Natural Earth database; those without coordinates are left out."""
+
+    def row(r: dict) -> tuple | None:
+        if r["latitude"] is None or r["longitude"] is None:
+            return None
+        code = r["iso_a2"] if r["iso_a2"] != UNKNOWN_CODE else None
+        return r["name"], r["adm0name"], code, r["adm1name"], r["latitude"], r["longitude"], r["timezone"], r["pop_max"], r["featurecla"]
+
+    return _layer(spark, path, "place", row, PLACE_ROWS)
+
+
+def sqlite_facilities(spark: SparkSession, path: str) -> DataFrame:
+    """Airports and ports of a Natural Earth database under the names that summaries use; without a point, none."""
+    known = lambda c: c if c and c != UNKNOWN_CODE else ""
+
+    def airport(r: dict) -> tuple | None:
+        at, name = point_of(r["GEOMETRY"]), (r["name_en"] or r["name"] or "").strip()
+        name = name if name.lower().endswith("airport") else f"{name} Airport"
+        return at and ("airport", name, known(r["iata_code"]) or known(r["gps_code"]), r["type"] or "airport", *at)
+
+    def port(r: dict) -> tuple | None:
+        at, name = point_of(r["GEOMETRY"]), (r["name"] or "").strip()
+        name = name if name.lower().startswith("port") else f"Port of {name}"
+        return at and ("port", name, "", r["featurecla"] or "seaport", *at)
+
+    return _layer(spark, path, "airport", airport, FACILITY_ROWS).unionByName(_layer(spark, path, "port", port, FACILITY_ROWS))
+

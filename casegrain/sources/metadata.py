@@ -23,12 +23,33 @@ IMAGE_TAGS = {
     0x9286: "UserComment", 0x9290: "SubSecTime", 0x9291: "SubSecTimeOriginal", 0x9292: "SubSecTimeDigitized", 0xA000: "FlashpixVersion", 0xA001: "ColorSpace", 0xA002: "PixelXDimension",
     0xA003: "PixelYDimension", 0xA005: "InteropOffset", 0xA405: "FocalLengthIn35mmFilm", 0xA431: "BodySerialNumber", 0xA432: "LensSpecification", 0xA433: "LensMake", 0xA434: "LensModel", 0xA435: "LensSerialNumber",
 }
-GPS_TAGS = dict(enumerate("GPSVersionID GPSLatitudeRef GPSLatitude GPSLongitudeRef GPSLongitude GPSAltitudeRef GPSAltitude GPSTimeStamp GPSSatellites GPSStatus GPSMeasureMode GPSDOP GPSSpeedRef GPSSpeed GPSTrackRef GPSTrack GPSImgDirectionRef GPSImgDirection GPSMapDatum".split())) | {
-    0x1D: "GPSDateStamp", 0x1E: "GPSDifferential", 0x1F: "GPSHPositioningError",
-}
+GPS_TAGS = {
+    0x00: "GPSVersionID",
+    0x01: "GPSLatitudeRef",
+    0x02: "GPSLatitude",
+    0x03: "GPSLongitudeRef",
+    0x04: "GPSLongitude",
+    0x05: "GPSAltitudeRef",
+    0x06: "GPSAltitude",
+    0x07: "GPSTimeStamp",
+    0x08: "GPSSatellites",
+    0x09: "GPSStatus",
+    0x0A: "GPSMeasureMode",
+    0x0B: "GPSDOP",
+    0x0C: "GPSSpeedRef",
+    0x0D: "GPSSpeed",
+    0x0E: "GPSTrackRef",
+    0x0F: "GPSTrack",
+    0x10: "GPSImgDirectionRef",
+    0x11: "GPSImgDirection",
+    0x12: "GPSMapDatum",
+    0x1D: "GPSDateStamp",
+    0x1E: "GPSDifferential",
+    0x1F: "GPSHPositioningError",
+}
 INTEROP_TAGS = {0x0001: "InteroperabilityIndex", 0x0002: "InteroperabilityVersion", 0x1000: "RelatedImageFileFormat", 0x1001: "RelatedImageWidth", 0x1002: "RelatedImageLength"}
 IPTC_TAGS = {5: "ObjectName", 25: "Keywords", 55: "DateCreated", 60: "TimeCreated", 80: "Byline (Author)", 85: "BylineTitle", 90: "City", 95: "Province/State", 101: "CountryName", 105: "Headline", 110: "Credit", 115: "Source", 116: "CopyrightNotice", 120: "Caption/Abstract"}
-ACTIONS = "c2pa.created c2pa.edited c2pa.opened c2pa.placed c2pa.published c2pa.transcoded c2pa.converted c2pa.resized".split()
+ACTIONS = ["c2pa.created", "c2pa.edited", "c2pa.opened", "c2pa.placed", "c2pa.published", "c2pa.transcoded", "c2pa.converted", "c2pa.resized"]
 # makers' blobs: leading bytes, length of the header, names of entries.
 MAKERS = (
     (b"Nikon\0\x02", 10, "Nikon", {0x0001: "NikonMakerNoteVersion", 0x0002: "NikonISOSetting", 0x001D: "NikonSerialNumber", 0x0084: "NikonLensInfo", 0x00A7: "NikonShutterCount"}),
@@ -55,6 +76,8 @@ def _value(raw: bytes, kind: int, order: str) -> tuple[str, str]:
         plain = text.isascii() and all(32 <= c < 127 for c in text)
         return (text.decode("ascii") if plain and len(text) <= 64 else f"{len(raw)} bytes"), name
     n = min(len(raw) // size, MOST_RATIONALS if size == 8 else MOST_VALUES)
+    if len(raw) > size and name != "BYTE":
+        name += "[]"
     flat = struct.unpack(order + code * n, raw[: n * size])
     if size == 8:
         pairs = [f"{a}/{b}" for a, b in zip(flat[::2], flat[1::2], strict=True)]

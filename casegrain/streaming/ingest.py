@@ -28,12 +28,17 @@ def into_tables(stream: DataFrame, folder: str, checkpoint: str):
     """Walks and parses arriving files into Parquet tables of units, blocks, fields and diagnostics. A batch that runs again replaces its own part."""
 
     def write(batch: DataFrame, number: int) -> None:
-        walked = files.events(batch)
-        blocks = files.blocks(walked)
-        parsed = files.parsed(blocks)
-        tables = {"evidence": batch.drop("content"), "units": files.units(walked), "blocks": blocks, "fields": files.fields(parsed), "diagnostics": files.diagnostics(walked, parsed)}
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        def once(table: DataFrame, name: str) -> DataFrame:
+            path = f"{folder}/{name}/batch={number}"
+            table.write.mode("overwrite").parquet(path)
+            return table.sparkSession.read.schema(table.schema).parquet(path)
+
+        once(batch.drop("content"), "evidence")
+        walked = once(files.events(batch), "events")  # the files are walked once, their blocks parsed once
+        blocks = once(files.blocks(walked), "blocks")
+        parsed = once(files.parsed(blocks), "parsed")
+        for name, table in {"units": files.units(walked), "fields": files.fields(parsed), "diagnostics": files.diagnostics(walked, parsed)}.items():
+            once(table, name)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
