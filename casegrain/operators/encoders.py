@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The example tables of the JPEG standard (ITU-T T.81, annex K), in natural order.
 LUMINANCE = (
-    "16 11 10 16 24 40 51 61 12 12 14 19 26 58 60 55 14 13 16 24 40 57 69 56 14 17 22 29 51 87 80 62 "
-    "18 22 37 56 68 109 103 77 24 35 55 64 81 104 113 92 49 64 78 87 103 121 120 101 72 92 95 98 112 100 103 99"
+    16, 11, 10, 16, 24, 40, 51, 61,
+    12, 12, 14, 19, 26, 58, 60, 55,
+    14, 13, 16, 24, 40, 57, 69, 56,
+    14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77,
+    24, 35, 55, 64, 81, 104, 113, 92,
+    49, 64, 78, 87, 103, 121, 120, 101,
+    72, 92, 95, 98, 112, 100, 103, 99,
 )
 CHROMINANCE = (
-    "17 18 24 47 99 99 99 99 18 21 26 66 99 99 99 99 24 26 56 99 99 99 99 99 47 66 99 99 99 99 99 99 "
-    "99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99"
+    17, 18, 24, 47, 99, 99, 99, 99,
+    18, 21, 26, 66, 99, 99, 99, 99,
+    24, 26, 56, 99, 99, 99, 99, 99,
+    47, 66, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99,
 )
 # Weights of the signals (luminance, chrominance, segments, subsampling, Huffman, frame), limits.
 WEIGHTS = (0.45, 0.15, 0.15, 0.10, 0.10, 0.05)
 SIMILAR, MARGIN, STEEPNESS, UNKNOWN = 0.75, 0.02, 1.5, 0.5
+#: Corpus entries that go along at a time.
+BLOCK_ENTRIES = 10_000
 CORPUS_SCHEMA = "entry_id string, device_model string, encoder_software string, processing_chain string, category string, subsampling string, dqt_luminance array<int>, dqt_chrominance array<int>, segment_prefix array<string>, dht_type string, sof_type string, known_collisions array<string>, confidence string"
 
 
 def base_table(chroma: bool = False) -> list[int]:
-    return [int(x) for x in (CHROMINANCE if chroma else LUMINANCE).split()]
+    return list(CHROMINANCE if chroma else LUMINANCE)
 
 
 def scaled_table(quality: int, chroma: bool = False) -> list[int]:
@@ -63,14 +79,20 @@ def segment_score(file: Column, prefix: Column) -> Column:
 
 
 def candidates(prints: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Each fingerprint's score against each corpus entry, in order: the corpus is the stated, small set of answers.
+    """Each fingerprint's score against each corpus entry, in order: the corpus is the stated set of answers.
 
-    ``prints`` has print_id, lum, chrom, segments, subsampling, optimized (Huffman tables), sof. The corpus goes
-    along as one array, a few hundred bytes an entry.
+    ``prints`` has print_id, lum, chrom, segments, subsampling, optimized (Huffman tables), sof. Entries are counted, and
+    go along in blocks of at most about BLOCK_ENTRIES (a few hundred bytes each), one array a block.
     """
-    entry = F.struct(*corpus.columns)
-    every = corpus.agg(F.collect_list(entry).alias("_all"))
-    rows = prints.join(F.broadcast(every)).select(*prints.columns, F.explode("_all").alias("e"))  # one row
+    blocks = -(-corpus.count() // BLOCK_ENTRIES)
+    number = F.pmod(F.xxhash64("entry_id"), F.lit(max(1, blocks)))
+    parts = [_scored(prints, corpus.where(number == k)) for k in range(max(1, blocks))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scored(prints: DataFrame, corpus: DataFrame) -> DataFrame:
+    every = corpus.agg(F.collect_list(F.struct(*corpus.columns)).alias("_all"))  # one row of a block's size
+    rows = prints.join(F.broadcast(every)).select(*prints.columns, F.explode("_all").alias("e"))
     e = F.col("e")
     same = lambda a, b: F.when(a.isNull() | b.isNull(), UNKNOWN).when(a == b, 1.0).otherwise(0.0)
     parts = (
@@ -119,3 +141,12 @@ def learned(corpus: DataFrame, new: DataFrame) -> DataFrame:
     """The corpus with new entries in place of those that share their ids; of a new entry's segments the first six count."""
     own = new.withColumn("segment_prefix", F.slice("segment_prefix", 1, 6))
     return corpus.join(own.select("entry_id").distinct(), "entry_id", "left_anti").unionByName(own)
+
+
+def entry(corpus: DataFrame, entry_id: str) -> DataFrame:
+    return corpus.where(F.col("entry_id") == entry_id)
+
+
+def entries_of(corpus: DataFrame, category: str) -> DataFrame:
+    """Entries of a category, by id."""
+    return corpus.where(F.col("category") == category).orderBy("entry_id")

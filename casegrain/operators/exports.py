@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegrain.functions import geo
@@ -18,6 +18,34 @@ def images(records: DataFrame) -> DataFrame:
     return records.select(*cols, F.col("is_authentic").cast("int").alias("is_authentic"))
 
 
+def metadata_fields(fields: DataFrame) -> DataFrame:
+    """Fields as children of images."""
+    return fields.select(F.col("sha256").alias("image_sha256"), "standard", "tag_id", F.col("name").alias("tag_name"), F.col("value_str").alias("field_value"), "value_type", F.col("value_offset").alias("offset"))
+
+
+def finding_rows(findings: DataFrame) -> DataFrame:
+    """Findings as children of images."""
+    return findings.select(F.col("sha256").alias("image_sha256"), "tier", "name", "confidence", "extractor", F.col("value").alias("value_json"))
+
+
+def children_upserted(old: DataFrame, new: DataFrame, parents: DataFrame) -> DataFrame:
+    """Old children without those of the ``parents`` (image_sha256) that come anew, and the new ones: a parent without new children loses its old ones."""
+    return old.join(parents.select("image_sha256").distinct(), "image_sha256", "left_anti").unionByName(new)
+
+
+def joined(parents: DataFrame, fields: DataFrame, found: DataFrame, gps: DataFrame) -> DataFrame:
+    """(sha256, verdict_label, n_fields, n_findings, top_tier, latitude, longitude): images with what their children say.
+
+    Children are counted before they are joined, so an image with many is one row.
+    """
+    f = fields.groupBy(F.col("image_sha256").alias("_f")).agg(F.count("*").alias("n_fields"))
+    g = found.groupBy(F.col("image_sha256").alias("_g")).agg(F.count("*").alias("n_findings"), F.max("tier").alias("top_tier"))
+    out = parents.join(f, F.col("sha256") == F.col("_f"), "left").join(g, F.col("sha256") == F.col("_g"), "left")
+    out = out.join(gps.select(F.col("sha256").alias("_p"), "latitude", "longitude"), F.col("sha256") == F.col("_p"), "left")
+    none = F.lit(0).cast("long")
+    return out.select("sha256", "verdict_label", F.coalesce("n_fields", none).alias("n_fields"), F.coalesce("n_findings", none).alias("n_findings"), "top_tier", "latitude", "longitude")
+
+
 def gps_locations(findings: DataFrame) -> DataFrame:
     """(sha256, latitude, longitude, altitude_m) from JSON values of GPS findings, the first of each record."""
     own = findings.where(F.col("name").isin("gps_coordinates_claimed", "gps_location_fix")).groupBy("sha256").agg(F.min_by("value", "ordinal").alias("value"))
@@ -69,14 +97,25 @@ def timeline_rows(events: DataFrame) -> DataFrame:
     )
 
 
+#: Ordinals that a part of a case's map files covers.
+PART_POINTS = 100_000
+
+
+def part() -> Column:
+    return F.coalesce(F.floor(F.col("ordinal") / PART_POINTS).cast("long"), F.lit(0).cast("long"))
+
+
 def geojson_features(points: DataFrame) -> DataFrame:
-    """(case_id, ordinal, geometry): usable points, and a line through a case that has more than one (ordinal null)."""
-    own = points.where(geo.usable(F.col("lat"), F.col("lon")))
+    """(case_id, ordinal, geometry, part): usable points, and a line through a part of a case that has more than one (ordinal null).
+
+    A part is what PART_POINTS ordinals number, so no line or document grows with a case.
+    """
+    own = points.where(geo.usable(F.col("lat"), F.col("lon"))).withColumn("part", part())
     pair = F.concat(F.lit("["), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]"))
-    dots = own.select("case_id", "ordinal", F.concat(F.lit('{"type":"Point","coordinates":'), pair, F.lit("}")).alias("geometry"))
-    lines = own.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", pair.alias("p")))).alias("all")).where(F.size("all") > 1)
+    dots = own.select("case_id", "ordinal", F.concat(F.lit('{"type":"Point","coordinates":'), pair, F.lit("}")).alias("geometry"), "part")
+    lines = own.groupBy("case_id", "part").agg(F.array_sort(F.collect_list(F.struct("ordinal", pair.alias("p")))).alias("all")).where(F.size("all") > 1)
     path = F.array_join(F.transform("all", lambda x: x["p"]), ",")
-    return dots.unionByName(lines.select("case_id", F.lit(None).cast("long").alias("ordinal"), F.concat(F.lit('{"type":"LineString","coordinates":['), path, F.lit("]}")).alias("geometry")))
+    return dots.unionByName(lines.select("case_id", F.lit(None).cast("long").alias("ordinal"), F.concat(F.lit('{"type":"LineString","coordinates":['), path, F.lit("]}")).alias("geometry"), "part"))
 
 
 def bounding_box(points: DataFrame, *by: str) -> DataFrame:

@@ -81,6 +81,15 @@ def diff_verdict(same_file: Column, same_data: Column, same_pixels: Column, alte
     )
 
 
+def repaired_json(text: Column) -> Column:
+    """The JSON object in a model's answer: without code fences, else from the first brace to the last, else {"raw_response": text}."""
+    stripped = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    bare = stripped(F.regexp_replace(F.regexp_replace(stripped(text), r"^```(?:json)?", ""), r"```$", ""))
+    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    sound = lambda t: F.try_parse_json(t).isNotNull() & (t != "")
+    return F.when(sound(bare), bare).when(sound(inner), inner).otherwise(F.to_json(F.struct(bare.alias("raw_response"))))
+
+
 def table_distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two tables' bytes, and similarity 100 / (1 + d / 50)."""
     d = F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast("double")), F.lit(0.0), lambda s, x: s + x))

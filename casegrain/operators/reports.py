@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegrain.functions import geo
 from casegrain.operators import exports
 
 #: Rows that a report shows of fields and of findings' values.
@@ -51,17 +52,43 @@ def dossier(title: str, counts: dict[str, int], rows: list[str]) -> str:
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><ul>{boxes}</ul><table><tr><th>File</th><th>Verdict</th><th>Risk</th><th>Score</th><th>Findings</th></tr>{''.join(rows)}</table></body></html>"
 
 
+def html_records(records: DataFrame, findings: DataFrame, fields: DataFrame) -> DataFrame:
+    """(sha256, html): a page for each record, with its verdict, findings by tier and all fields; all text escaped, no remote assets."""
+    cell = lambda c: F.concat(F.lit("<td>"), escaped(F.coalesce(c, F.lit(""))), F.lit("</td>"))
+    row = lambda *columns: F.concat(F.lit("<tr>"), *map(cell, columns), F.lit("</tr>"))
+    found = _lines(findings, row(F.col("tier").cast("string"), F.col("name"), F.col("confidence"), F.col("value"), F.col("caveat")), "found")
+    known = _lines(fields, row(F.col("standard"), F.col("name"), F.col("value_str"), F.col("value_type"), F.col("tag_id")), "known")
+    rows = records.join(found, "sha256", "left").join(known, "sha256", "left")
+    head = F.concat(F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'><title>"), escaped(F.col("file_name")), F.lit("</title></head><body><h1>"), escaped(F.col("file_name")), F.lit("</h1>"))
+    facts = F.concat(F.lit("<table>"), row(F.lit("SHA-256"), F.col("sha256")), row(F.lit("Verdict"), F.col("verdict_label")), row(F.lit("Risk"), F.col("risk_level")), row(F.lit("Score"), F.col("confidence_score").cast("string")), F.lit("</table>"))
+    part = lambda title, names, body: F.concat(F.lit(f"<h2>{title}</h2><table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>"), F.coalesce(F.col(body), F.lit("")), F.lit("</table>"))
+    page = F.concat(head, facts, part("Findings", ("Tier", "Name", "Confidence", "Value", "Caveat"), "found"), part("Fields", ("Standard", "Name", "Value", "Type", "Tag"), "known"), F.lit("</body></html>"))
+    return rows.select("sha256", page.alias("html"))
+
+
 def geojson_documents(points: DataFrame) -> DataFrame:
-    """(case_id, document): a feature collection with its bounding box for each case."""
-    features = exports.geojson_features(points).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("ordinal", F.lit(1 << 62)).alias("n"), F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.col("geometry"), F.lit("}")).alias("g")))).alias("all"))
-    boxed = features.join(exports.bounding_box(points, "case_id"), "case_id")
+    """(case_id, part, document): a feature collection with its bounding box for each part of a case."""
+    features = exports.geojson_features(points).groupBy("case_id", "part").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("ordinal", F.lit(1 << 62)).alias("n"), F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.col("geometry"), F.lit("}")).alias("g")))).alias("all"))
+    boxed = features.join(exports.bounding_box(points.withColumn("part", exports.part()), "case_id", "part"), ["case_id", "part"])
     box = F.concat(F.lit("["), F.concat_ws(",", *[F.col(c).cast("string") for c in ("min_lon", "min_lat", "max_lon", "max_lat")]), F.lit("]"))
-    return boxed.select("case_id", F.concat(F.lit('{"type":"FeatureCollection","bbox":'), box, F.lit(',"features":['), F.array_join(F.transform("all", lambda x: x["g"]), ","), F.lit("]}")).alias("document"))
+    return boxed.select("case_id", "part", F.concat(F.lit('{"type":"FeatureCollection","bbox":'), box, F.lit(',"features":['), F.array_join(F.transform("all", lambda x: x["g"]), ","), F.lit("]}")).alias("document"))
+
+
+def map_documents(points: DataFrame) -> DataFrame:
+    """(case_id, part, document): a page with the points and their path drawn on a grid of degrees, as inline SVG."""
+    own = points.where(geo.usable(F.col("lat"), F.col("lon")))
+    x, y = F.round(F.col("lon") + 180, 5).cast("string"), F.round(90 - F.col("lat"), 5).cast("string")
+    name = F.coalesce(F.col("name"), F.col("ordinal").cast("string")) if "name" in points.columns else F.col("ordinal").cast("string")
+    dot = F.concat(F.lit("<circle r='0.6' cx='"), x, F.lit("' cy='"), y, F.lit("'><title>"), escaped(name), F.lit("</title></circle>"))
+    every = own.groupBy("case_id", exports.part().alias("part")).agg(F.array_sort(F.collect_list(F.struct("ordinal", dot.alias("d"), F.concat(x, F.lit(","), y).alias("p")))).alias("all"))
+    grid = "".join(f"<line x1='{k}' y1='0' x2='{k}' y2='180'/>" for k in range(0, 361, 30)) + "".join(f"<line x1='0' y1='{k}' x2='360' y2='{k}'/>" for k in range(0, 181, 30))
+    head = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Map</title></head><body><svg viewBox='0 0 360 180' width='100%'><g stroke='#ccc' stroke-width='0.2'>{grid}</g><polyline fill='none' stroke='#36c' stroke-width='0.2' points='"
+    return every.select("case_id", "part", F.concat(F.lit(head), F.array_join(F.transform("all", lambda r: r["p"]), " "), F.lit("'/><g fill='#c33'>"), F.array_join(F.transform("all", lambda r: r["d"]), ""), F.lit("</g></svg></body></html>")).alias("document"))
 
 
 def _document(rows: DataFrame, column: str, head: str, foot: str) -> DataFrame:
-    every = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col(column).alias("t")))).alias("all"))
-    return every.select("case_id", F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["t"]), ""), F.lit(foot)).alias("document"))
+    every = rows.groupBy("case_id", exports.part().alias("part")).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col(column).alias("t")))).alias("all"))
+    return every.select("case_id", "part", F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["t"]), ""), F.lit(foot)).alias("document"))
 
 
 def kml_documents(points: DataFrame) -> DataFrame:

@@ -5,16 +5,19 @@ Every tier is a DataFrame of findings; a tier that isn't asked for is not part o
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from casegrain.functions import geo, raster, solar, timeparse
+from casegrain.functions import bits, geo, raster, solar, timeparse
 from casegrain.operators import artefacts, encoders, places, records, verdict
 from casegrain.sources import files as sources
+from casegrain.sources import jpegtables
 
 FINDING = "sha256 string, ordinal long, tier int, name string, confidence string, extractor string, caveat string, value string"
 CAVEAT = "Derived from what the file says about itself, which can be edited."
@@ -94,14 +97,25 @@ def quant_of(case: dict[str, DataFrame]) -> DataFrame:
     frame = u.where("name rlike '^SOF[0-9]+$'").groupBy("sha256").agg(F.min_by(F.struct("name", F.hex("payload").alias("h")), "ordinal").alias("s"))
     factor = F.substring(F.col("s.h"), 15, 2)
     sub = F.when(factor == "22", "4:2:0").when(factor == "21", "4:2:2").when(factor == "11", "4:4:4").when(factor == "41", "4:1:1").when(factor == "12", "4:4:0")
-    return both.join(order, "sha256", "left").join(frame, "sha256", "left").select(F.col("sha256").alias("print_id"), "lum", "chrom", "segments", sub.alias("subsampling"), F.lit(None).cast("boolean").alias("optimized"), F.col("s.name").alias("sof"))
+    restart = u.where("name = 'DRI' and length(payload) >= 2").groupBy("sha256").agg(F.max_by(F.conv(F.hex(F.substring("payload", 1, 2)), 16, 10).cast("int"), "ordinal").alias("restart"))
+    codes = u.where("name = 'DHT'").select("sha256", "ordinal", F.explode(huffman_tables("payload")).alias("t"))
+    codes = codes.groupBy("sha256").agg(F.array_sort(F.collect_list(F.struct("t.key", F.col("ordinal"), "t.hash"))).alias("dht"), F.max("t.optimized").alias("optimized"))
+    out = both.join(order, "sha256", "left").join(frame, "sha256", "left").join(restart, "sha256", "left").join(codes, "sha256", "left")
+    return out.select(F.col("sha256").alias("print_id"), "lum", "chrom", "segments", sub.alias("subsampling"), "optimized", F.col("s.name").alias("sof"), "restart", "dht")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.IntegerType()), T.StructField("hash", T.StringType()), T.StructField("optimized", T.BooleanType())])))
+def huffman_tables(payload: pd.Series) -> pd.Series:
+    """Each table of a DHT segment: its class and id, the hash of its counts and symbols, whether they aren't the standard's."""
+    one = lambda t: {"key": t[0] * 16 + t[1], "hash": hashlib.sha256(bytes(t[2]) + bytes(t[3])).hexdigest(), "optimized": t[4]}
+    return pd.Series([[one(t) for t in jpegtables.huffman(bytes(p))] if p is not None else [] for p in payload], dtype=object)
 
 
 def tier2(case: dict[str, DataFrame]) -> DataFrame:
     p = quant_of(case)
     hashed = lambda c: F.sha2(F.array_join(F.transform(c, lambda v: v.cast("string")), ","), 256)
     tables = F.filter(F.array(F.struct(F.lit(0).alias("key"), hashed(F.col("lum")).alias("hash")), F.struct(F.lit(1).alias("key"), hashed(F.col("chrom")).alias("hash"))), lambda t: t["hash"].isNotNull())
-    whole = encoders.composite_hash(F.lit("JPEG"), tables, F.array().cast("array<struct<key:int,hash:string>>"), F.col("subsampling"), F.col("segments"), F.lit(None))
+    whole = encoders.composite_hash(F.lit("JPEG"), tables, F.coalesce(F.transform("dht", lambda t: F.struct(t["key"].alias("key"), t["hash"].alias("hash"))), F.array().cast("array<struct<key:int,hash:string>>")), F.col("subsampling"), F.col("segments"), F.col("restart"))
     out = [finding(p.select(F.col("print_id").alias("sha256"), whole.alias("v")), 2, "encoder_composite_fingerprint", "observed", "fingerprint", F.col("v"))]
     if "corpus" in case:
         a = encoders.attribution(encoders.candidates(p, case["corpus"])).withColumnRenamed("print_id", "sha256")
@@ -122,7 +136,7 @@ def tier3(case: dict[str, DataFrame]) -> DataFrame:
 
 
 def tier4(case: dict[str, DataFrame]) -> DataFrame:
-    f = case["files"]
+    f = case["files"].where("content is not null")
 
     @F.pandas_udf("string")
     def stream(form: pd.Series, content: pd.Series) -> pd.Series:
@@ -227,9 +241,12 @@ def opened(files: DataFrame, folder: str | None = None, **more: DataFrame) -> di
     kept by Spark, which computes lost parts again from the files.
     """
 
+    held = []
+
     def once(df: DataFrame, name: str) -> DataFrame:
         if folder is None:
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+            return held[-1]
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
@@ -240,7 +257,19 @@ def opened(files: DataFrame, folder: str | None = None, **more: DataFrame) -> di
     case["facts"] = once(facts(case["fields"]), "facts")
     if "images" in more:
         case["pixels"] = once(pixels(more["images"]), "pixels")
-    return case
+    return Case(case, held)
+
+
+class Case(dict):
+    """The tables of a case by name; ``close`` frees those that Spark keeps."""
+
+    def __init__(self, tables: dict[str, DataFrame], held: list[DataFrame]):
+        super().__init__(tables)
+        self.held = held
+
+    def close(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
 
 
 def findings(case: dict[str, DataFrame], tiers: tuple[int, ...] = TIERS) -> DataFrame:
@@ -278,9 +307,59 @@ def verdicts(case: dict[str, DataFrame], found: DataFrame) -> DataFrame:
 
 
 def events(case: dict[str, DataFrame], case_id: Column | None = None) -> DataFrame:
-    """Events of a case for timelines: (case_id, ordinal, ts, source, lat, lon, sha256, file_name), in order of paths."""
+    """Events of a case for timelines: (case_id, ordinal, ts, source, lat, lon, sha256, file_name).
+
+    Ordinals grow in order of paths; they come from a sort in ranges, so a collection is many tasks, and have gaps where a range ends.
+    """
     f = case["files"].join(case["facts"], "sha256", "left")
     chosen = timeparse.primary(F.col("original"), F.col("modified"), F.col("mtime"))
     rows = f.withColumns({"_p": chosen, "case_id": F.lit("case") if case_id is None else case_id})
-    place = F.row_number().over(Window.partitionBy("case_id").orderBy("path"))
-    return rows.select("case_id", place.cast("long").alias("ordinal"), F.col("_p.ts").alias("ts"), F.col("_p.source").alias("source"), "lat", "lon", "sha256", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    rows = rows.orderBy("case_id", "path", "sha256").withColumn("ordinal", F.monotonically_increasing_id() + 1)
+    return rows.select("case_id", "ordinal", F.col("_p.ts").alias("ts"), F.col("_p.source").alias("source"), "lat", "lon", "sha256", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+
+
+DIFFERENCE = "pair_id string, altered double, ssim double, same_pixels boolean"
+
+
+def compared(case: dict[str, DataFrame], pairs: DataFrame) -> DataFrame:
+    """How the files of each pair (pair_id, a, b: hashes) differ, from bytes to pixels, and the verdict.
+
+    (pair_id, a, b, size_delta, sha256_match, data_match, ahash_distance, dhash_distance, phash_distance, dqt_distance,
+    dqt_similarity, altered, ssim, verdict); pixels count only in a case that has images.
+    """
+    sizes = case["files"].groupBy("sha256").agg(F.max("length").alias("length"))
+    data = tier4({"files": case["files"].dropDuplicates(["sha256"])}).where("name = 'image_data_stream_sha256'").select("sha256", F.col("value").alias("data"))
+    tables = quant_of(case).select(F.col("print_id").alias("sha256"), "lum")
+    one = sizes.join(data, "sha256", "left").join(tables, "sha256", "left")
+    looks = ("ahash", "dhash", "phash")
+    if "pixels" in case:
+        one = one.join(case["pixels"].select("sha256", *[bits.hex_to_long(F.col(c)).alias(c) for c in looks]).dropDuplicates(["sha256"]), "sha256", "left")
+    else:
+        one = one.withColumns(dict.fromkeys(looks, F.lit(None).cast("long")))
+    side = lambda k: one.select(*[F.col(c).alias(f"{c}_{k}") for c in one.columns])
+    both = pairs.join(side("a"), F.col("a") == F.col("sha256_a")).join(side("b"), F.col("b") == F.col("sha256_b"))
+    if "images" in case:
+        both = both.join(pixel_differences(case["images"], pairs), "pair_id", "left")
+    else:
+        both = both.withColumns({"altered": F.lit(None).cast("double"), "ssim": F.lit(None).cast("double"), "same_pixels": F.lit(None).cast("boolean")})
+    table = records.table_distance(F.col("lum_a"), F.col("lum_b"))
+    far = {f"{c}_distance": bits.hamming(F.col(f"{c}_a"), F.col(f"{c}_b")) for c in looks}
+    out = both.withColumns({"size_delta": F.col("length_b") - F.col("length_a"), "sha256_match": F.col("a") == F.col("b"), "data_match": F.coalesce(F.col("data_a") == F.col("data_b"), F.lit(False)), "_t": table, **far})
+    verdict_ = records.diff_verdict(F.col("sha256_match"), F.col("data_match"), F.col("same_pixels"), F.col("altered"), F.col("ssim"), F.col("phash_distance"))
+    return out.select("pair_id", "a", "b", "size_delta", "sha256_match", "data_match", *far, F.col("_t.distance").alias("dqt_distance"), F.col("_t.similarity").alias("dqt_similarity"), "altered", "ssim", verdict_.alias("verdict"))
+
+
+def pixel_differences(images: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, altered, ssim, same_pixels) of pairs whose pictures both decode; a pair of pictures is in memory at a time."""
+    side = lambda k: images.where("image.nChannels in (1, 3, 4) and image.height > 0").select(F.col("sha256").alias(k), F.struct("image.height", "image.width", "image.nChannels", "image.data").alias(f"i{k}"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                x, y = (raster.from_image(bytes(i["data"]), i["height"], i["width"], i["nChannels"]) for i in (r.ia, r.ib))
+                d = raster.difference(x, y)
+                rows.append((r.pair_id, d.get("altered_pct"), d.get("ssim"), d.get("identical")))
+            yield pd.DataFrame(rows, columns=["pair_id", "altered", "ssim", "same_pixels"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("pair_id", "ia", "ib").mapInPandas(run, DIFFERENCE)

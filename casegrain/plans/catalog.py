@@ -50,7 +50,9 @@ def timeline_summary(spark, d):
 
 @query
 def sequence_inversion(spark, d):
+    """Names count on while the clock was set back now and then."""
     rows = derive.fixes(spark, d).withColumn("name", F.format_string("IMG_%08d", "ordinal"))
+    rows = rows.withColumn("ts", F.when(F.col("ordinal") % 10 == 3, F.timestamp_micros(F.unix_micros("ts") - 200 * 86_400_000_000)).otherwise(F.col("ts")))
     return timeline.inversions(rows, "name").select("case_id", "name", "previous_name", "delta_seconds")
 
 
@@ -204,7 +206,14 @@ def cluster_outliers(spark, d):
 
 @query
 def near_dup_pairs(spark, d):
-    return clusters.alike_pairs(derive.hashes(spark, d))
+    return clusters.alike_pairs(derive.hashes(spark, d), width=32)
+
+
+@query
+def near_dup_links(spark, d):
+    """Items of coarse hashes, which many share."""
+    rows = derive.hashes(spark, d).withColumn("hash", F.col("hash").bitwiseAND(F.lit(0xF0F0F).cast("long")))
+    return clusters.alike_links(rows, width=32).select("id", "same", "links")
 
 
 @query
@@ -475,9 +484,143 @@ def file_verdicts(spark, d):
     return casework.verdicts(case, casework.findings(case, (1, 3, 6)))
 
 
+@query
+def exif_numbers(spark, d):
+    """Integers and rationals of EXIF blocks as numbers."""
+    blocks = derive.number_blocks(spark, d)
+    rows = files.fields(files.parsed(blocks))
+    return rows.select("sha256", "name", "value_type", F.element_at("value_longs", 1).alias("first_long"), F.size(F.coalesce("value_longs", F.array().cast("array<bigint>"))).alias("n_longs"), F.element_at("value_ratios", 1)[0].alias("num"), F.element_at("value_ratios", 1)[1].alias("den"))
+
+
+@query
+def png_units(spark, d):
+    return files.units(files.events(derive.pngs(spark, d))).select("sha256", "name", "offset", "length")
+
+
+@query
+def png_text_fields(spark, d):
+    walked = files.events(derive.pngs(spark, d))
+    return files.fields(files.parsed(files.blocks(walked))).select("sha256", "standard", "name", "value_str")
+
+
+@query
+def webp_units(spark, d):
+    return files.units(files.events(derive.webps(spark, d))).select("sha256", "name", "offset", "length")
+
+
+@query
+def xmp_fields(spark, d):
+    """Properties of XMP packets in WebP files."""
+    walked = files.events(derive.webps(spark, d))
+    return files.fields(files.parsed(files.blocks(walked))).where("standard = 'XMP'").select("sha256", "name", "value_str")
+
+
+@query
+def gif_units(spark, d):
+    return files.units(files.events(derive.gifs(spark, d))).select("sha256", "name", "offset", "length")
+
+
+@query
+def bmp_units(spark, d):
+    return files.units(files.events(derive.bmps(spark, d))).select("sha256", "name", "offset", "length")
+
+
+@query
+def tiff_units(spark, d):
+    return files.units(files.events(derive.tiffs(spark, d))).select("sha256", "name", "offset", "length")
+
+
+@query
+def clean_png(spark, d):
+    return artefacts.clean(derive.pngs(spark, d)).select("sha256", "cleaned_sha256", F.length("cleaned").cast("long").alias("length"))
+
+
+@query
+def walk_faults(spark, d):
+    """What the walk says of files that end too early."""
+    rows = derive.pngs(spark, d).withColumn("content", F.substring(F.col("content"), F.lit(1), F.length("content") - 5))
+    return files.diagnostics(files.events(rows)).select("sha256", "level", "message", "offset")
+
+
+@query
+def pair_compare(spark, d):
+    """Each picture against the next document's, and against itself without its metadata."""
+    own = derive.pictures(spark, d)
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    cleaned = artefacts.clean(own).join(own.select("sha256", "path", "mtime"), "sha256").select(F.concat(F.lit("/clean/"), number.cast("string"), F.lit(".jpg")).alias("path"), F.length("cleaned").cast("long").alias("length"), "mtime", F.col("cleaned").alias("content"))
+    case = casework.opened(own.unionByName(files.identified(cleaned)))
+    ids = case["files"].select("path", number.alias("n"), "sha256")
+    plain, stripped = ids.where("path like '/case/%'"), ids.where("path like '/clean/%'")
+    next_ = plain.select((F.col("n") - 1).alias("n"), F.col("sha256").alias("b"))
+    pairs = plain.join(next_, "n").select(F.concat(F.lit("next"), F.col("n").cast("string")).alias("pair_id"), F.col("sha256").alias("a"), "b")
+    pairs = pairs.unionByName(plain.join(stripped.select("n", F.col("sha256").alias("b")), "n").select(F.concat(F.lit("clean"), F.col("n").cast("string")).alias("pair_id"), F.col("sha256").alias("a"), "b"))
+    return casework.compared(case, pairs).select("pair_id", "size_delta", "sha256_match", "data_match", "dqt_distance", "dqt_similarity", "verdict")
+
+
 # Exports
 
 
+@query
+def relational_fields(spark, d):
+    """Fields of records that come anew replace all that these had."""
+    new = exports.metadata_fields(derive.fields(spark, d).withColumns({"standard": F.lit("EXIF"), "value_type": F.lit("ASCII"), "value_offset": F.lit(0).cast("long")}))
+    return exports.children_upserted(new.withColumn("field_value", F.lit("old")), new.where("image_sha256 % 3 = 0 and tag_name <> 'Software'"), new.where("image_sha256 % 3 = 0").select("image_sha256").distinct()).select("image_sha256", "tag_id", "tag_name", "field_value")
+
+
+@query
+def relational_findings(spark, d):
+    return exports.finding_rows(derive.findings(spark, d).withColumns({"confidence": F.lit("derived"), "extractor": F.lit("x")})).select("image_sha256", "tier", "name", "confidence", "extractor", "value_json")
+
+
+@query
+def relational_joined(spark, d):
+    """Images with what their children say."""
+    parents = verdict.with_verdict(derive.signals(spark, d)).select("sha256", "verdict_label")
+    found = exports.finding_rows(derive.findings(spark, d).withColumns({"confidence": F.lit("derived"), "extractor": F.lit("x")}))
+    fields = exports.metadata_fields(derive.fields(spark, d).withColumns({"standard": F.lit("EXIF"), "value_type": F.lit("ASCII"), "value_offset": F.lit(0).cast("long")}))
+    return exports.joined(parents, fields, found, exports.gps_locations(derive.findings(spark, d)))
+
+
+@query
+def json_repair(spark, d):
+    """Answers of a model around a JSON object: in fences, in prose, or broken."""
+    docs = derive.table(spark, d, "documents")
+    own = F.concat(F.lit('{"score": '), F.col("n_chars").cast("string"), F.lit("}"))
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("```json\n"), own, F.lit("\n```"))).when(k == 1, F.concat(F.lit("It says: "), own, F.lit(" as asked."))).when(k == 2, own).otherwise(F.lit("no object here"))
+    return docs.select("doc_id", records.repaired_json(text).alias("j")).select("doc_id", F.get_json_object("j", "$.score").cast("long").alias("score"), F.get_json_object("j", "$.raw_response").alias("raw"))
+
+
+@query
+def place_zones(spark, d):
+    known = derive.places(spark, d).withColumn("timezone", F.when(F.col("place_id") % 3 != 0, F.concat(F.lit("Zone/"), "name")))
+    return places.zones(derive.points(spark, d).where("lat is not null"), known).select("point_id", "zone")
+
+
+@query
+def places_ingest(spark, d):
+    """The first ten places that weren't known."""
+    known = derive.places(spark, d)
+    new = known.withColumns({"ordinal": 100 - F.col("place_id"), "lat": F.col("lat") + 2})
+    return places.ingested(known.where("place_id % 2 = 0"), new.unionByName(known.withColumn("ordinal", F.col("place_id") + 200)), 10)
+
+
+@query
+def geocode_choice(spark, d):
+    """The nearer of the answers of two indexes of places."""
+    points = derive.points(spark, d).where("lat is not null")
+    known = derive.places(spark, d)
+    return places.chosen(places.nearest_place(points, known.where("place_id % 2 = 0")), places.nearest_place(points, known.where("place_id % 2 = 1")))
+
+
+@query
+def audit_content_verify(spark, d):
+    """Logs as JSON lines, whose content is hashed anew; some were edited or broken. ``head`` is the last hash of a sound one."""
+    rows = derive.audit_lines(spark, d)
+    heads = rows.groupBy("conv_id").agg(F.max_by("content_hash", "ordinal").alias("head"))
+    return audit.chain_status(rows, "conv_id").join(heads, "conv_id").withColumn("head", F.when(F.col("valid"), F.col("head")))
+
+
 @query
 def relational_images(spark, d):
     v = verdict.with_verdict(derive.signals(spark, d))

@@ -5,10 +5,14 @@ Derivations use integer arithmetic, comparisons, or single steps on doubles, so
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain.functions import bits
+from casegrain.operators import audit
 from casegrain.operators.encoders import CORPUS_SCHEMA, scaled_table
 from casegrain.sources import files
 
@@ -156,3 +160,116 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.unhex(F.concat(F.lit("FFD8"), app1, F.lit("FFDB004300" + "10" * 64 + "FFDA0002"), scan, F.lit("FFD9"), tail))
     rows = d.select(F.concat(F.lit("/case/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), content.alias("content"))
     return files.identified(rows.select("path", F.length("content").cast("long").alias("length"), F.timestamp_seconds(F.lit(0)).alias("mtime"), "content"))
+
+
+def _hexed(column) :
+    return F.hex(F.encode(column, "UTF-8"))
+
+
+def _little(value, size: int):
+    """A number's ``size`` bytes in hex, the lowest first."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(F.lit(255).cast("long"))), 2, "0") for k in range(size)])
+
+
+def _files(rows: DataFrame, suffix: str) -> DataFrame:
+    """Identified files out of (doc_id, hex)."""
+    own = rows.select(F.concat(F.lit("/case/"), F.col("doc_id").cast("string"), F.lit(suffix)).alias("path"), F.unhex("hex").alias("content"))
+    return files.identified(own.select("path", F.length("content").cast("long").alias("length"), F.timestamp_seconds(F.lit(0)).alias("mtime"), "content"))
+
+
+def _chunk(kind: str, body) :
+    """A PNG chunk in hex, with its checksum."""
+    inner = F.concat(F.lit(kind.encode().hex().upper()), body)
+    return F.concat(F.lpad(F.hex((F.length(body) / 2).cast("long")), 8, "0"), inner, F.lpad(F.hex(F.crc32(F.unhex(inner))), 8, "0"))
+
+
+def pngs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PNG files around documents: source and language as text chunks, the text and the id as image data, the language after the end of every third."""
+    d = table(spark, sf_dir, "documents")
+    text = lambda name, c: F.concat(F.lit(name.encode().hex().upper() + "00"), _hexed(F.col(c)))
+    data = F.concat(_hexed(F.coalesce("text", F.lit(""))), _hexed(F.col("doc_id").cast("string")))
+    tail = F.when(F.col("doc_id") % 3 == 0, _hexed(F.col("lang"))).otherwise("")
+    parts = [F.lit("89504E470D0A1A0A"), _chunk("IHDR", F.lit("00000001000000010800000000")), _chunk("tEXt", text("Author", "source")), _chunk("tEXt", text("Comment", "lang")), _chunk("IDAT", data), _chunk("IEND", F.lit("")), tail]
+    return _files(d.select("doc_id", F.concat(*parts).alias("hex")), ".png")
+
+
+def webps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WebP files: the text and the id as a picture's chunk, source and language in an XMP packet."""
+    d = table(spark, sf_dir, "documents")
+    packet = F.concat(
+        F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmp:CreatorTool="'),
+        F.col("source"), F.lit('" xmp:Label="'), F.col("lang"), F.lit('"/></rdf:RDF></x:xmpmeta>'),
+    )
+
+    def chunk(name: str, body):
+        n = (F.length(body) / 2).cast("long")
+        return F.concat(F.lit(name.encode().hex().upper()), _little(n, 4), body, F.when(n % 2 == 1, "00").otherwise(""))
+
+    data = F.concat(_hexed(F.coalesce("text", F.lit(""))), _hexed(F.col("doc_id").cast("string")))
+    body = F.concat(F.lit("57454250"), chunk("VP8 ", data), chunk("XMP ", _hexed(packet)))
+    return _files(d.select("doc_id", F.concat(F.lit("52494646"), _little(F.length(body) / 2, 4), body).alias("hex")), ".webp")
+
+
+def gifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GIF files: a colour table, the source as comment, a frame that holds the id, the language after the trailer of every third."""
+    d = table(spark, sf_dir, "documents")
+    block = lambda c: F.concat(F.lpad(F.hex((F.length(c) / 2).cast("long")), 2, "0"), c, F.lit("00"))
+    tail = F.when(F.col("doc_id") % 3 == 0, _hexed(F.col("lang"))).otherwise("")
+    parts = [F.lit("474946383961" + "01000100" + "800000" + "00" * 6), F.lit("21FE"), block(_hexed(F.col("source"))), F.lit("2C" + "0000000001000100" + "00" + "02"), block(_hexed(F.col("doc_id").cast("string"))), F.lit("3B"), tail]
+    return _files(d.select("doc_id", F.concat(*parts).alias("hex")), ".gif")
+
+
+def bmps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BMP files whose pixels are the id, the language after the claimed end of every third."""
+    d = table(spark, sf_dir, "documents")
+    data = _hexed(F.col("doc_id").cast("string"))
+    size = 54 + (F.length(data) / 2).cast("long")
+    tail = F.when(F.col("doc_id") % 3 == 0, _hexed(F.col("lang"))).otherwise("")
+    return _files(d.select("doc_id", F.concat(F.lit("424D"), _little(size, 4), F.lit("00000000" + "36000000" + "28000000" + "00" * 36), data, tail).alias("hex")), ".bmp")
+
+
+def _directory(spark: SparkSession, sf_dir: str):
+    """(doc_id, hex): a TIFF directory of a short, a long, three shorts and a rational out of each document."""
+    d = table(spark, sf_dir, "documents")
+    entry = lambda tag, kind, n, value: F.concat(F.lit(tag), F.lit(kind), F.lit(n), value)
+    k = F.col("doc_id")
+    entries = [
+        entry("1201", "0300", "01000000", F.concat(_little(k % 8 + 1, 2), F.lit("0000"))),
+        entry("0101", "0400", "01000000", _little(F.col("n_chars"), 4)),
+        entry("0201", "0300", "03000000", F.lit("3E000000")),
+        entry("1A01", "0500", "01000000", F.lit("44000000")),
+    ]
+    body = [F.lit("0400"), *entries, F.lit("00000000"), _little(k % 3, 2), _little(k % 5, 2), _little(k % 7, 2), _little(k, 4), _little(k % 9 + 1, 4)]
+    return d.select("doc_id", F.concat(F.lit("49492A0008000000"), *body).alias("hex"))
+
+
+def tiffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(_directory(spark, sf_dir), ".tif")
+
+
+def number_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXIF blocks of numbers, under the document's id."""
+    rows = _directory(spark, sf_dir)
+    return rows.select(F.col("doc_id").cast("string").alias("sha256"), F.lit(0).alias("ordinal"), F.lit("EXIF").alias("kind"), F.lit(0).cast("long").alias("offset"), F.unhex("hex").alias("raw_bytes"))
+
+
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of logs (conv_id, ordinal, ...) read from JSON lines, each hashed anew: a log for each conversation, an entry for each turn.
+
+    In some logs an entry has a wrong index or link, was edited after it was hashed, or is no JSON.
+    """
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))
+
+    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, last = [], audit.GENESIS
+        for n, (conv, t) in enumerate(pdf.sort_values("turn")[["conv_id", "t"]].itertuples(index=False)):
+            kind = conv % 5
+            entry = {"entry_index": n + 7 if kind == 1 and n == 1 else n, "previous_hash": "x" if kind == 4 and n == 1 else last, "text": t}
+            entry["entry_hash"] = last = audit.entry_hash(entry)
+            if kind == 2 and n == 2:
+                entry["text"] = "edited"
+            rows.append((conv, n, "no JSON" if kind == 3 and n == 1 else json.dumps(entry)))
+        return pd.DataFrame(rows, columns=["conv_id", "n", "value"])
+
+    made = c.groupBy("conv_id").applyInPandas(lines, "conv_id long, n long, value string").withColumn("ordinal", F.col("conv_id") * 100_000 + F.col("n"))
+    return audit.hashed_entries(made).withColumn("conv_id", F.floor(F.col("ordinal") / 100_000))

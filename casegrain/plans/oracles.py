@@ -115,15 +115,66 @@ def _scored() -> str:
  0.45*({sim})+0.15*0.5+0.15*CASE WHEN app0 THEN 1.0 ELSE 0.5 END+0.1*CASE WHEN sub='4:2:0' THEN 1.0 ELSE 0.0 END+0.1*CASE WHEN opt=eopt THEN 1.0 ELSE 0.0 END+0.05*1.0 AS score FROM pr CROSS JOIN ent)"""
 
 
-def _nearest() -> str:
+def _nearest(only: str = "true") -> str:
     km = _hav("lat", "lon", "plat", "plon", 6371.0088, True)
     return f"""WITH {FIX}, {PLACES}, p AS (SELECT ordinal AS point_id, lat, lon FROM fix WHERE lat IS NOT NULL),
-pairs AS (SELECT point_id, place_id, {km} AS km, greatest(abs(plat-lat),abs(plon-lon)) AS apart FROM p CROSS JOIN pl),
+pairs AS (SELECT point_id, place_id, {km} AS km, greatest(abs(plat-lat),abs(plon-lon)) AS apart FROM p CROSS JOIN pl WHERE {only}),
 best AS (SELECT point_id, w, min(km) AS km, arg_min(place_id, (km, place_id)) AS place_id FROM pairs, (VALUES (1.0),(3.0),(10.0),(45.0)) AS v(w) WHERE apart<=w GROUP BY point_id, w),
 pick AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY CASE WHEN km<=150 THEN w ELSE 1000-w END) AS k FROM best)
 SELECT point_id, place_id, round(km,3) AS distance_km, km>150 AS approximate FROM pick WHERE k=1"""
 
 
+def _crc_table() -> list[int]:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+def _crc(column: str) -> str:
+    """CRC-32 of bytes in hex, in hex."""
+    folded = f"list_reduce([4294967295::BIGINT]||list_transform(regexp_extract_all({column},'..'), lambda x: ('0x'||x)::BIGINT), lambda c, x: xor(c>>8, ({_crc_table()}::BIGINT[])[(xor(c,x)&255)+1]))"
+    return f"lpad(to_hex(xor({folded},4294967295)),8,'0')"
+
+
+def _little(value: str, size: int) -> str:
+    return "||".join(f"lpad(to_hex((({value})>>{8 * k})&255),2,'0')" for k in range(size))
+
+
+def _text(text: str) -> str:
+    return f"'{text.encode().hex().upper()}'"
+
+
+_TAIL = "CASE WHEN doc_id%3=0 THEN hex(encode(lang)) ELSE '' END"
+_DATA = "hex(encode(coalesce(text,'')))||hex(encode(doc_id::VARCHAR))"
+PNGS = f"""p0 AS (SELECT doc_id, source, lang, {_text("IHDR")}||'00000001000000010800000000' AS c1, {_text("tEXtAuthor")}||'00'||hex(encode(source)) AS c2, {_text("tEXtComment")}||'00'||hex(encode(lang)) AS c3, {_text("IDAT")}||{_DATA} AS c4, {_text("IEND")} AS c5, {_TAIL} AS tail FROM documents),
+p1 AS (SELECT *, {", ".join(f"lpad(to_hex(length(c{k})//2-4),8,'0')||c{k}||{_crc(f'c{k}')} AS k{k}" for k in range(1, 6))} FROM p0),
+pn AS (SELECT *, sha256(unhex('89504E470D0A1A0A'||k1||k2||k3||k4||k5||tail)) AS sha256, {", ".join(f"(length(k{k})//2)::BIGINT AS n{k}" for k in range(1, 6))}, (length(tail)//2)::BIGINT AS nt FROM p1)"""
+_XMP = """'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmp:CreatorTool="'||source||'" xmp:Label="'||lang||'"/></rdf:RDF></x:xmpmeta>'"""
+WEBPS = f"""w0 AS (SELECT doc_id, source, lang, {_DATA} AS a, hex(encode({_XMP})) AS b FROM documents),
+w1 AS (SELECT *, length(a)//2 AS na, length(b)//2 AS nb FROM w0),
+w2 AS (SELECT *, '57454250'||{_text("VP8 ")}||{_little("na", 4)}||a||CASE WHEN na%2=1 THEN '00' ELSE '' END||{_text("XMP ")}||{_little("nb", 4)}||b||CASE WHEN nb%2=1 THEN '00' ELSE '' END AS body FROM w1),
+wb AS (SELECT *, sha256(unhex('52494646'||{_little("length(body)//2", 4)}||body)) AS sha256 FROM w2)"""
+GIFS = f"""g0 AS (SELECT doc_id, hex(encode(source)) AS s, hex(encode(doc_id::VARCHAR)) AS i, {_TAIL} AS tail FROM documents),
+gf AS (SELECT *, sha256(unhex('47494638396101000100800000000000000000'||'21FE'||lpad(to_hex(length(s)//2),2,'0')||s||'00'||'2C00000000010001000002'||lpad(to_hex(length(i)//2),2,'0')||i||'00'||'3B'||tail)) AS sha256, (length(s)//2)::BIGINT AS ns, (length(i)//2)::BIGINT AS ni, (length(tail)//2)::BIGINT AS nt FROM g0)"""
+BMPS = f"""b0 AS (SELECT doc_id, hex(encode(doc_id::VARCHAR)) AS i, {_TAIL} AS tail FROM documents),
+bm AS (SELECT *, sha256(unhex('424D'||{_little("54+length(i)//2", 4)}||'000000003600000028000000'||repeat('00',36)||i||tail)) AS sha256, (length(i)//2)::BIGINT AS ni, (length(tail)//2)::BIGINT AS nt FROM b0)"""
+TIFFS = f"""ti AS (SELECT doc_id, n_chars, sha256(unhex('49492A00080000000400'||'1201030001000000'||{_little("doc_id%8+1", 2)}||'0000'||'0101040001000000'||{_little("n_chars", 4)}||'02010300030000003E000000'||'1A0105000100000044000000'||'00000000'||{_little("doc_id%3", 2)}||{_little("doc_id%5", 2)}||{_little("doc_id%7", 2)}||{_little("doc_id", 4)}||{_little("doc_id%9+1", 4)})) AS sha256 FROM documents)"""
+
+
+def _units(source: str, *rows: tuple[str, str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT sha256, '{name}' AS name, ({at})::BIGINT AS offset, ({n})::BIGINT AS length FROM {source}" + (" WHERE nt>0" if name == "TRAILING_DATA" else "") for name, at, n in rows)
+
+
+def _led(rows: str, near: str, prefix: str, column: str) -> str:
+    """Clusters around leaders: in each round the first item of a case that is left leads, and takes what is near."""
+    return f"""led AS (SELECT 0 AS n, case_id, ordinal, {column}, NULL::BIGINT AS leader FROM {rows}
+ UNION ALL SELECT n+1, case_id, ordinal, {column}, CASE WHEN {near} THEN lead END FROM (SELECT *, min(ordinal) OVER w AS lead, {", ".join(f"first_value({c}) OVER (PARTITION BY case_id ORDER BY ordinal) AS l{c}" for c in column.split(", "))} FROM led WHERE leader IS NULL WINDOW w AS (PARTITION BY case_id)))
+SELECT case_id, ordinal, '{prefix}'||n AS cluster_id, leader FROM led WHERE leader IS NOT NULL"""
+
+
 def _facilities() -> str:
     km = _hav("lat", "lon", "plat", "plon", 6371.0088, True)
     most = " ".join(f"WHEN '{k}' THEN {v}" for k, v in LIMITS.items())
@@ -196,7 +247,7 @@ _IP = ("48.83::DOUBLE", "2.35::DOUBLE", "lat", "lon")
 ORACLES: dict[str, str] = {
     "timeline_kinematics": f"WITH {_KIN} SELECT case_id, ordinal, ts, delta AS delta_seconds, round(km,3) AS distance_km, round(kmh,1) AS speed_kmh, coalesce(kmh>1000,false) AS kinematic_anomaly FROM kin",
     "timeline_summary": f"WITH {FIX} SELECT case_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts, (epoch_us(max(ts))-epoch_us(min(ts)))/1000000.0::DOUBLE AS duration_seconds FROM fix GROUP BY case_id",
-    "sequence_inversion": f"WITH {FIX}, a AS (SELECT case_id, printf('IMG_%08d', ordinal) AS name, ts FROM fix), b AS (SELECT *, lag(name) OVER w AS previous_name, lag(ts) OVER w AS pts FROM a WINDOW w AS (PARTITION BY case_id ORDER BY name)) SELECT case_id, name, previous_name, {_DELTA} AS delta_seconds FROM b WHERE ts<pts",
+    "sequence_inversion": f"WITH {FIX}, a AS (SELECT case_id, printf('IMG_%08d', ordinal) AS name, CASE WHEN ordinal%10=3 THEN ts-INTERVAL 200 DAY ELSE ts END AS ts FROM fix), b AS (SELECT *, lag(name) OVER w AS previous_name, lag(ts) OVER w AS pts FROM a WINDOW w AS (PARTITION BY case_id ORDER BY name)) SELECT case_id, name, previous_name, {_DELTA} AS delta_seconds FROM b WHERE ts<pts",
     "clock_drift": f"WITH {FIX}, a AS (SELECT ordinal, round((floor(value*10)::BIGINT*1000000)/1000000.0::DOUBLE,2) AS d FROM fix) SELECT ordinal, d AS drift_seconds, abs(d)>300 AS drift_anomaly FROM a",
     "trajectory_steps": f"""WITH {FIX}, a AS (SELECT *, lead(ordinal) OVER w AS to_ordinal, lead(ts) OVER w AS tts, lead(lat) OVER w AS tlat, lead(lon) OVER w AS tlon FROM fix WHERE {_usable("lat", "lon")} WINDOW w AS (PARTITION BY case_id ORDER BY ordinal)),
  b AS (SELECT *, {_hav("lat", "lon", "tlat", "tlon")} AS km, {_STEP} AS br, abs((epoch_us(tts)-epoch_us(ts))/1000000.0::DOUBLE) AS s FROM a WHERE to_ordinal IS NOT NULL)
@@ -217,6 +268,34 @@ ORACLES: dict[str, str] = {
     "ip_correlation": f"""WITH {FIX}, a AS (SELECT ordinal AS point_id, round({_hav(*_IP)},3) AS km, {_bearing(*_IP)} AS br FROM fix WHERE {_usable("lat", "lon")})
  SELECT point_id, km AS distance_km, round(br,2) AS bearing, {_cardinal("br")} AS cardinal, CASE WHEN km<=60 THEN 'CORROBORATED_METRO' WHEN km<=300 THEN 'REGIONAL_PROXIMITY' WHEN km<=1200 THEN 'NATIONAL_PROXIMITY' ELSE 'DISCREPANCY_ANOMALY' END AS verdict, km>1200 AS suspicious FROM a""",
     "places_merge": f"WITH {PLACES} SELECT place_id, name, country_code, plat AS lat, plon AS lon FROM pl WHERE place_id%2=0 UNION ALL SELECT place_id, lower(name), country_code, plat, plon FROM pl WHERE place_id%2=1 UNION ALL SELECT place_id, name, country_code, plat+1, plon FROM pl",
+    "cluster_visual": f"WITH RECURSIVE {SIGNS}, it AS (SELECT case_id, id AS ordinal, hash FROM hs), {_led('it', 'bit_count(xor(hash,lhash))<=5', 'VIS_', 'hash')}",
+    "cluster_geo": f"WITH RECURSIVE {FIX}, it AS (SELECT case_id, ordinal, lat, lon FROM fix WHERE {_usable('lat', 'lon')}), {_led('it', _hav('llat', 'llon', 'lat', 'lon') + '<=2000', 'GEO_', 'lat, lon')} UNION ALL SELECT case_id, ordinal, 'GEO_NONE', NULL FROM fix WHERE NOT {_usable('lat', 'lon')}",
+    "near_dup_links": f"WITH {SIGNS}, a AS (SELECT id, hash&986895 AS h FROM hs), c AS (SELECT h, count(*) AS n FROM a GROUP BY h), m AS (SELECT x.h, sum(CASE WHEN x.h=y.h THEN y.n-1 ELSE y.n END)::BIGINT AS links FROM c x JOIN c y ON bit_count(xor(x.h,y.h))<=5 GROUP BY x.h) SELECT id, n-1 AS same, links FROM a JOIN c USING (h) JOIN m USING (h)",
+    "exif_numbers": """SELECT doc_id::VARCHAR AS sha256, 'Orientation' AS name, 'SHORT' AS value_type, doc_id%8+1 AS first_long, 1 AS n_longs, NULL::BIGINT AS num, NULL::BIGINT AS den FROM documents
+ UNION ALL SELECT doc_id::VARCHAR, 'Tag_0x0101', 'LONG', n_chars, 1, NULL, NULL FROM documents UNION ALL SELECT doc_id::VARCHAR, 'Tag_0x0102', 'SHORT[]', doc_id%3, 3, NULL, NULL FROM documents UNION ALL SELECT doc_id::VARCHAR, 'XResolution', 'RATIONAL', NULL, 0, doc_id, doc_id%9+1 FROM documents""",
+    "png_units": f"WITH {PNGS} {_units('pn', ('PNG_HEADER', '0', '8'), ('IHDR', '8', 'n1'), ('tEXt', '8+n1', 'n2'), ('tEXt', '8+n1+n2', 'n3'), ('IDAT', '8+n1+n2+n3', 'n4'), ('IEND', '8+n1+n2+n3+n4', 'n5'), ('TRAILING_DATA', '8+n1+n2+n3+n4+n5', 'nt'))}",
+    "png_text_fields": f"WITH {PNGS} SELECT sha256, 'PNG' AS standard, 'png:Author' AS name, source AS value_str FROM pn UNION ALL SELECT sha256, 'PNG', 'png:Comment', lang FROM pn",
+    "clean_png": f"WITH {PNGS}, c AS (SELECT sha256, '89504E470D0A1A0A'||k1||k4||k5 AS h FROM pn) SELECT sha256, sha256(unhex(h)) AS cleaned_sha256, (length(h)//2)::BIGINT AS length FROM c",
+    "walk_faults": f"WITH {PNGS} SELECT sha256, 'warning' AS level, 'no IEND' AS message, 8+n1+n2+n3+n4 AS offset FROM pn",
+    "webp_units": f"WITH {WEBPS} {_units('wb', ('RIFF_HEADER', '0', '12'), ('RIFF_VP8', '12', 'na+8'), ('RIFF_XMP', '20+na+na%2', 'nb+8'))}",
+    "xmp_fields": f"WITH {WEBPS} SELECT sha256, 'xmp:CreatorTool' AS name, source AS value_str FROM wb UNION ALL SELECT sha256, 'xmp:Label', lang FROM wb",
+    "gif_units": f"WITH {GIFS} {_units('gf', ('HEADER', '0', '6'), ('LSD', '6', '7'), ('GCT', '13', '6'), ('COMMENT', '19', 'ns+4'), ('FRAME_1', '23+ns', 'ni+13'), ('TRAILER', '36+ns+ni', '1'), ('TRAILING_DATA', '37+ns+ni', 'nt'))}",
+    "bmp_units": f"WITH {BMPS} {_units('bm', ('BMP_HEADER', '0', '14'), ('DIB_HEADER', '14', '40'), ('PIXEL_ARRAY', '54', 'ni'), ('TRAILING_DATA', '54+ni', 'nt'))}",
+    "tiff_units": f"WITH {TIFFS} {_units('ti', ('TIFF_HEADER', '0', '8'), ('IFD0', '8', '54'))}",
+    "pair_compare": f"""WITH {PICTURES}, c AS (SELECT doc_id, length(hx)//2 AS n, 2+69+4+sl+2 AS m FROM fi), a AS (SELECT 'next'||x.doc_id AS pair_id, (y.n-x.n)::BIGINT AS size_delta, false AS d FROM c x JOIN c y ON y.doc_id=x.doc_id+1 UNION ALL SELECT 'clean'||doc_id, (m-n)::BIGINT, true FROM c)
+ SELECT pair_id, size_delta, false AS sha256_match, d AS data_match, 0.0::DOUBLE AS dqt_distance, 100.0::DOUBLE AS dqt_similarity, CASE WHEN d THEN 'METADATA_ONLY_MODIFICATION' ELSE 'INCONCLUSIVE_DIFFERENCE' END AS verdict FROM a""",
+    "relational_fields": f"WITH {FIELDS} SELECT sha256 AS image_sha256, tag_id, name AS tag_name, CASE WHEN sha256%3=0 THEN value_str ELSE 'old' END AS field_value FROM fl WHERE NOT (sha256%3=0 AND name='Software')",
+    "relational_findings": f"WITH {FINDINGS} SELECT sha256 AS image_sha256, tier, name, 'derived' AS confidence, 'x' AS extractor, value AS value_json FROM fi",
+    "relational_joined": f"WITH {_signals()}, {FIELDS}, {FINDINGS} SELECT sha256, verdict_label, (SELECT count(*) FROM fl WHERE fl.sha256=vd.sha256) AS n_fields, (SELECT count(*) FROM fi WHERE fi.sha256=vd.sha256) AS n_findings, (SELECT max(tier) FROM fi WHERE fi.sha256=vd.sha256) AS top_tier, CASE WHEN sha256%4=0 THEN (sha256%90)::DOUBLE END AS latitude, CASE WHEN sha256%4=0 THEN (sha256%180)::DOUBLE END AS longitude FROM vd",
+    "json_repair": "SELECT doc_id, CASE WHEN doc_id%4<3 THEN n_chars END AS score, CASE WHEN doc_id%4=3 THEN 'no object here' END AS raw FROM documents",
+    "place_zones": f"WITH near AS ({_nearest()}), {FIX}, h AS (SELECT ordinal AS point_id, round_even(lon/15.0,0)::INT AS h FROM fix WHERE lat IS NOT NULL) SELECT h.point_id, CASE WHEN near.place_id%3<>0 THEN 'Zone/'||n_name ELSE 'Etc/GMT'||CASE WHEN h>=0 THEN '+' ELSE '-' END||abs(h) END AS zone FROM h LEFT JOIN near USING (point_id) LEFT JOIN nation ON n_nationkey=near.place_id",
+    "places_ingest": f"WITH {PLACES}, a AS (SELECT place_id, name, country_code, plat+2 AS lat, plon AS lon, 100-place_id AS o FROM pl UNION ALL SELECT place_id, name, country_code, plat, plon, place_id+200 FROM pl WHERE place_id%2=1) SELECT place_id, name, country_code, plat AS lat, plon AS lon FROM pl WHERE place_id%2=0 UNION ALL (SELECT place_id, name, country_code, lat, lon FROM a ORDER BY o LIMIT 10)",
+    "geocode_choice": f"WITH a AS ({_nearest('place_id%2=0')}), b AS ({_nearest('place_id%2=1')}), u AS (SELECT *, 'index' AS origin, 0 AS n FROM a UNION ALL SELECT *, 'list', 1 FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance_km, n) AS k FROM u) SELECT point_id, place_id, distance_km, approximate, origin, round(distance_km*0.621371::DOUBLE,3) AS distance_miles FROM r WHERE k=1",
+    "audit_content_verify": """WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)-1 AS n, sha256(coalesce(text,'')) AS t FROM conversations),
+ r AS (SELECT conv_id, n, sha256('{"entry_index": 0, "previous_hash": "'||repeat('0',64)||'", "text": "'||t||'"}') AS h FROM c WHERE n=0 UNION ALL SELECT c.conv_id, c.n, sha256('{"entry_index": '||c.n||', "previous_hash": "'||h||'", "text": "'||t||'"}') FROM r JOIN c ON c.conv_id=r.conv_id AND c.n=r.n+1),
+ s AS (SELECT conv_id, count(*) AS n_entries, arg_max(h,n) AS last FROM r GROUP BY conv_id),
+ f AS (SELECT *, CASE WHEN conv_id%5=1 AND n_entries>1 THEN 'index' WHEN conv_id%5=2 AND n_entries>2 THEN 'content' WHEN conv_id%5=3 AND n_entries>1 THEN 'unreadable' WHEN conv_id%5=4 AND n_entries>1 THEN 'link' END AS reason FROM s)
+ SELECT conv_id, n_entries, CASE WHEN reason='content' THEN 2 WHEN reason IS NOT NULL THEN 1 END::BIGINT AS broken_position, reason, reason IS NULL AS valid, CASE WHEN reason IS NULL THEN last END AS head FROM f""",
     "cluster_camera": """WITH a AS (SELECT doc_id, CASE WHEN doc_id%10<>0 THEN trim(source||' '||lang) ELSE 'Unknown / Stripped Camera' END||CASE WHEN doc_id%4=0 THEN ' | SN:'||(doc_id%3) ELSE '' END AS l FROM documents),
  b AS (SELECT l, count(*) AS n, min(doc_id) AS f FROM a GROUP BY l) SELECT 'CAM_'||row_number() OVER (ORDER BY f) AS cluster_id, l AS cluster_label, n AS item_count, f AS first_ordinal FROM b""",
     "cluster_dqt": f"WITH {QUANT}, a AS (SELECT 'DQT_Profile_'||substr(sha256((vals[1]%16)::VARCHAR),1,8) AS l, vec_id FROM qt), b AS (SELECT l, count(*) AS n, min(vec_id) AS f FROM a GROUP BY l) SELECT 'DQT_'||row_number() OVER (ORDER BY f) AS cluster_id, l AS cluster_label, n AS item_count, f AS first_ordinal FROM b",
