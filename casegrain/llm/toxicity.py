@@ -5,11 +5,11 @@ times over, so that a whole word found in a dictionary outweighs the fixed cost
 ordinary texts, one on windows of toxic texts: those with letter sequences that toxic texts have far more
 often than ordinary ones. A window's distance is the bytes it takes with the ordinary dictionary less those it
 takes with the toxic dictionary in front of it: what the toxic text knows and the ordinary doesn't. Windows count
-by the thresholds they reach; how counts and bytes make a probability is calibrated on labelled texts that
-no dictionary saw.
+by the thresholds they reach; which thresholds, and how counts and bytes make a probability, is calibrated on labelled texts
+that no dictionary saw. The README says what running-text windows and unfiltered dictionaries give, and why these are used.
 
 Bounds of the fit (it runs on the driver): LEARN_ROWS labelled rows of each class and LEARN_BYTES of their
-text. Scoring covers every whole text; a worker holds both dictionaries and a bounded memo of windows.
+text; of an ordinary text, ORDINARY_WORDS words, evenly spread, go to the ordinary dictionary's samples. Scoring covers every whole text; a worker holds both dictionaries and a bounded memo of windows.
 
 Defined results: null and empty texts have no windows and get the score of a text without counted windows; without
 labels of both classes every score is the share of toxic labels (0 without any); repeated rows are each
@@ -35,8 +35,10 @@ WINDOW_REPEATS, LEVEL = 2, 19
 TOXIC_BYTES, ORDINARY_BYTES = 16 << 10, 32 << 10
 #: Letter sequences (bytes), toxic texts that must have one, how often a text's count at most, how many times more often toxic texts have it.
 GRAM, LEAST_TEXTS, MOST_TIMES, ODDS = 6, 4, 10, 10.0
-#: Bytes of distance from which on a window counts.
-THRESHOLDS = (2, 4, 6)
+#: Words of an ordinary text that its dictionary is trained on, to 2 * this.
+ORDINARY_WORDS = 40
+#: Bytes of distance from which on a window may count, and how many such thresholds are chosen of them.
+LEAST_BYTES, MOST_BYTES, N_THRESHOLDS = 1, 8, 3
 MEMO = 300_000
 #: Lower-cases A-Z, makes a space of every other ASCII byte that isn't a letter; bytes from 0x80 stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -117,9 +119,9 @@ class Distance:
         return np.array(out, np.int32)
 
 
-def _features(distances: np.ndarray) -> list[float]:
-    over = float(np.maximum(distances - 1, 0).sum())
-    return [1.0, *(np.log1p((distances >= t).sum()) for t in THRESHOLDS), np.sqrt(over / (len(distances) + 20)), np.log1p(over)]
+def _features(distances: np.ndarray, thresholds: tuple[int, ...]) -> list[float]:
+    over = float(np.maximum(distances - thresholds[0] + 1, 0).sum())
+    return [1.0, *(np.log1p((distances >= t).sum()) for t in thresholds), np.sqrt(over / (len(distances) + 20)), np.log1p(over)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -131,6 +133,22 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _calibrated(distances: list[np.ndarray], y: np.ndarray) -> tuple[tuple[int, ...], np.ndarray]:
+    """The thresholds of least logistic loss, and the weights that go with them."""
+
+    def fit(thresholds: tuple[int, ...]) -> tuple[float, np.ndarray]:
+        x = np.array([_features(d, thresholds) for d in distances])
+        w = _logistic(x, y)
+        return float(np.logaddexp(0, np.where(y > 0, -(x @ w), x @ w)).mean()), w
+
+    # One threshold after the other, each the best beside those before it.
+    chosen: tuple[int, ...] = ()
+    for _ in range(N_THRESHOLDS):
+        tried = [tuple(sorted((*chosen, t))) for t in range(LEAST_BYTES, MOST_BYTES + 1) if t not in chosen]
+        chosen = min(tried, key=lambda t: (fit(t)[0], t))
+    return chosen, fit(chosen)[1]
+
+
 def fitted(texts: list[bytes], toxic: list[int], share: float | None = None) -> dict:
     """The model: both dictionaries, and the weights of a text's counts.
 
@@ -154,14 +172,14 @@ def fitted(texts: list[bytes], toxic: list[int], share: float | None = None) ->
 
     samples = {True: [], False: []}
     for own, label in zip((w for w, r in zip(words, rest, strict=True) if not r), y[~rest], strict=True):
-        samples[bool(label)] += [w for w in own if is_marked(w)] if label else own[:: max(1, len(own) // 40)]
+        samples[bool(label)] += [w for w in own if is_marked(w)] if label else own[:: max(1, len(own) // ORDINARY_WORDS)]
     model = {"toxic": _dictionary(samples[True], TOXIC_BYTES), "ordinary": _dictionary(samples[False], ORDINARY_BYTES)}
     distance = Distance(model["toxic"], model["ordinary"])
-    x = np.array([_features(distance(w)) for w, h in zip(words, held, strict=True) if h])
-    weights, own = _logistic(x, y[held].astype(float)), y[held].mean()
+    thresholds, weights = _calibrated([distance(w) for w, h in zip(words, held, strict=True) if h], y[held].astype(float))
+    own = y[held].mean()
     if share and 0 < share < 1:
         weights[0] += np.log(share / (1 - share)) - np.log(own / (1 - own))
-    return model | {"weights": weights, "share": float(y.mean())}
+    return model | {"weights": weights, "thresholds": thresholds, "share": float(y.mean())}
 
 
 @lru_cache(4)
@@ -173,7 +191,7 @@ def scores(model: dict, texts: list[bytes | None]) -> np.ndarray:
     if model["weights"] is None:
         return np.full(len(texts), model["share"])
     distance = _distance(model["toxic"], model["ordinary"])
-    x = np.array([_features(distance(words_of(t))) for t in texts]).reshape(-1, 3 + len(THRESHOLDS))
+    x = np.array([_features(distance(words_of(t)), model["thresholds"]) for t in texts]).reshape(-1, 3 + N_THRESHOLDS)
     return 1 / (1 + np.exp(-np.clip(x @ model["weights"], -30, 30)))
 
 
