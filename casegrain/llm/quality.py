@@ -127,14 +127,18 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 def pooled(vectors: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     out = np.zeros(FEATURES, np.float32)
-    if len(tokens):
-        at = vectors[tokens]
-        mean = at.mean(axis=0)
-        out[:DIM] = mean
-        out[DIM : 2 * DIM] = at.std(axis=0)
-        if len(tokens) > 1:
-            out[2 * DIM : 3 * DIM] = (at[1:] * at[:-1]).mean(axis=0)
-        out[-2], out[-1] = np.linalg.norm(mean), np.log1p(len(tokens))
+    n = len(tokens)
+    if n:
+        total, squares, pairs = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
+        for k in range(0, n, CHUNK):  # a piece and the token after it
+            at = vectors[tokens[k : k + CHUNK + 1]]
+            own = at[:CHUNK]
+            total += own.sum(axis=0, dtype=np.float64)
+            squares += np.square(own).sum(axis=0, dtype=np.float64)
+            pairs += (at[1:] * at[:-1]).sum(axis=0, dtype=np.float64)
+        mean = total / n
+        out[:DIM], out[DIM : 2 * DIM], out[2 * DIM : 3 * DIM] = mean, np.sqrt(np.maximum(squares / n - mean**2, 0)), pairs / max(1, n - 1)
+        out[-2], out[-1] = np.linalg.norm(mean), np.log1p(n)
     return out
 
 
