@@ -7,7 +7,8 @@ occurrence are hit. Runs of hit words are the spans to remove; a document of whi
 ``max_coverage`` is hit goes altogether.
 
 Memory: a Python worker holds one automaton of a block and one Arrow batch. A larger benchmark takes
-more blocks, each a further narrow pass that carries the spans found so far; nothing is shuffled.
+more blocks; then one pass over all texts looks up the hashes of their windows first (8 bytes a window of the benchmark, in each
+worker), and only texts that have one go through the blocks' automata, in narrow passes. Nothing is shuffled.
 
 Defined results: null and empty texts have no words; an item without words (or null) has no window; items
 sharing an id count as one; an item whose id is null marks words but has no id to list; repeated rows are
@@ -23,10 +24,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casegrain.llm.common import written
+
 
 WINDOW, BLOCK_WORDS, MAX_COVERAGE = 10, 200_000, 0.8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -171,8 +175,58 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     """``docs`` with n_words, spans (words first to last - 1, code points start to end - 1) and item_ids."""
     spark = docs.sparkSession
     base = docs.drop(*ADDED)
+    blocks = _blocks(items)
+    if len(blocks) > 1:
+        flagged = _flagged(base, spark.sparkContext.broadcast(_windows(blocks, window)))
+        some = written(flagged.where(F.col(NEAR)).drop(NEAR), "near")
+        none = flagged.where(~F.col(NEAR)).drop(NEAR)
+        empty = {"spans": F.array().cast(SPAN), "item_ids": F.array().cast("array<string>")}
+        return _scanned(some, blocks, window).unionByName(none.withColumns(empty))
+    return _scanned(base, blocks, window)
+
+
+#: Marks texts that have the hash of a window.
+NEAR = "_near_benchmark"
+
+
+def _hashes(words: list[bytes], m: int) -> np.ndarray:
+    digest, join, n = xxhash.xxh64_intdigest, b" ".join, len(words) - m + 1
+    return np.fromiter((digest(join(words[k : k + m])) for k in range(n)), np.uint64, n) if n > 0 else np.zeros(0, np.uint64)
+
+
+def _windows(blocks: list[tuple], window: int) -> dict[int, np.ndarray]:
+    """Sorted hashes of all windows of the items, by their number of words."""
+    out: dict[int, list[np.ndarray]] = {}
+    for block in blocks:
+        for _, words in block:
+            m = min(len(words), window)
+            out.setdefault(m, []).append(_hashes(list(words), m))
+    return {m: np.unique(np.concatenate(own)) for m, own in out.items()}
+
+
+def _flagged(rows: DataFrame, shared) -> DataFrame:
+    """``rows`` with n_words and NEAR."""
+    schema = rows.withColumns({"n_words": F.lit(0).cast("long"), NEAR: F.lit(True)}).schema
+    at_text = schema.names.index("text")
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            counts, near = [], []
+            for text in batch.column(at_text).cast(pa.binary()):
+                words = words_of(text.as_py())
+                counts.append(len(words))
+                near.append(any(bool(np.isin(_hashes(words, m), own).any()) for m, own in known.items()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(near, pa.bool_())], names=schema.names)
+
+    return rows.mapInArrow(flag, schema)
+
+
+def _scanned(base: DataFrame, blocks: list[tuple], window: int) -> DataFrame:
+    """A narrow pass for each block, which carries the spans found so far."""
+    spark = base.sparkSession
     out = base.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPAN), "item_ids": F.lit(None).cast("array<string>")})
-    for block in _blocks(items):
+    for block in blocks:
         shared = spark.sparkContext.broadcast(block)
         out = out.mapInArrow(_scanner(shared, window, out.schema), out.schema)
     return out
