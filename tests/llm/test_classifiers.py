@@ -87,3 +87,91 @@ def test_odd_rows(spark, odd, docs_of, module, label):
         assert len(out) == odd.count() and all(0 <= r["s"] <= 1 for r in out)
     empty = docs_of([])
     assert module.scored(empty, module.learned(empty, few, one)).count() == 0
+
+
+def flipped(spark, sf, tmp_path, label, mod, at):
+    """The tables with all labels of held-out rows turned round."""
+    for name in ("documents", "labels"):
+        rows = spark.read.parquet(f"{sf}/{name}.parquet")
+        if name == "labels":
+            out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == at
+            rows = rows.withColumn(label, F.when(out, 1 - F.col(label)).otherwise(F.col(label)))
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_quality_query_equals_plain_code(spark, sf, tmp_path):
+    """Word vectors, pooling and network once more, without numpy's help where it can be left out."""
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    net = quality.learned(spark.read.parquet(f"{sf}/documents.parquet"), labels, learn)["net"]
+    index = quality.index_vectors()
+    number = lambda t: zlib.crc32(t) % (quality.BUCKETS - 1) + 1
+    lines = {i: [number(t) for t in quality.TOKEN.findall(text)] for i, text in docs.items()}
+    sums, counts = {}, {}
+    for line in lines.values():
+        for k, b in enumerate(line):
+            near = [line[j] for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(line)]
+            sums[b] = sums.get(b, 0) + sum((index[c].astype(float) for c in near), np.zeros(quality.DIM))
+            counts[b] = counts.get(b, 0) + 1
+    middle = sum(sums.values()) / sum(counts.values())
+    vectors = {b: s / counts[b] - middle for b, s in sums.items()}
+    vectors = {b: v / max(np.sqrt((v * v).sum()), 1e-9) for b, v in vectors.items()}
+    got = {r["doc_id"]: r["score"] for r in quality.op4_quality(spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, line in lines.items():
+        x = np.zeros(quality.FEATURES)
+        if line:
+            rows = [vectors[b] for b in line]
+            mean = sum(rows) / len(rows)
+            spread = np.sqrt(sum((r - mean) ** 2 for r in rows) / len(rows))
+            pairs = sum((a * b for a, b in zip(rows, rows[1:], strict=False)), np.zeros(quality.DIM)) / max(1, len(rows) - 1)
+            x[:] = [*mean, *spread, *pairs, np.sqrt((mean * mean).sum()), np.log(1 + len(rows))]
+        a, b, c, d = net["layers"]
+        hidden = [max(0.0, sum(z * w for z, w in zip((x - net["shift"]) / net["scale"], a[:, h], strict=True)) + b[h]) for h in range(quality.HIDDEN)]
+        logit = sum(h * w for h, w in zip(hidden, c, strict=True)) + d[0]
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(logit / net["temperature"] + net["offset"], -30, 30)))) < 1e-3
+    # Held-out labels have no part in it.
+    turned = quality.op4_quality(spark, flipped(spark, sf, tmp_path, "quality", 3, 1)).collect()
+    assert {r["doc_id"]: r["score"] for r in turned} == got
+
+
+def test_toxicity_query_equals_plain_code(spark, sf, tmp_path):
+    """Every window compressed anew with both dictionaries, counts and weights put together by hand."""
+    import zstandard
+
+    d = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    model = toxicity.learned(docs, spark.read.parquet(f"{d}/labels.parquet"), learn)
+
+    def coder(content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=64, dict_size=len(content), write_checksum=0, write_content_size=0, write_dict_id=0)
+        return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
+
+    plain, toxic = coder(model["ordinary"]), coder(model["toxic"] + model["ordinary"])
+    got = {r["doc_id"]: r["score"] for r in toxicity.op5_toxicity(spark, d).collect()}
+    rows = docs.orderBy("doc_id").collect()
+    assert set(got) == {r["doc_id"] for r in rows}
+    for r in rows[::10]:
+        far = []
+        for w in (r["text"] or "").encode().translate(toxicity.FOLD).split():
+            own = b"<^" + w + b">$<^" + w + b">$<^"
+            far.append(len(plain.compress(own)) - len(toxic.compress(own)))
+        over = sum(max(0, x - model["thresholds"][0] + 1) for x in far)
+        x = [1.0, *(np.log(1 + sum(f >= t for f in far)) for t in model["thresholds"]), np.sqrt(over / (len(far) + 20)), np.log(1 + over)]
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-sum(a * b for a, b in zip(x, model["weights"], strict=True))))) < 1e-6
+    turned = toxicity.op5_toxicity(spark, flipped(spark, d, tmp_path, "toxic", 5, 0)).collect()
+    assert {r["doc_id"]: r["score"] for r in turned} == got
+    assert sorted(model["thresholds"]) == list(model["thresholds"]) and len(set(model["thresholds"])) == toxicity.N_THRESHOLDS
+
+
+def test_long_texts_pool_like_short_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(50, quality.DIM)).astype(np.float32)
+    tokens = rng.integers(0, 50, 1000).astype(np.uint16)
+    whole = quality.pooled(vectors, tokens)
+    monkeypatch.setattr(quality, "CHUNK", 7)
+    assert np.allclose(quality.pooled(vectors, tokens), whole, atol=1e-5)
