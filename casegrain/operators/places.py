@@ -15,6 +15,8 @@ from casegrain.functions import geo
 WINDOWS, NEAR_KM = (1.0, 3.0, 10.0, 45.0), 150.0
 #: Narrower and middle steps: they end a search only where nothing outside can be nearer.
 STEPS = (0.05, 0.2, 1.0, 3.0, 10.0, 20.0, 45.0)
+#: Places that a point meets on average in a step of these that is worth its work.
+LEAST_MET = 0.05
 KM_PER_DEGREE = 111.0
 
 
@@ -54,8 +56,10 @@ def nearest_place(points: DataFrame, places: DataFrame) -> DataFrame:
     """
     none = F.lit(None).cast("struct<km:double,place_id:" + places.schema["place_id"].dataType.simpleString() + ">")
     rows = points.select("point_id", "lat", "lon").withColumn("found", none)
+    per_degree = places.count() / (360.0 * 180.0)
     for degrees in STEPS:
-        rows = _step(rows, places, degrees)
+        if degrees in WINDOWS or 9 * degrees**2 * per_degree >= LEAST_MET:  # else a step that hardly any point would end in
+            rows = _step(rows, places, degrees)
     found = rows.where("found is not null")
     return found.select("point_id", "found.place_id", F.round("found.km", 3).alias("distance_km"), (F.col("found.km") > NEAR_KM).alias("approximate"))
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain.functions import bits, geo, solar, timeparse
-from casegrain.operators import artefacts, audit, bytestats, clusters, encoders, exports, places, records, timeline, verdict
+from casegrain.operators import artefacts, audit, bytestats, clusters, encoders, exports, places, records, reports, timeline, verdict
 from casegrain.plans import casework, derive
-from casegrain.sources import files
+from casegrain.sources import files, geodata
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -557,6 +558,153 @@ def pair_compare(spark, d):
     return casework.compared(case, pairs).select("pair_id", "size_delta", "sha256_match", "data_match", "dqt_distance", "dqt_similarity", "verdict")
 
 
+@query
+def jpeg_segments(spark, d):
+    return files.units(files.events(derive.tagged_jpegs(spark, d))).select("sha256", "name", "offset", "length")
+
+
+@query
+def caption_and_profile_fields(spark, d):
+    """IPTC datasets and ICC headers."""
+    walked = files.events(derive.tagged_jpegs(spark, d))
+    return files.fields(files.parsed(files.blocks(walked))).select("sha256", "standard", "name", "value_str")
+
+
+@query
+def quantisation_of_files(spark, d):
+    """Tables, sampling, restart interval and code tables out of segments."""
+    case = casework.opened(derive.tagged_jpegs(spark, d))
+    return casework.quant_of(case).select("print_id", F.array_join(F.transform("lum", lambda v: v.cast("string")), ",").alias("lum"), "subsampling", "sof", "restart", F.element_at("dht", 1)["hash"].alias("code_hash"), "optimized")
+
+
+@query
+def tier2_fingerprints(spark, d):
+    found = casework.findings(casework.opened(derive.pictures(spark, d)), (2,))
+    return found.select("sha256", "tier", "name", "confidence", "value")
+
+
+@query
+def tier3_findings(spark, d):
+    found = casework.findings(casework.opened(derive.pictures(spark, d)), (3,))
+    return found.select("sha256", "name", F.get_json_object("value", "$.offset").cast("long").alias("offset"), F.get_json_object("value", "$.length").cast("long").alias("length"))
+
+
+# Values
+
+
+@query
+def distance_units(spark, d):
+    return derive.points(spark, d).select("point_id", geo.distances(F.col("point_id") * 0.25).alias("u")).select("point_id", "u.*")
+
+
+@query
+def sexagesimal(spark, d):
+    """Degrees, minutes and seconds to degrees; rationals to numbers."""
+    k = F.col("point_id")
+    ref = F.element_at(F.array(*[F.lit(x) for x in ("N", "S", "E", "w")]), (k % 4 + 1).cast("int"))
+    value = geo.dms_to_decimal((k % 90).cast("double"), (k % 60).cast("double"), (k % 600) / F.lit(10.0), ref)
+    return derive.points(spark, d).select("point_id", F.round(value, 9).alias("degrees"), F.round(geo.rational(k, k % 7), 9).alias("ratio"))
+
+
+@query
+def coordinate_texts(spark, d):
+    own = derive.points(spark, d).where("lat is not null").select("point_id", (F.col("point_id") % 170 - 85 + 0.25).alias("lat"), (F.col("point_id") % 340 - 170 - 0.5).alias("lon"))
+    url = geo.map_urls(F.col("lat"), F.col("lon"))
+    return own.select("point_id", geo.dms_text(F.col("lat"), F.col("lon")).alias("dms"), geo.pair_text(F.col("lat"), F.col("lon")).alias("pair"), url["google_maps"].alias("google_maps"), url["geohack"].alias("geohack"))
+
+
+@query
+def cartesian_points(spark, d):
+    own = derive.points(spark, d).where("lat is not null").select("point_id", geo.cartesian(F.col("lat"), F.col("lon")).alias("c"))
+    return own.select("point_id", *[(F.round(f"c.{x}", 6) + 0.0).alias(x) for x in "xyz"])
+
+
+@query
+def satellite_times(spark, d):
+    e = derive.points(spark, d)
+    clock = F.when(e.point_id % 6 == 0, "bad").otherwise(F.concat_ws(":", F.hour("ts").cast("string"), F.minute("ts").cast("string"), F.second("ts").cast("string")))
+    return e.select("point_id", timeparse.gps_time(F.date_format("ts", "yyyy:MM:dd"), clock).alias("ts"))
+
+
+@query
+def timestamp_texts(spark, d):
+    """The four parsers on texts in several forms."""
+    e = derive.points(spark, d)
+    form = lambda f: F.date_format("ts", f)
+    k = e.point_id % 5
+    text = F.when(k == 0, form("yyyy:MM:dd HH:mm:ss")).when(k == 1, form("yyyy-MM-dd'T'HH:mm:ss")).when(k == 2, form("yyyy/MM/dd HH:mm:ss")).when(k == 3, form("yyyy-MM-dd")).otherwise(F.lit("no time"))
+    return e.select("point_id", *[timeparse.parsed(text, r).alias(r) for r in timeparse.FORMATS], timeparse.indicated(text).alias("indicated"))
+
+
+@query
+def capture_times(spark, d):
+    """Local times to UTC by their offset, else by the place's zone."""
+    e = derive.points(spark, d)
+    k, local = e.point_id, F.date_trunc("second", "ts")
+    zone = F.when(k % 2 == 0, "Asia/Kolkata")
+    claimed = F.when(k % 3 == 0, 5.5).otherwise(1.0)
+    return e.select("point_id", geodata.capture_utc(local, F.when(k % 3 == 0, "+02:00"), zone).alias("utc"), geodata.offset_fits(zone, claimed).alias("fits"))
+
+
+@query
+def span_texts(spark, d):
+    k = F.col("point_id")
+    seconds = F.when(k % 3 == 0, (k % 60) * 0.5).when(k % 3 == 1, (60 + 6 * (k % 500)).cast("double")).otherwise((3600 + 360 * (k % 1000)).cast("double"))
+    return derive.points(spark, d).select("point_id", timeparse.span_text(seconds).alias("text"))
+
+
+@query
+def severity_order(spark, d):
+    name = F.element_at(F.array(*[F.lit(x) for x in ("observed", "Derived", "INDICATIVE", "inconclusive", "other")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return derive.table(spark, d, "documents").select("doc_id", bits.severity(name).alias("severity"))
+
+
+@query
+def first_fields(spark, d):
+    """The first two fields of each record, as displays show them."""
+    return records.capped(derive.fields(spark, d), "sha256", 2).select("sha256", "ordinal", "name")
+
+
+@query
+def record_store(spark, d):
+    """Records saved over older ones, some of them deleted after that."""
+    own = derive.table(spark, d, "documents").select(F.col("doc_id").alias("sha256"), "lang")
+    now = records.saved(own, own.where("sha256 % 4 = 0").withColumn("lang", F.lit("new")))
+    return records.without(now, own.where("sha256 % 5 = 0"))
+
+
+@query
+def place_lines(spark, d):
+    return places.parse_places(derive.place_lines(spark, d))
+
+
+@query
+def address_answers(spark, d):
+    k = F.col("n_nationkey")
+    text = F.concat(F.lit('{"status":"'), F.when(k % 4 == 0, "fail").otherwise("success"), F.lit('","query":"10.0.0.'), k.cast("string"), F.lit('","countryCode":"zz","city":"'), F.col("n_name"), F.lit('","lat":'), (k * 8 - 80).cast("string"), F.lit(',"longitude":'), (k * 10).cast("string"), F.lit(',"asn":"AS1"}'))
+    return derive.table(spark, d, "nation").select(k.alias("key"), geodata.address_info(text).alias("i")).where("i is not null").select("key", "i.ip", "i.country_code", "i.city", "i.lat", "i.lon", "i.autonomous_system")
+
+
+@query
+def geojson_fences(spark, d):
+    """Fences out of GeoJSON text."""
+    text = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"name": f"f{i}"}, "geometry": {"type": "Polygon", "coordinates": rings}} for i, rings in FENCES]})
+    return places.in_fences(derive.points(spark, d).where("lat is not null"), geodata.fences(spark, text)).select("point_id", (F.col("fence_id") / 1000 + 1).cast("int").alias("fence_id"), "inside")
+
+
+@query
+def dossier_lines(spark, d):
+    """Rows of the case page, with the names of each record's findings."""
+    v = verdict.with_verdict(derive.signals(spark, d)).withColumn("file_name", F.concat(F.lit("<"), F.col("sha256").cast("string"), F.lit("> & co")))
+    return reports.dossier_rows(v, derive.findings(spark, d))
+
+
+@query
+def text_reports(spark, d):
+    v = verdict.with_verdict(derive.signals(spark, d)).withColumns({"file_name": F.col("sha256").cast("string"), "sha256": F.col("sha256")})
+    return reports.text_reports(v, derive.findings(spark, d).withColumn("confidence", F.lit("derived")), derive.fields(spark, d)).select("sha256", "report")
+
+
 # Exports
 
 

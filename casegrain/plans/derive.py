@@ -273,3 +273,37 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made = c.groupBy("conv_id").applyInPandas(lines, "conv_id long, n long, value string").withColumn("ordinal", F.col("conv_id") * 100_000 + F.col("n"))
     return audit.hashed_entries(made).withColumn("conv_id", F.floor(F.col("ordinal") / 100_000))
+
+
+def _be(value, size: int):
+    """A number's ``size`` bytes in hex, the highest first."""
+    return F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+
+
+def tagged_jpegs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JPEG files with a colour profile, captions, a frame, code tables and a restart interval, all by the document's id."""
+    d = table(spark, sf_dir, "documents")
+    n = lambda c: (F.length(c) / 2).cast("long")
+    entry = lambda key, c: F.concat(F.lit(f"1C02{key:02X}"), _be(n(c), 2), c)
+    data = F.concat(entry(5, _hexed(F.col("source"))), entry(25, _hexed(F.col("lang"))))
+    captions = F.concat(F.lit(b"Photoshop 3.0\0".hex() + b"8BIM".hex() + "04040000"), _be(n(data), 4), data)
+    profile = F.concat(F.lit("00000080" + "00000000"), _be(F.col("doc_id") % 5, 1), F.lit("400000" + b"mntrRGB XYZ ".hex() + "00" * 12 + b"acsp".hex() + "00" * 8 + b"APPL".hex() + "00" * 76))
+    segment = lambda marker, body: F.concat(F.lit(marker), _be(n(body) + 2, 2), body)
+    parts = [
+        F.lit("FFD8"), segment("FFE2", F.concat(F.lit(b"ICC_PROFILE\0".hex() + "0101"), profile)), segment("FFED", captions), F.lit("FFDB004300"), F.repeat(_be(F.col("doc_id") % 200 + 1, 1), 64),
+        F.lit("FFC0001108"), _be(F.col("doc_id") % 999 + 1, 2), _be(F.col("doc_id") % 777 + 1, 2), F.lit("03012200021101031101"),
+        F.lit("FFC4001F00" + "00010501010101010100000000000000" + "".join(f"{k:02X}" for k in range(12))), F.lit("FFDD0004"), _be(F.col("doc_id") % 100 + 1, 2), F.lit("FFDA0002"), _hexed(F.col("doc_id").cast("string")), F.lit("FFD9"),
+    ]
+    return _files(d.select("doc_id", F.upper(F.concat(*parts)).alias("hex")), ".jpg")
+
+
+def place_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places as lines of JSON in three shapes; some lack a name or a place."""
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    lat, lon = (k * 2 - 25).cast("string"), (k * 7 - 90).cast("string")
+    flat = F.concat(F.lit('{"name":"'), name, F.lit('","lat":'), lat, F.lit(',"lon":'), lon, F.lit(',"cc":"xx","population":'), k.cast("string"), F.lit("}"))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"name":"'), name, F.lit('","iso_a2":"yy","timezone":"Z/1"},"geometry":{"type":"Point","coordinates":['), lon, F.lit(","), lat, F.lit("]}}"))
+    nested = F.concat(F.lit('{"names":{"primary":"'), name, F.lit('"},"latitude":'), lat, F.lit(',"longitude":'), lon, F.lit("}"))
+    line = F.when(k % 5 == 4, F.lit('{"name":"nowhere"}')).when(k % 3 == 0, flat).when(k % 3 == 1, feature).otherwise(nested)
+    return table(spark, sf_dir, "nation").select(line.alias("value"))
+

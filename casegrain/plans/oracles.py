@@ -164,6 +164,19 @@ bm AS (SELECT *, sha256(unhex('424D'||{_little("54+length(i)//2", 4)}||'00000000
 TIFFS = f"""ti AS (SELECT doc_id, n_chars, sha256(unhex('49492A00080000000400'||'1201030001000000'||{_little("doc_id%8+1", 2)}||'0000'||'0101040001000000'||{_little("n_chars", 4)}||'02010300030000003E000000'||'1A0105000100000044000000'||'00000000'||{_little("doc_id%3", 2)}||{_little("doc_id%5", 2)}||{_little("doc_id%7", 2)}||{_little("doc_id", 4)}||{_little("doc_id%9+1", 4)})) AS sha256 FROM documents)"""
 
 
+_IPTC = "'1C0205'||lpad(to_hex(length(s)//2),4,'0')||s||'1C0219'||lpad(to_hex(length(l)//2),4,'0')||l"
+TAGGED = f"""t0 AS (SELECT doc_id, source, lang, hex(encode(source)) AS s, hex(encode(lang)) AS l, hex(encode(doc_id::VARCHAR)) AS i FROM documents),
+t1 AS (SELECT *, {_IPTC} AS data FROM t0),
+t2 AS (SELECT *, '{b"Photoshop 3.0".hex().upper()}00{b"8BIM".hex().upper()}04040000'||lpad(to_hex(length(data)//2),8,'0')||data AS cap FROM t1),
+tj AS (SELECT *, (length(cap)//2)::BIGINT AS nc, (length(i)//2)::BIGINT AS ni, 0 AS nt, sha256(unhex('FFD8FFE20090{b"ICC_PROFILE".hex().upper()}0001010000008000000000'||lpad(to_hex(doc_id%5),2,'0')||'400000{b"mntrRGB XYZ ".hex().upper()}'||repeat('00',12)||'{b"acsp".hex().upper()}'||repeat('00',8)||'{b"APPL".hex().upper()}'||repeat('00',76)
+ ||'FFED'||lpad(to_hex(length(cap)//2+2),4,'0')||cap||'FFDB004300'||repeat(lpad(to_hex(doc_id%200+1),2,'0'),64)||'FFC0001108'||lpad(to_hex(doc_id%999+1),4,'0')||lpad(to_hex(doc_id%777+1),4,'0')||'03012200021101031101FFC4001F0000010501010101010100000000000000000102030405060708090A0BFFDD0004'||lpad(to_hex(doc_id%100+1),4,'0')||'FFDA0002'||i||'FFD9')) AS sha256 FROM t2)"""
+
+
+def _dms(v: str, plus: str, minus: str) -> str:
+    m = f"floor((abs({v})-floor(abs({v})))*60)"
+    return f"printf('%d°%d''%.1f\"',floor(abs({v}))::BIGINT,{m}::BIGINT,(abs({v})-floor(abs({v}))-{m}/60.0::DOUBLE)*3600.0::DOUBLE)||CASE WHEN {v}>=0 THEN '{plus}' ELSE '{minus}' END"
+
+
 def _units(source: str, *rows: tuple[str, str, str]) -> str:
     return " UNION ALL ".join(f"SELECT sha256, '{name}' AS name, ({at})::BIGINT AS offset, ({n})::BIGINT AS length FROM {source}" + (" WHERE nt>0" if name == "TRAILING_DATA" else "") for name, at, n in rows)
 
@@ -268,6 +281,30 @@ ORACLES: dict[str, str] = {
     "ip_correlation": f"""WITH {FIX}, a AS (SELECT ordinal AS point_id, round({_hav(*_IP)},3) AS km, {_bearing(*_IP)} AS br FROM fix WHERE {_usable("lat", "lon")})
  SELECT point_id, km AS distance_km, round(br,2) AS bearing, {_cardinal("br")} AS cardinal, CASE WHEN km<=60 THEN 'CORROBORATED_METRO' WHEN km<=300 THEN 'REGIONAL_PROXIMITY' WHEN km<=1200 THEN 'NATIONAL_PROXIMITY' ELSE 'DISCREPANCY_ANOMALY' END AS verdict, km>1200 AS suspicious FROM a""",
     "places_merge": f"WITH {PLACES} SELECT place_id, name, country_code, plat AS lat, plon AS lon FROM pl WHERE place_id%2=0 UNION ALL SELECT place_id, lower(name), country_code, plat, plon FROM pl WHERE place_id%2=1 UNION ALL SELECT place_id, name, country_code, plat+1, plon FROM pl",
+    "jpeg_segments": f"WITH {TAGGED} {_units('tj', ('SOI', '0', '2'), ('APP2', '2', '146'), ('APP13', '148', 'nc+4'), ('DQT', '152+nc', '69'), ('SOF0', '221+nc', '19'), ('DHT', '240+nc', '33'), ('DRI', '273+nc', '6'), ('SOS', '279+nc', '4'), ('EOI', '283+nc+ni', '2'))}",
+    "caption_and_profile_fields": f"""WITH {TAGGED}, v AS (SELECT sha256, unnest([('IPTC','iptc:ObjectName',source),('IPTC','iptc:Keywords',lang),('ICC','ProfileSize','128'),('ICC','Version',(doc_id%5)||'.4'),('ICC','DeviceClass','mntr'),('ICC','ColorSpace','RGB'),('ICC','ConnectionSpace','XYZ'),('ICC','DeviceManufacturer','APPL'),('ICC','DeviceModel','')]) AS x FROM tj) SELECT sha256, x[1] AS standard, x[2] AS name, x[3] AS value_str FROM v""",
+    "quantisation_of_files": f"WITH {TAGGED} SELECT sha256 AS print_id, array_to_string(list_transform(range(64), lambda k: doc_id%200+1),',') AS lum, '4:2:0' AS subsampling, 'SOF0' AS sof, (doc_id%100+1)::INT AS restart, sha256(unhex('00010501010101010100000000000000000102030405060708090A0B')) AS code_hash, false AS optimized FROM tj",
+    "tier2_fingerprints": f"WITH {PICTURES} SELECT sha256, 2 AS tier, 'encoder_composite_fingerprint' AS name, 'observed' AS confidence, sha256('FMT:JPEG|DQT:'||sha256(array_to_string(list_transform(range(64), lambda k: 16),','))||'|DHT:|SUB:None|SEG:SOI,APP1,DQT,SOS,EOI'||CASE WHEN tl>0 THEN ',TRAILING_DATA' ELSE '' END||'|DRI:0') AS value FROM fi",
+    "tier3_findings": f"WITH {PICTURES} SELECT sha256, 'trailing_data_detected' AS name, 77+al+sl AS offset, tl AS length FROM fi WHERE tl>0",
+    "distance_units": f"WITH {FIX}, a AS (SELECT ordinal AS point_id, ordinal*0.25::DOUBLE AS km FROM fix) SELECT point_id, round(km,3) AS distance_km, round(km*0.621371::DOUBLE,3) AS distance_miles, round(km*0.539957::DOUBLE,3) AS distance_nautical_miles, round(km*1000.0::DOUBLE,1) AS distance_meters FROM a",
+    "sexagesimal": f"WITH {FIX}, a AS (SELECT ordinal AS k, (ordinal%90)::DOUBLE+(ordinal%60)::DOUBLE/60.0::DOUBLE+((ordinal%600)/10.0::DOUBLE)/3600.0::DOUBLE AS v FROM fix) SELECT k AS point_id, round(CASE WHEN k%4 IN (1,3) THEN -v ELSE v END,9) AS degrees, round(CASE WHEN k%7=0 THEN k::DOUBLE ELSE k/(k%7)::DOUBLE END,9) AS ratio FROM a",
+    "coordinate_texts": f"""WITH {FIX}, a AS (SELECT ordinal AS point_id, ordinal%170-85+0.25::DOUBLE AS lat, ordinal%340-170-0.5::DOUBLE AS lon FROM fix WHERE lat IS NOT NULL)
+ SELECT point_id, {_dms('lat', 'N', 'S')}||', '||{_dms('lon', 'E', 'W')} AS dms, printf('%.6f, %.6f',lat,lon) AS pair, printf('https://www.google.com/maps?q=%.6f,%.6f',lat,lon) AS google_maps, 'https://geohack.toolforge.org/geohack.php?params='||printf('%.4f_%s_%.4f_%s',abs(lat),CASE WHEN lat>=0 THEN 'N' ELSE 'S' END,abs(lon),CASE WHEN lon>=0 THEN 'E' ELSE 'W' END) AS geohack FROM a""",
+    "cartesian_points": f"WITH {FIX} SELECT ordinal AS point_id, round(cos(radians(lat))*cos(radians(lon)),6)+0.0 AS x, round(cos(radians(lat))*sin(radians(lon)),6)+0.0 AS y, round(sin(radians(lat)),6)+0.0 AS z FROM fix WHERE lat IS NOT NULL",
+    "satellite_times": "SELECT event_id AS point_id, CASE WHEN event_id%6<>0 THEN date_trunc('second',ts) END AS ts FROM events",
+    "timestamp_texts": "WITH a AS (SELECT event_id AS k, date_trunc('second',ts) AS s, date_trunc('day',ts)::TIMESTAMP AS d FROM events) SELECT k AS point_id, CASE WHEN k%5<3 THEN s WHEN k%5=3 THEN d END AS locator, CASE WHEN k%5<2 THEN s END AS timeline, CASE WHEN k%5<2 THEN s END AS crosscheck, CASE WHEN k%5<2 THEN s WHEN k%5=3 THEN d END AS indicated FROM a",
+    "capture_times": "WITH a AS (SELECT event_id AS k, date_trunc('second',ts) AS s FROM events) SELECT k AS point_id, CASE WHEN k%3=0 THEN s-INTERVAL 2 HOUR WHEN k%2=0 THEN s-INTERVAL 330 MINUTE ELSE s END AS utc, k%2=1 OR k%3=0 AS fits FROM a",
+    "span_texts": "WITH a AS (SELECT event_id AS k, CASE event_id%3 WHEN 0 THEN (event_id%60)*0.5::DOUBLE WHEN 1 THEN 60+6*(event_id%500) ELSE 3600+360*(event_id%1000) END::DOUBLE AS s FROM events) SELECT k AS point_id, CASE WHEN s<60 THEN printf('%.1fs',s) WHEN s<3600 THEN printf('%.1fm',s/60.0::DOUBLE) ELSE printf('%.1fh',s/3600.0::DOUBLE) END AS text FROM a",
+    "severity_order": "SELECT doc_id, (doc_id%5+1)::INT AS severity FROM documents",
+    "first_fields": f"WITH {FIELDS}, a AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY ordinal) AS n FROM fl) SELECT sha256, ordinal, name FROM a WHERE n<=2",
+    "record_store": "SELECT doc_id AS sha256, CASE WHEN doc_id%4=0 THEN 'new' ELSE lang END AS lang FROM documents WHERE doc_id%5<>0",
+    "place_lines": "SELECT n_name AS name, NULL::VARCHAR AS country, CASE n_nationkey%3 WHEN 0 THEN 'XX' WHEN 1 THEN 'YY' END AS country_code, NULL::VARCHAR AS admin1, (n_nationkey*2-25)::DOUBLE AS lat, (n_nationkey*7-90)::DOUBLE AS lon, CASE WHEN n_nationkey%3=1 THEN 'Z/1' END AS timezone, CASE WHEN n_nationkey%3=0 THEN n_nationkey END::BIGINT AS population FROM nation WHERE n_nationkey%5<>4",
+    "address_answers": "SELECT n_nationkey AS key, '10.0.0.'||n_nationkey AS ip, 'ZZ' AS country_code, n_name AS city, (n_nationkey*8-80)::DOUBLE AS lat, (n_nationkey*10)::DOUBLE AS lon, 'AS1' AS autonomous_system FROM nation WHERE n_nationkey%4<>0 AND n_nationkey*8-80<=90 AND n_nationkey*10<=180",
+    "geojson_fences": _fences(),
+    "dossier_lines": f"""WITH {_signals()}, {FINDINGS}, n AS (SELECT sha256, string_agg(name, ', ' ORDER BY ordinal, name) AS names FROM fi GROUP BY sha256)
+ SELECT sha256, '<tr><td>&lt;'||sha256||'&gt; &amp; co</td><td>'||verdict_label||'</td><td>'||risk_level||'</td><td>'||confidence_score||'</td><td>'||coalesce(names,'')||'</td></tr>' AS html FROM vd LEFT JOIN n USING (sha256)""",
+    "text_reports": f"""WITH {_signals()}, {FINDINGS}, {FIELDS}, f AS (SELECT sha256, string_agg('  ['||tier||'] '||name||' (derived): '||value, chr(10) ORDER BY ordinal, name) AS t FROM fi GROUP BY sha256), k AS (SELECT sha256, string_agg('  '||name||' = '||value_str, chr(10) ORDER BY ordinal, name) AS t FROM fl GROUP BY sha256)
+ SELECT sha256, 'File '||sha256||chr(10)||'SHA-256 '||sha256||chr(10)||'Verdict '||verdict_label||', risk '||risk_level||', score '||confidence_score||chr(10)||'Findings'||chr(10)||coalesce(f.t,'  none')||chr(10)||'Fields'||chr(10)||k.t AS report FROM vd LEFT JOIN f USING (sha256) JOIN k USING (sha256)""",
     "cluster_visual": f"WITH RECURSIVE {SIGNS}, it AS (SELECT case_id, id AS ordinal, hash FROM hs), {_led('it', 'bit_count(xor(hash,lhash))<=5', 'VIS_', 'hash')}",
     "cluster_geo": f"WITH RECURSIVE {FIX}, it AS (SELECT case_id, ordinal, lat, lon FROM fix WHERE {_usable('lat', 'lon')}), {_led('it', _hav('llat', 'llon', 'lat', 'lon') + '<=2000', 'GEO_', 'lat, lon')} UNION ALL SELECT case_id, ordinal, 'GEO_NONE', NULL FROM fix WHERE NOT {_usable('lat', 'lon')}",
     "near_dup_links": f"WITH {SIGNS}, a AS (SELECT id, hash&986895 AS h FROM hs), c AS (SELECT h, count(*) AS n FROM a GROUP BY h), m AS (SELECT x.h, sum(CASE WHEN x.h=y.h THEN y.n-1 ELSE y.n END)::BIGINT AS links FROM c x JOIN c y ON bit_count(xor(x.h,y.h))<=5 GROUP BY x.h) SELECT id, n-1 AS same, links FROM a JOIN c USING (h) JOIN m USING (h)",
