@@ -110,4 +110,93 @@ s AS (SELECT *, least(40*mid//total,39)::INT AS shard FROM m)
 SELECT doc_id, size, xor(list_reduce([4294967295::BIGINT]||list_transform(regexp_extract_all(hex(encode(t)),'..'), lambda x: ('0x'||x)::BIGINT), lambda c, x: xor(c>>8, ({_crc_table()}::BIGINT[])[(xor(c,x)&255)+1])), 4294967295) AS text_crc32,
  'bytes' AS law, shard, (n-min(n) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM s"""
 
-ORACLES = {"op7_shard": OP7, "op8_pii": OP8, "op10_substring_dedup": OP10, "op1_mix_sources": OP1, "op2_decontaminate": OP2, "op3_warc": OP3}
+# XXH64, seed 42, of strings: 64-bit sums and products are taken modulo 2^64 out of 128 bits.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_SEED, _WORD = 42, 2**64
+
+
+def _u(x: int | str) -> str:
+    return f"{x}::UBIGINT" if isinstance(x, int) else x
+
+
+def _mul(a: int | str, b: int | str) -> str:
+    return f"(({_u(a)}::UHUGEINT*{_u(b)}::UHUGEINT)%{_WORD}::UHUGEINT)::UBIGINT"
+
+
+def _add(a: int | str, b: int | str) -> str:
+    return f"(({_u(a)}::UHUGEINT+{_u(b)}::UHUGEINT)%{_WORD}::UHUGEINT)::UBIGINT"
+
+
+def _rot(a: str, r: int) -> str:
+    return f"((((({a})::UHUGEINT*{2**r}::UHUGEINT)%{_WORD}::UHUGEINT)::UBIGINT|(({a})>>{64 - r}::UBIGINT)))"
+
+
+def _lane(h: str, n: int) -> str:
+    return "('0x'||" + "||".join(f"substr({h},{2 * k - 1},2)" for k in range(n, 0, -1)) + ")::UBIGINT"
+
+
+def _mixed_down(source: str, out: str, columns: str, h: str) -> str:
+    """The last steps of the hash: ``out`` has ``columns`` and h."""
+    shift = lambda x, n: f"xor({x},({x})>>{n}::UBIGINT)"
+    return f"""{out}1 AS (SELECT {columns}, {_mul(shift(h, 33), _P2)} AS h FROM {source}), {out}2 AS (SELECT {columns}, {_mul(shift("h", 29), _P3)} AS h FROM {out}1), {out} AS (SELECT {columns}, {shift("h", 32)} AS h FROM {out}2)"""
+
+
+def _hashed(strings: str, out: str) -> str:
+    """``out`` has each string s of ``strings`` and its hash h."""
+    first = [(_SEED + _P1 + _P2) % _WORD, (_SEED + _P2) % _WORD, _SEED, (_SEED - _P1) % _WORD]
+    lanes = ", ".join(f"list_reduce([{v}::UBIGINT]||list_transform(range({j},st,4), lambda i: m[i+1]), lambda v, k: {_mul(_rot(_add('v', 'k'), 31), _P1)}) AS v{j}" for j, v in enumerate(first))
+    return f"""x0 AS (SELECT s, hex(encode(s)) AS x, strlen(s)::BIGINT AS n FROM (SELECT DISTINCT s FROM {strings})),
+x1 AS (SELECT *, list_transform(range(0,n//8), lambda i: {_lane("substr(x,16*i+1,16)", 8)}) AS lanes, 4*(n//32) AS st FROM x0),
+x2 AS (SELECT *, list_transform(lanes, lambda l: {_mul("l", _P2)}) AS m FROM x1),
+x3 AS (SELECT *, {lanes} FROM x2),
+x4 AS (SELECT *, {_add(_add(_rot("v0", 1), _rot("v1", 7)), _add(_rot("v2", 12), _rot("v3", 18)))} AS mix, {", ".join(f"{_mul(_rot(_mul(f'v{j}', _P2), 31), _P1)} AS q{j}" for j in range(4))} FROM x3),
+x5 AS (SELECT *, CASE WHEN n<32 THEN {(_SEED + _P5) % _WORD}::UBIGINT ELSE list_reduce([mix,q0,q1,q2,q3], lambda c, k: {_add(_mul("xor(c,k)", _P1), _P4)}) END AS h0, list_transform(m[st+1:], lambda k: {_mul(_rot("k", 31), _P1)}) AS ks FROM x4),
+x6 AS (SELECT *, list_reduce([{_add("h0", "n")}]||ks, lambda c, k: {_add(_mul(_rot("xor(c,k)", 27), _P1), _P4)}) AS h1, substr(x,16*(n//8)+1) AS rest FROM x5),
+x7 AS (SELECT *, CASE WHEN n%8>=4 THEN {_mul(_lane("rest", 4), _P1)} END AS k4, CASE WHEN n%8>=4 THEN substr(rest,9) ELSE rest END AS last FROM x6),
+x8 AS (SELECT *, CASE WHEN k4 IS NOT NULL THEN {_add(_mul(_rot("xor(h1,k4)", 23), _P2), _P3)} ELSE h1 END AS h2 FROM x7),
+x9 AS (SELECT *, list_reduce([h2]||list_transform(regexp_extract_all(last,'..'), lambda b: {_mul("('0x'||b)::UBIGINT", _P5)}), lambda c, k: {_mul(_rot("xor(c,k)", 11), _P1)}) AS h3 FROM x8),
+{_mixed_down("x9", out, "s", "h3")}"""
+
+
+_LOWER = "regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\\x20\\x09-\\x0D]+')"
+
+#: Fingerprints by sums of hash bits; classes by what different fingerprints of 3 bits or fewer reach.
+OP9 = f"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({_LOWER},[]) AS w FROM documents),
+g AS (SELECT r, unnest(list_transform(range(1,greatest(2,len(w)-1)), lambda k: array_to_string(w[k:k+2],' '))) AS s FROM d WHERE len(w)>0),
+{_hashed("g", "xh")},
+c AS (SELECT r, count(*) AS n, {", ".join(f"sum((h>>{b}::UBIGINT)&1::UBIGINT) AS b{b}" for b in range(64))} FROM g JOIN xh USING (s) GROUP BY r),
+f AS (SELECT doc_id, coalesce({"+".join(f"CASE WHEN 2*b{b}>n THEN {2**b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64))},0::UHUGEINT)::UBIGINT AS fp FROM d LEFT JOIN c USING (r)),
+p AS (SELECT fp, min(doc_id) AS least FROM f GROUP BY fp),
+l AS (SELECT a.fp AS a, b.fp AS b FROM p a JOIN p b ON bit_count(xor(a.fp,b.fp)::HUGEINT)<=3),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b=l.a),
+m AS (SELECT a AS fp, min(least) AS component_id FROM reach JOIN p ON p.fp=reach.b GROUP BY a)
+SELECT doc_id, lpad(lower(to_hex(fp)),16,'0') AS fingerprint, component_id FROM f JOIN m USING (fp)"""
+
+
+def _of_long(value: str, seed: str) -> str:
+    """The hash of a long before its last steps."""
+    return _add(_mul(_rot(f"xor({_add(seed, (_P5 + 8) % _WORD)},{_mul(_rot(_mul(value, _P2), 31), _P1)})", 27), _P1), _P4)
+
+
+#: N-grams fall into 131,072 buckets, which are enough for three million different ones; a pair's hash is that of its second word's, seeded by its first word's.
+OP6 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text,'') AS t, coalesce(regexp_extract_all(text,'[^\\x20\\x09-\\x0D]+'),[]) AS w, doc_id IN (SELECT doc_id FROM labels WHERE quality=1 AND doc_id IS NOT NULL) AS good FROM documents),
+w1 AS (SELECT r, good, unnest(w) AS s, unnest(range(1,len(w)+1)) AS k FROM d),
+{_hashed("w1", "wh")},
+w2 AS (SELECT r, good, k, h FROM w1 JOIN wh USING (s)),
+g0 AS (SELECT DISTINCT a.h AS a, b.h AS b FROM w2 a JOIN w2 b ON a.r=b.r AND b.k=a.k+1),
+g1 AS (SELECT a, b, {_of_long("a", f"{_SEED}::UBIGINT")} AS y FROM g0), {_mixed_down("g1", "g2", "a, b", "y")},
+g3 AS (SELECT a, b, {_of_long("b", "h")} AS y FROM g2), {_mixed_down("g3", "g4", "a, b", "y")},
+n AS (SELECT r, good, (h&131071::UBIGINT)::INT AS bucket FROM w2 UNION ALL SELECT x.r, x.good, (g4.h&131071::UBIGINT)::INT FROM w2 x JOIN w2 y ON x.r=y.r AND y.k=x.k+1 JOIN g4 ON g4.a=x.h AND g4.b=y.h),
+c AS (SELECT bucket, count(*) AS raw, count(*) FILTER (WHERE good) AS target FROM n GROUP BY bucket),
+q AS (SELECT sum(target)/sum(raw)::DOUBLE AS seen FROM c),
+e AS (SELECT bucket, CASE WHEN seen>0 THEN ln((target+20.0::DOUBLE*seen)/(raw+20.0::DOUBLE)/seen) ELSE 0.0 END AS ratio FROM c, q),
+z AS (SELECT r, sum(ratio)/count(*) AS score FROM n JOIN e USING (bucket) GROUP BY r),
+v AS (SELECT r, k, array_to_string(w[k:k+4],' ') AS s FROM (SELECT r, w, unnest(range(1,len(w)-3)) AS k FROM d WHERE len(w)>4)),
+a AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, s) AS m FROM v) WHERE m>1),
+o AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(k,k+5)) AS p FROM a) GROUP BY r),
+b AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t,'[\\x20\\x09-\\x0D]','','g'))::BIGINT AS word_chars, (length(t)-length(regexp_replace(t,'[#*$%&|<>]','','g')))::BIGINT AS n_symbols,
+ (len(ln_)-len(list_distinct(ln_)))::BIGINT AS n_dup_lines FROM (SELECT *, list_filter(string_split(t,chr(10)), lambda x: regexp_matches(x,'[^\\x20\\x09-\\x0D]')) AS ln_ FROM d)),
+u AS (SELECT b.*, coalesce(n_repeat_words,0)::BIGINT AS n_repeat_words, n_words<10 OR 100*coalesce(n_repeat_words,0)>20*n_words AS base_failed, coalesce(score,0.0) AS sc FROM b LEFT JOIN o USING (r) LEFT JOIN z USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND sc>=-0.15 AS kept, round(sc,8) AS score FROM u"""
+
+ORACLES = {"op6_quality_rules": OP6, "op9_simhash": OP9, "op7_shard": OP7, "op8_pii": OP8, "op10_substring_dedup": OP10, "op1_mix_sources": OP1, "op2_decontaminate": OP2, "op3_warc": OP3}
