@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from casegrain.llm import minhash, simhash
 
@@ -43,14 +44,35 @@ def test_planted_near_copies(docs_of):
     assert len(want) < len(rows) - 80
 
 
-def test_large_bucket_is_split(docs_of, monkeypatch):
+def classes(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        label = [label[b] if c == label[a] else c for c in label]
+    return [label.index(c) for c in label]
+
+
+@pytest.mark.parametrize("dense", [minhash.DENSE, 8])
+def test_candidates_of_a_bucket_connect_what_links_connect(monkeypatch, dense):
     rows = planted()[:100]
     sigs = minhash._bytes(minhash.pa.array([minhash.signature(minhash.shingles(t.encode().split())) for _, t in rows]))
-    monkeypatch.setattr(minhash, "DENSE", 8)
-    found = set(minhash.near(sigs))
-    joined = {tuple(sorted(p)) for p in found}
-    sure = [(b, a) for a in range(100) for b in range(a) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
-    assert sure and np.mean([p in joined for p in sure]) > 0.95
+    monkeypatch.setattr(minhash, "DENSE", dense)
+    found = minhash.near(sigs)
+    links = [(a, b) for a in range(100) for b in range(a) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    got, want = classes(100, [p for p in found if jaccard(rows[p[0]][1], rows[p[1]][1]) >= 0.8]), classes(100, links)
+    assert links and np.mean([x == y for x, y in zip(got, want, strict=True)]) > 0.95
+
+
+def test_candidates_do_not_grow_with_the_square():
+    """A group of near copies of one text gives a few candidates a member."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(9999)}" for _ in range(400)]
+    sigs = []
+    for _ in range(600):
+        own = list(words)
+        for k in rng.sample(range(len(own)), rng.randint(0, 8)):
+            own[k] = f"x{rng.randrange(9999)}"
+        sigs.append(minhash.signature(minhash.shingles([w.encode() for w in own])))
+    assert len(minhash.near(minhash._bytes(minhash.pa.array(sigs)))) < 4 * len(sigs)
 
 
 def test_odd_rows(odd, docs_of):
