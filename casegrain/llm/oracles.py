@@ -197,6 +197,6 @@ o AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range
 b AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t,'[\\x20\\x09-\\x0D]','','g'))::BIGINT AS word_chars, (length(t)-length(regexp_replace(t,'[#*$%&|<>]','','g')))::BIGINT AS n_symbols,
  (len(ln_)-len(list_distinct(ln_)))::BIGINT AS n_dup_lines FROM (SELECT *, list_filter(string_split(t,chr(10)), lambda x: regexp_matches(x,'[^\\x20\\x09-\\x0D]')) AS ln_ FROM d)),
 u AS (SELECT b.*, coalesce(n_repeat_words,0)::BIGINT AS n_repeat_words, n_words<10 OR 100*coalesce(n_repeat_words,0)>20*n_words AS base_failed, coalesce(score,0.0) AS sc FROM b LEFT JOIN o USING (r) LEFT JOIN z USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND sc>=-0.15 AS kept, round(sc,8) AS score FROM u"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND sc>=-0.15 AS kept, round(sc,10) AS score FROM u"""
 
 ORACLES = {"op6_quality_rules": OP6, "op9_simhash": OP9, "op7_shard": OP7, "op8_pii": OP8, "op10_substring_dedup": OP10, "op1_mix_sources": OP1, "op2_decontaminate": OP2, "op3_warc": OP3}

@@ -141,4 +141,4 @@ def filtered(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD)
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = verdicts(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-    return out.select("doc_id", *BASE, "kept", (F.round("score", 8) + 0.0).alias("score"))
+    return out.select("doc_id", *BASE, "kept", (F.round("score", 10) + 0.0).alias("score"))
