@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegrain.functions import geo
@@ -106,14 +106,19 @@ def part() -> Column:
 
 
 def geojson_features(points: DataFrame) -> DataFrame:
-    """(case_id, ordinal, geometry, part): usable points, and a line through a part of a case that has more than one (ordinal null).
+    """(case_id, ordinal, geometry, part): usable points, and the line through a case that has more than one (ordinal null).
 
-    A part is what PART_POINTS ordinals number, so no line or document grows with a case.
+    A part is what PART_POINTS ordinals number, so no row or document grows with a case. A case's line has a row for each of its
+    parts but a first part of one point; the row of a later part begins at the last point before it, so the rows join up.
     """
     own = points.where(geo.usable(F.col("lat"), F.col("lon"))).withColumn("part", part())
     pair = F.concat(F.lit("["), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]"))
     dots = own.select("case_id", "ordinal", F.concat(F.lit('{"type":"Point","coordinates":'), pair, F.lit("}")).alias("geometry"), "part")
-    lines = own.groupBy("case_id", "part").agg(F.array_sort(F.collect_list(F.struct("ordinal", pair.alias("p")))).alias("all")).where(F.size("all") > 1)
+    places = own.select("case_id", "part", "ordinal", pair.alias("p"))
+    lasts = places.groupBy("case_id", "part").agg(F.max(F.struct("ordinal", "p")).alias("last"))
+    lasts = lasts.withColumn("next", F.lead("part").over(Window.partitionBy("case_id").orderBy("part"))).where("next is not null")
+    joined = places.unionByName(lasts.select("case_id", F.col("next").alias("part"), "last.ordinal", "last.p"))
+    lines = joined.groupBy("case_id", "part").agg(F.array_sort(F.collect_list(F.struct("ordinal", "p"))).alias("all")).where(F.size("all") > 1)
     path = F.array_join(F.transform("all", lambda x: x["p"]), ",")
     return dots.unionByName(lines.select("case_id", F.lit(None).cast("long").alias("ordinal"), F.concat(F.lit('{"type":"LineString","coordinates":['), path, F.lit("]}")).alias("geometry"), "part"))
 

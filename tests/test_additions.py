@@ -1,12 +1,14 @@
+import json
 import sqlite3
 import struct
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from casegrain import __main__ as cli
 from casegrain.operators import encoders, exports, places, records, reports, timeline
-from casegrain.plans import casework
+from casegrain.plans import casework, catalog, oracles
 from casegrain.sources import files, geodata
 from tests.test_containers import jpeg, png
 
@@ -129,3 +131,20 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["audit", str(tmp_path / "log.jsonl"), "--out", out]) == cli.EXIT_CUSTODY
     assert cli.main(["diff", str(tmp_path / "in"), "--out", out]) == 0
     assert spark.read.parquet(f"{out}/verdict").first()["verdict"] == "EXACT_BITWISE_MATCH"
+
+
+def test_line_of_a_case_of_many_parts(spark, monkeypatch, tmp_path):
+    """A case has one line however its ordinals are parted, and its parts' rows join up."""
+    monkeypatch.setattr(exports, "PART_POINTS", 10)
+    at = {("a", 1), ("a", 4), ("a", 10), ("a", 30), ("a", 31), ("b", 5), ("b", 15), ("c", 7), ("d", 3), ("d", 2)}
+    points = spark.createDataFrame([(c, k, float(k), 100.0 + k) for c, k in at] + [("c", 50, 0.0, 0.0)], "case_id string, ordinal long, lat double, lon double")
+    lines = {}
+    for r in exports.geojson_features(points).where("ordinal is null").orderBy("case_id", "part").collect():
+        lines.setdefault(r["case_id"], []).append([x[1] for x in json.loads(r["geometry"])["coordinates"]])
+    assert lines == {"a": [[1, 4], [4, 10], [10, 30, 31]], "b": [[5, 15]], "d": [[2, 3]]}
+    events = spark.range(60).selectExpr("id as event_id", "id % 4 as user_id", "timestamp_seconds(id) as ts", "'x' as event_type", "1.0D as value")
+    events.union(spark.range(1).selectExpr("200L", "9L", "timestamp_seconds(0)", "'x'", "1.0D")).write.parquet(str(tmp_path / "events.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(duck.execute(f"select case_id, n_points, n_lines from ({oracles.ORACLES['geojson_features']})").fetchall())
+    assert sorted(map(tuple, catalog.QUERIES["geojson_features"](spark, str(tmp_path)).select("case_id", "n_points", "n_lines").collect())) == want and len(want) == 5
