@@ -4,8 +4,9 @@ Fixed rules look at a text's length and repetition. For the others, hashed n-gra
 buckets, or in the next power of two that keeps about MOST_LOAD different n-grams or fewer to a bucket) are counted over a trusted target and over the raw corpus. A text's score is the log-likelihood ratio
 of the two multinomials, summed over its n-grams and divided by their number; it is kept at THRESHOLD or
 more. The ratio of a bucket is shrunk towards 1 as if SHRINK more of its n-grams had been seen at the usual rate, so that
-rare n-grams say little. Counts cover every text. The table of ratios is broadcast up to MOST_BROADCAST buckets; beyond,
-n-grams are counted for each text and joined by a shuffle.
+rare n-grams say little. Counts cover every text; a task counts so many of them (ONE_COUNT) that frequent n-grams are summed before
+the shuffle. The table of ratios is broadcast up to MOST_BROADCAST buckets, SLOTS to a row; beyond, n-grams are counted for each text
+and joined by a shuffle.
 
 Repeated five-word windows are told by 64-bit hashes of hashed words; all else is exact.
 
@@ -24,7 +25,10 @@ from casegrain.llm.common import SPACED, broadcast_if_small, table, written
 GRAM_BUCKETS = 1 << 17
 #: Different n-grams to a bucket at most (sf0.1 has 21); different n-grams are estimated from one hash in SAMPLE.
 MOST_LOAD, SAMPLE = 24, 64
-MOST_BROADCAST = 1 << 21
+#: Buckets side by side in a row of ratios (about 11 bytes a bucket in memory, a row for each takes 45), buckets that are broadcast.
+SLOTS, MOST_BROADCAST = 16, 1 << 23
+#: Bytes of text that a task counts.
+ONE_COUNT = 1 << 26
 SHRINK, THRESHOLD = 20.0, -0.15
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -52,7 +56,7 @@ def worded(docs: DataFrame) -> DataFrame:
 def based(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_wh`` and the columns of BASE."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda line: F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) != "")
     out = worded(docs)
     out = out.withColumns({"n_words": F.size("_wh").cast("long"), "_lines": lines, "_fours": _hashed_with_later("_pairs", "_pairs", 2)})
     out = out.withColumn("_win", _hashed_with_later("_fours", "_wh", 4))
@@ -60,7 +64,7 @@ def based(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_again", F.expr(f"if(_sorted is null, null, {_AGAIN})"))
     out = out.withColumns({
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.expr(f"if(_again is null, 0L, {_COVERED})"),
     })
@@ -93,15 +97,28 @@ def flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def gram_ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, ratio): logarithms of target over raw probabilities; ``buckets`` rows at most.
+    """(block, ratios): logarithms of target over raw probabilities, those of SLOTS buckets side by side; null for a bucket without n-grams.
 
     One pass counts both corpora.
     """
-    each = exploded(worded(flagged(docs, trusted)), buckets, "trusted").where("bucket is not null")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    few = flagged(docs, trusted).coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, size // ONE_COUNT))
+    each = exploded(worded(few), buckets, "trusted").where("bucket is not null")
     both = written(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")), "grams")
     seen = both.agg(F.coalesce(F.sum("target") / F.sum("raw"), F.lit(0.0)).alias("rate")).first()["rate"]
     shrunk = (F.col("target") + SHRINK * seen) / (F.col("raw") + SHRINK) / (seen or 1.0)
-    return written(both.select("bucket", (F.log(shrunk) if seen else F.lit(0.0)).alias("ratio")), "ratios")
+    ratios = both.select(block_of("bucket").alias("block"), slot_of("bucket").alias("slot"), (F.log(shrunk) if seen else F.lit(0.0)).alias("ratio"))
+    slots = [F.max(F.when(F.col("slot") == k, F.col("ratio"))).alias(f"r{k}") for k in range(SLOTS)]
+    rows = ratios.repartition("block").groupBy("block").agg(*slots)
+    return written(rows.select("block", F.array(*[f"r{k}" for k in range(SLOTS)]).alias("ratios")), "ratios")
+
+
+def block_of(bucket: str) -> Column:
+    return F.floor(F.col(bucket) / SLOTS).cast("int")
+
+
+def slot_of(bucket: str) -> Column:
+    return F.pmod(F.col(bucket), F.lit(SLOTS))
 
 
 def rated(docs: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
@@ -115,11 +132,13 @@ def rated(docs: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
     if buckets > MOST_BROADCAST:
         slim = worded(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["doc_id", "text_hash"]))
         grams = exploded(slim, buckets, "doc_id", "text_hash").where("bucket is not null").groupBy("doc_id", "text_hash", "bucket").agg(F.count("*").alias("n"))
-        sums = grams.join(ratios, "bucket").groupBy("doc_id", "text_hash").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("score"))
+        each = ratios.select("block", F.posexplode("ratios").alias("_slot", "ratio")).select((F.col("block") * SLOTS + F.col("_slot")).alias("bucket"), "ratio")
+        sums = grams.join(each, "bucket").groupBy("doc_id", "text_hash").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("score"))
         sums = written(sums.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "scores")
         out = rows.select(*own).join(sums, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
         return out.select(*own, F.coalesce("score", F.lit(0.0)).alias("score"))
-    each = exploded(rows, buckets, "_row", *own).join(F.broadcast(ratios), "bucket", "left")
+    each = exploded(rows, buckets, "_row", *own).withColumn("block", block_of("bucket")).join(F.broadcast(ratios), "block", "left")
+    each = each.withColumn("ratio", F.get("ratios", slot_of("bucket")))
     score = F.coalesce(F.sum("ratio") / F.count("bucket"), F.lit(0.0)).alias("score")
     return each.groupBy("_row").agg(*[F.max(c).alias(c) for c in own], score).drop("_row")
 

@@ -107,3 +107,19 @@ def test_verdicts_stay_when_the_corpus_grows(docs_of, monkeypatch):
     monkeypatch.setattr(rules, "MOST_BROADCAST", 0)  # by a shuffle
     again = rated(good + bad + more)
     assert all(abs(again[i]["score"] - large[i]["score"]) < 1e-9 for i in large)
+
+
+def test_ratios_lie_side_by_side_and_tasks_count_much(docs_of, monkeypatch):
+    """A broadcast row has the ratios of many buckets, and what tasks send on is summed over many partitions of the input."""
+    rows = [(k, " ".join(f"w{(k * 7 + j * j) % 31}" for j in range(40))) for k in range(200)]
+    docs = docs_of(rows)
+    ratios = rules.gram_ratios(docs, docs.where("doc_id < 50"), rules.GRAM_BUCKETS)
+    grams = set().union(*(buckets(t) for _, t in rows))
+    got = {r["block"]: r["ratios"] for r in ratios.collect()}
+    assert set(got) == {b // rules.SLOTS for b in grams} and {len(x) for x in got.values()} == {rules.SLOTS}
+    assert {b * rules.SLOTS + k for b, x in got.items() for k, v in enumerate(x) if v is not None} == grams
+    tasks = []
+    real = rules.exploded
+    monkeypatch.setattr(rules, "exploded", lambda df, *a: tasks.append(df.rdd.getNumPartitions()) or real(df, *a))
+    rules.gram_ratios(docs.repartition(100), docs.limit(0), rules.GRAM_BUCKETS)
+    assert tasks == [docs.sparkSession.sparkContext.defaultParallelism]
