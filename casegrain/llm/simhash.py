@@ -342,13 +342,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) ->
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU, similarity: float | None = None) -> DataFrame:
     """One document of each class: that with the least id, null last, then by the hash of its text.
 
-    With ``similarity``, links are the pairs of at least that Jaccard similarity, which fingerprints of 64 bits can't find (see
-    ``minhash``), in place of those of at most ``tau`` bits.
+    With ``similarity``, links are the pairs of at least that Jaccard similarity, found by longer fingerprints in more partitions (see
+    ``similar``) and verified exactly, in place of those of at most ``tau`` bits.
     """
     if similarity is not None:
-        from casegrain.llm import minhash
+        from casegrain.llm import similar
 
-        return firsts(docs, minhash.classed(docs, shingle, similarity))
+        return firsts(docs, similar.classed(docs, shingle, similarity))
     return firsts(docs, classed(written(fingerprinted(docs, shingle), "prints"), tau))
 
 
