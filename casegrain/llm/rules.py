@@ -33,9 +33,10 @@ SHRINK, THRESHOLD = 20.0, -0.15
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
-#: Windows sorted by hash; those equal to a neighbour; their places in order; the words they cover.
-_SORTED = "sort_array(transform(_win, (h, i) -> struct(h, i)))"
-_AGAIN = "transform(filter(sequence(0, size(_sorted) - 1), j -> (j > 0 and _sorted[j].h = _sorted[greatest(j - 1, 0)].h) or (j < size(_sorted) - 1 and _sorted[j].h = _sorted[least(j + 1, size(_sorted) - 1)].h)), j -> _sorted[j].i)"
+#: Hashes of four words (the last two of fewer); windows sorted by hash, if any four words repeat; places of those equal to a neighbour; the words they cover.
+_FOURS = "transform(_pairs, (p, i) -> xxhash64(p, get(_pairs, i + 2)))"
+_SORTED = "sort_array(transform(slice(_fours, 1, greatest(size(_wh) - 4, 0)), (f, i) -> struct(xxhash64(f, get(_wh, i + 4)) as h, i as i)))"
+_AGAIN = "transform(filter(_sorted, (x, j) -> x.h = get(_sorted, j - 1).h or x.h = get(_sorted, j + 1).h), x -> x.i)"
 _COVERED = "aggregate(sort_array(_again), named_struct('n', 0L, 'last', -5), (a, p) -> named_struct('n', a.n + least(5, p - a.last), 'last', p), a -> a.n)"
 
 
@@ -58,9 +59,8 @@ def based(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) != "")
     out = worded(docs)
-    out = out.withColumns({"n_words": F.size("_wh").cast("long"), "_lines": lines, "_fours": _hashed_with_later("_pairs", "_pairs", 2)})
-    out = out.withColumn("_win", _hashed_with_later("_fours", "_wh", 4))
-    out = out.withColumn("_sorted", F.expr(f"if(size(array_distinct(_win)) = size(_win), null, {_SORTED})"))
+    out = out.withColumns({"n_words": F.size("_wh").cast("long"), "_lines": lines, "_fours": F.expr(_FOURS)})
+    out = out.withColumn("_sorted", F.expr(f"if(size(array_distinct(_fours)) = size(_fours), null, {_SORTED})"))
     out = out.withColumn("_again", F.expr(f"if(_sorted is null, null, {_AGAIN})"))
     out = out.withColumns({
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
@@ -69,7 +69,7 @@ def based(docs: DataFrame) -> DataFrame:
         "n_repeat_words": F.expr(f"if(_again is null, 0L, {_COVERED})"),
     })
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_lines", "_fours", "_win", "_sorted", "_again")
+    return out.withColumn("base_failed", failed).drop("_lines", "_fours", "_sorted", "_again")
 
 
 def bucket_count(docs: DataFrame) -> int:

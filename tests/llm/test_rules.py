@@ -123,3 +123,13 @@ def test_ratios_lie_side_by_side_and_tasks_count_much(docs_of, monkeypatch):
     monkeypatch.setattr(rules, "exploded", lambda df, *a: tasks.append(df.rdd.getNumPartitions()) or real(df, *a))
     rules.gram_ratios(docs.repartition(100), docs.limit(0), rules.GRAM_BUCKETS)
     assert tasks == [docs.sparkSession.sparkContext.defaultParallelism]
+
+
+def test_windows_are_hashed_where_four_words_repeat(docs_of):
+    """Of texts in which no four words come twice, no five-word window is hashed and sorted; others give what brute force gives."""
+    texts = ["a b c d x a b c d y", "a b c d x y a b c d", "a a a", "a a a a", "a a", "a b a b", "a b c a b c", "p q a b c d e r s a b c d e", "a b c d e f a b c d x a b c d e", " ".join("abcab" * 7)]
+    docs = rules.based(docs_of(list(enumerate(texts))))
+    for r, t in zip(sorted(docs.collect()), texts, strict=True):
+        assert tuple(r[c] for c in rules.BASE) == base(t), t
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(") == 1  # pairs of words
