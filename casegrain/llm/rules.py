@@ -63,7 +63,7 @@ def based(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_sorted", F.expr(f"if(size(array_distinct(_fours)) = size(_fours), null, {_SORTED})"))
     out = out.withColumn("_again", F.expr(f"if(_sorted is null, null, {_AGAIN})"))
     out = out.withColumns({
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
+        "word_chars": (F.length(F.replace(text, F.lit(" "), F.lit(""))) - F.regexp_count(text, F.lit(r"[\x09-\x0D]"))).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.expr(f"if(_again is null, 0L, {_COVERED})"),
