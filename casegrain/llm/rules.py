@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrain.llm.common import SPACED, broadcast_if_small, table, written
+from casegrain.llm.common import broadcast_if_small, table, written
 
 GRAM_BUCKETS = 1 << 17
 #: Different n-grams to a bucket at most (sf0.1 has 21); different n-grams are estimated from one hash in SAMPLE.
@@ -29,11 +29,13 @@ MOST_LOAD, SAMPLE = 24, 64
 SLOTS, MOST_BROADCAST = 16, 1 << 23
 #: Bytes of text that a task counts.
 ONE_COUNT = 1 << 26
+#: One white space. A list of single characters is matched by a table.
+ONE_SPACE = r"[\x20\x09\x0A\x0B\x0C\x0D]"
 SHRINK, THRESHOLD = 20.0, -0.15
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
-#: Hashes of four words (the last two of fewer); windows sorted by hash, if any four words repeat; places of those equal to a neighbour; the words they cover.
+#: Hashes of four words (the last two of fewer); windows sorted by hash, if four words come again at two places, as they do where a window comes again; places of those equal to a neighbour; the words they cover.
 _FOURS = "transform(_pairs, (p, i) -> xxhash64(p, get(_pairs, i + 2)))"
 _SORTED = "sort_array(transform(slice(_fours, 1, greatest(size(_wh) - 4, 0)), (f, i) -> struct(xxhash64(f, get(_wh, i + 4)) as h, i as i)))"
 _AGAIN = "transform(filter(_sorted, (x, j) -> x.h = get(_sorted, j - 1).h or x.h = get(_sorted, j + 1).h), x -> x.i)"
@@ -47,35 +49,48 @@ def _hashed_with_later(a: str, b: str, places: int) -> Column:
     return F.when(n > 0, pairs).otherwise(F.array().cast("array<bigint>"))
 
 
-def worded(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_wh``, the hashes of its words in order, and ``_pairs``, those of its pairs of words."""
-    words = F.regexp_extract_all("text", F.lit(SPACED), F.lit(0))
-    out = docs.withColumn("_wh", F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>")))
-    return out.withColumn("_pairs", _hashed_with_later("_wh", "_wh", 1))
+def parted(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_parts``, what lies between any two white spaces of a text, and its words ``_words``, which are those that aren't empty."""
+    out = docs.withColumn("_parts", F.split(F.coalesce("text", F.lit("")), ONE_SPACE, -1))
+    return out.withColumn("_words", F.when(F.array_contains("_parts", ""), F.array_remove("_parts", "")).otherwise(F.col("_parts")))
 
 
 def based(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_wh`` and the columns of BASE."""
+    """``docs`` with ``_wh``, the hashes of its words in order, and the columns of BASE."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda line: F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) != "")
-    out = worded(docs)
-    out = out.withColumns({"n_words": F.size("_wh").cast("long"), "_lines": lines, "_fours": F.expr(_FOURS)})
-    out = out.withColumn("_sorted", F.expr(f"if(size(array_distinct(_fours)) = size(_fours), null, {_SORTED})"))
-    out = out.withColumn("_again", F.expr(f"if(_sorted is null, null, {_AGAIN})"))
-    out = out.withColumns({
-        "word_chars": (F.length(F.replace(text, F.lit(" "), F.lit(""))) - F.regexp_count(text, F.lit(r"[\x09-\x0D]"))).cast("long"),
+    lines = F.filter("_lines", lambda line: F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) != "")
+    out = parted(docs).withColumns({
+        "word_chars": (F.length(text) - F.size("_parts") + 1).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.expr(f"if(_again is null, 0L, {_COVERED})"),
+        "_lines": F.split(text, "\n", -1),
     })
+    out = out.withColumns({"n_words": F.size("_words").cast("long"), "_wh": F.transform("_words", lambda w: F.xxhash64(w)), "_lines": lines})
+    out = out.withColumns({"n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_pairs": _hashed_with_later("_wh", "_wh", 1)})
+    out = out.withColumn("_fours", F.expr(_FOURS))
+    out = out.withColumn("_sorted", F.expr(f"if(size(array_distinct(_fours)) > size(_fours) - 2, null, {_SORTED})"))
+    out = out.withColumn("_again", F.expr(f"if(_sorted is null, null, {_AGAIN})"))
+    out = out.withColumn("n_repeat_words", F.expr(f"if(_again is null, 0L, {_COVERED})"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_lines", "_fours", "_sorted", "_again")
+    return out.withColumn("base_failed", failed).drop("_parts", "_words", "_lines", "_pairs", "_fours", "_sorted", "_again")
+
+
+def gram_hashes(rows: DataFrame, elements: str, *columns: str) -> DataFrame:
+    """``columns``, ``_word`` and ``_pair``: a row for each of ``elements``, which are words or hashes of words, with its hash and that of it and the next one.
+
+    ``_pair`` of the last one is null. A row without elements has one row, with nulls.
+    """
+    hashed = (lambda e: e) if dict(rows.dtypes)[elements] == "array<bigint>" else F.xxhash64
+    each = rows.select(*columns, elements, F.posexplode_outer(elements).alias("_at", "_own"))
+    own, after = F.col("_own"), F.get(elements, F.col("_at") + 1)
+    each = each.select(*columns, own, after.alias("_next"))
+    word, pair = hashed(own), F.xxhash64(hashed(own), hashed(F.col("_next")))
+    return each.select(*columns, F.when(own.isNotNull(), word).alias("_word"), F.when(F.col("_next").isNotNull(), pair).alias("_pair"))
 
 
 def bucket_count(docs: DataFrame) -> int:
     """GRAM_BUCKETS, or as many more as the different n-grams of ``docs`` ask for."""
-    each = worded(docs.select("text")).select(F.explode(F.concat("_wh", "_pairs")).alias("h"))
-    own = each.where(F.pmod(F.shiftrightunsigned("h", 40), F.lit(SAMPLE)) == 0)
+    each = gram_hashes(parted(docs.select("text")), "_words")
+    own = each.select(F.explode(F.array("_word", "_pair")).alias("h")).where(F.pmod(F.shiftrightunsigned("h", 40), F.lit(SAMPLE)) == 0)
     different = SAMPLE * own.agg(F.approx_count_distinct("h", 0.02).alias("n")).first()["n"]
     n = GRAM_BUCKETS
     while n * MOST_LOAD < different:
@@ -83,10 +98,14 @@ def bucket_count(docs: DataFrame) -> int:
     return n
 
 
+def bucket_of(h: str, buckets: int) -> Column:
+    return F.pmod(F.col(h), F.lit(buckets)).cast("int")
+
+
 def exploded(rows: DataFrame, buckets: int, *columns: str) -> DataFrame:
-    """``columns`` with the bucket of each word and each pair of words; a row without words has one row, without a bucket."""
-    each = rows.select(*columns, F.explode_outer(F.concat("_wh", "_pairs")).alias("_h"))
-    return each.select(*columns, F.pmod("_h", F.lit(buckets)).cast("int").alias("bucket"))
+    """``columns`` with the bucket of each word and each pair of words of ``parted`` rows."""
+    each = gram_hashes(rows, "_words", *columns)
+    return each.select(*columns, F.explode(F.array(bucket_of("_word", buckets), bucket_of("_pair", buckets))).alias("bucket")).where("bucket is not null")
 
 
 def flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -103,7 +122,7 @@ def gram_ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     few = flagged(docs, trusted).coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, size // ONE_COUNT))
-    each = exploded(worded(few), buckets, "trusted").where("bucket is not null")
+    each = exploded(parted(few), buckets, "trusted")
     both = written(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")), "grams")
     seen = both.agg(F.coalesce(F.sum("target") / F.sum("raw"), F.lit(0.0)).alias("rate")).first()["rate"]
     shrunk = (F.col("target") + SHRINK * seen) / (F.col("raw") + SHRINK) / (seen or 1.0)
@@ -114,7 +133,7 @@ def gram_ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
 
 
 def block_of(bucket: str) -> Column:
-    return F.floor(F.col(bucket) / SLOTS).cast("int")
+    return F.expr(f"cast({bucket} div {SLOTS} as int)")
 
 
 def slot_of(bucket: str) -> Column:
@@ -130,17 +149,21 @@ def rated(docs: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
     rows = based(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")).withColumn("_row", F.monotonically_increasing_id())
     own = ["doc_id", "text_hash", *BASE]
     if buckets > MOST_BROADCAST:
-        slim = worded(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["doc_id", "text_hash"]))
-        grams = exploded(slim, buckets, "doc_id", "text_hash").where("bucket is not null").groupBy("doc_id", "text_hash", "bucket").agg(F.count("*").alias("n"))
+        slim = parted(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["doc_id", "text_hash"]))
+        grams = exploded(slim, buckets, "doc_id", "text_hash").groupBy("doc_id", "text_hash", "bucket").agg(F.count("*").alias("n"))
         each = ratios.select("block", F.posexplode("ratios").alias("_slot", "ratio")).select((F.col("block") * SLOTS + F.col("_slot")).alias("bucket"), "ratio")
         sums = grams.join(each, "bucket").groupBy("doc_id", "text_hash").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("score"))
         sums = written(sums.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "scores")
         out = rows.select(*own).join(sums, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
         return out.select(*own, F.coalesce("score", F.lit(0.0)).alias("score"))
-    each = exploded(rows, buckets, "_row", *own).withColumn("block", block_of("bucket")).join(F.broadcast(ratios), "block", "left")
-    each = each.withColumn("ratio", F.get("ratios", slot_of("bucket")))
-    score = F.coalesce(F.sum("ratio") / F.count("bucket"), F.lit(0.0)).alias("score")
-    return each.groupBy("_row").agg(*[F.max(c).alias(c) for c in own], score).drop("_row")
+    each = gram_hashes(rows, "_wh", "_row", *own)
+    for gram in ("_word", "_pair"):
+        blocks = F.broadcast(ratios.select(F.col("block").alias(f"{gram}_block"), F.col("ratios").alias(f"{gram}_ratios")))
+        each = each.withColumn(f"{gram}_bucket", bucket_of(gram, buckets)).join(blocks, block_of(f"{gram}_bucket") == F.col(f"{gram}_block"), "left")
+        each = each.withColumn(f"{gram}_ratio", F.get(f"{gram}_ratios", slot_of(f"{gram}_bucket")))
+    both = F.coalesce("_word_ratio", F.lit(0.0)) + F.coalesce("_pair_ratio", F.lit(0.0))
+    sums = each.groupBy("_row").agg(*[F.max(c).alias(c) for c in own], F.sum(both).alias("_sum"))
+    return sums.select(*own, F.when(F.col("n_words") > 0, F.col("_sum") / (2 * F.col("n_words") - 1)).otherwise(0.0).alias("score"))
 
 
 def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

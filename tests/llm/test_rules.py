@@ -133,3 +133,17 @@ def test_windows_are_hashed_where_four_words_repeat(docs_of):
         assert tuple(r[c] for c in rules.BASE) == base(t), t
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("zip_with(") == 1  # pairs of words
+
+
+def test_a_row_for_each_word_looks_up_the_word_and_its_pair(docs_of):
+    """Words are cut by splitting at single white spaces; a word and the pair it begins are looked up in one row."""
+    texts = ["a  b", " a b", "a b ", "\ta\x0b\x0cb\r\n c \n", "a\x1cb c é\U0001f600 d", "one", " ", "\n\n", "", None, " ".join(f"w{k * k % 17}" for k in range(60))]
+    docs = docs_of(list(enumerate(texts)))
+    rows = rules.exploded(rules.parted(docs), rules.GRAM_BUCKETS, "doc_id").collect()
+    for k, t in enumerate(texts):
+        assert collections.Counter(r["bucket"] for r in rows if r["doc_id"] == k) == collections.Counter(buckets(t)), t
+    assert [tuple(r[c] for c in rules.BASE) for r in sorted(rules.based(docs).collect())] == [base(t) for t in texts]
+    got = sorted(rules.verdicts(docs, docs.where("doc_id < 4")).collect())
+    assert all(abs(r["score"] - w[7]) < 1e-9 for r, w in zip(got, brute(texts, texts[:4]), strict=True))
+    plan = rules.rated(docs, rules.gram_ratios(docs, docs, 256), 256)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode(") == plan.count("Generate ") == 1 and rules.ONE_SPACE in plan
