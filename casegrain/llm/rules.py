@@ -35,20 +35,16 @@ SHRINK, THRESHOLD = 20.0, -0.15
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
-#: Hashes of four words (the last two of fewer); windows sorted by hash, if four words come again at two places, as they do where a window comes again; places of those equal to a neighbour; the words they cover.
-_FOURS = "transform(_pairs, (p, i) -> xxhash64(p, get(_pairs, i + 2)))"
-_SORTED = "sort_array(transform(slice(_fours, 1, greatest(size(_wh) - 4, 0)), (f, i) -> struct(xxhash64(f, get(_wh, i + 4)) as h, i as i)))"
+#: Hashes of words, and of four words (the last three of fewer), which are read faster from an array that isn't a column yet; hashes of windows;
+#: windows sorted by hash; places of those equal to a neighbour; the words they cover.
+_FOUR = "xxhash64(w, get(wh, i + 1), get(wh, i + 2), get(wh, i + 3))"
+_HASHES = f"get(transform(array(transform(_words, w -> xxhash64(w))), wh -> struct(wh as wh, transform(wh, (w, i) -> {_FOUR}) as fours)), 0)"
+_WINDOWS = "zip_with(slice(_fours, 1, size(_wh) - 4), slice(_wh, 5, size(_wh) - 4), (f, w) -> xxhash64(f, w))"
+_SORTED = "sort_array(transform(_windows, (h, i) -> struct(h, i)))"
 _AGAIN = "transform(filter(_sorted, (x, j) -> x.h = get(_sorted, j - 1).h or x.h = get(_sorted, j + 1).h), x -> x.i)"
 _COVERED = "aggregate(sort_array(_again), named_struct('n', 0L, 'last', -5), (a, p) -> named_struct('n', a.n + least(5, p - a.last), 'last', p), a -> a.n)"
 
 
-def _hashed_with_later(a: str, b: str, places: int) -> Column:
-    """Hashes of each element of ``a`` with the element of ``b`` that is ``places`` further on; as many as there are such pairs."""
-    n = F.size(b) - places
-    pairs = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(places + 1), n), lambda x, y: F.xxhash64(x, y))
-    return F.when(n > 0, pairs).otherwise(F.array().cast("array<bigint>"))
-
-
 def parted(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_parts``, what lies between any two white spaces of a text, and its words ``_words``, which are those that aren't empty."""
     out = docs.withColumn("_parts", F.split(F.coalesce("text", F.lit("")), ONE_SPACE, -1))
@@ -64,14 +60,16 @@ def based(docs: DataFrame) -> DataFrame:
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "_lines": F.split(text, "\n", -1),
     })
-    out = out.withColumns({"n_words": F.size("_words").cast("long"), "_wh": F.transform("_words", lambda w: F.xxhash64(w)), "_lines": lines})
-    out = out.withColumns({"n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_pairs": _hashed_with_later("_wh", "_wh", 1)})
-    out = out.withColumn("_fours", F.expr(_FOURS))
-    out = out.withColumn("_sorted", F.expr(f"if(size(array_distinct(_fours)) > size(_fours) - 2, null, {_SORTED})"))
+    out = out.withColumns({"n_words": F.size("_words").cast("long"), "_hashes": F.expr(_HASHES), "_lines": lines})
+    out = out.withColumns({"_wh": F.col("_hashes.wh"), "_fours": F.col("_hashes.fours")})
+    out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+    # A window that comes again has four words that come again at two places.
+    out = out.withColumn("_windows", F.expr(f"if(size(_wh) < 6 or size(array_distinct(_fours)) > size(_fours) - 2, null, {_WINDOWS})"))
+    out = out.withColumn("_sorted", F.expr(f"if(_windows is null or size(array_distinct(_windows)) = size(_windows), null, {_SORTED})"))
     out = out.withColumn("_again", F.expr(f"if(_sorted is null, null, {_AGAIN})"))
     out = out.withColumn("n_repeat_words", F.expr(f"if(_again is null, 0L, {_COVERED})"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_parts", "_words", "_lines", "_pairs", "_fours", "_sorted", "_again")
+    return out.withColumn("base_failed", failed).drop("_parts", "_words", "_lines", "_hashes", "_fours", "_windows", "_sorted", "_again")
 
 
 def gram_hashes(rows: DataFrame, elements: str, *columns: str) -> DataFrame:

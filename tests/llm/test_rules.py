@@ -147,3 +147,11 @@ def test_a_row_for_each_word_looks_up_the_word_and_its_pair(docs_of):
     assert all(abs(r["score"] - w[7]) < 1e-9 for r, w in zip(got, brute(texts, texts[:4]), strict=True))
     plan = rules.rated(docs, rules.gram_ratios(docs, docs, 256), 256)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate posexplode(") == plan.count("Generate ") == 1 and rules.ONE_SPACE in plan
+
+
+def test_windows_of_few_different_words(docs_of):
+    """Texts full of repetition, of every length about that of a window; words and fours are hashed in one step, without pairs."""
+    texts = [" ".join(f"w{(k * 7919 + j * j * (k % 5 + 1) + j // 3) % (2 + k % 5)}" for j in range(k % 29)) for k in range(400)]
+    docs = rules.based(docs_of(list(enumerate(texts))))
+    assert [tuple(r[c] for c in rules.BASE) for r in sorted(docs.collect())] == [base(t) for t in texts]
+    assert "_pairs" not in docs._jdf.queryExecution().optimizedPlan().toString()
